@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import suffix_dedup
+from undertow.llm import minhash_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +21,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs, length=400, keep="none").drop("spans")
 
 
-QUERIES: dict[str, Query] = {"op1_suffix_dedup": op1_suffix_dedup}
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return minhash_dedup.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_minhash_dedup": op2_minhash_dedup,
+}
 SQL: dict[str, str] = {}
