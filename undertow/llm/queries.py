@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import minhash_dedup, suffix_dedup
+from undertow.llm import minhash_dedup, mixing, suffix_dedup, token_rollup, url_filter
+from undertow.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +28,89 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under two tokenizer versions; one batch is replayed, and one is revised and taken back."""
+    docs = _table(spark, sf_dir, "documents")
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("pieces", inserts=token_rollup.count_tokens(docs, "byte_bpe_50k"))
+    words = token_rollup.count_tokens(docs, "words")
+    for _ in range(2):
+        rollup.commit("words", inserts=words)
+    doubled = words.withColumn("n_tokens", F.col("n_tokens") * 2)
+    rollup.commit("recount", revised=(words, doubled))
+    rollup.commit("undo", revised=(doubled, words))
+    return rollup.totals()
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op8_token_rollup": op8_token_rollup,
+    "op9_mixing": op9_mixing,
+    "op10_url_filter": op10_url_filter,
+}
+
+SQL: dict[str, str] = {
+    "op9_mixing": r"""
+with docs as (
+  select cast(doc_id as bigint) doc_id, source,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size,
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) h
+  from documents),
+sums as (select source, cast(sum(size) as bigint) source_size from docs group by source),
+named as (
+  select *, 2 * source_size cap,
+    [3, 1, 2][cast((row_number() over (order by source is null, source) - 1) % 3 as integer) + 1] weight
+  from sums),
+levels as (
+  select *, cap / weight ratio,
+    (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over before, 0))
+      / (sum(weight) over () - coalesce(sum(weight) over before, 0)) level
+  from named
+  window before as (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding)),
+share as (select arg_min(level, ratio) share from levels where ratio >= level),
+targets as (
+  select source, source_size, least(cast(cap as double), (select share from share) * weight) target,
+    case when source_size > 0 then cast(floor(least(cast(cap as double), (select share from share) * weight) / source_size) as bigint) else 0 end whole
+  from levels),
+placed as (
+  select doc_id, size, h, source_size, target, whole, target - whole * source_size rest,
+    sum(size) over (partition by d.source order by h) upto,
+    sum(size) over (partition by d.source order by h) - sum(size) over (partition by d.source, h) before
+  from docs d join targets t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  cast(size * (whole + case when rest > 0 and (upto <= rest or (before <= rest and upto - rest < rest - before)) then 1 else 0 end) as bigint) taken
+from placed""",
+    "op10_url_filter": r"""
+with parts as (
+  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
+split as (
+  select page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path
+  from parts),
+ruled as (
+  select *, case
+    when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end rule
+  from split)
+select page_id, host, path, rule, case
+  when rule in ('www.example.com/en/', 'com/') then 'allow'
+  when rule is not null then 'block'
+  when starts_with(path, '/') and (contains(host, 'cheap-pills.') or contains(host, 'adult-') or contains(host, 'casino')
+    or ends_with(host, '.xxx') or contains(path, '/porn/') or ends_with(path, '.exe')) then 'block'
+  else 'allow' end verdict
+from ruled""",
 }
-SQL: dict[str, str] = {}
