@@ -39,6 +39,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once for each row.
+
+    The optimizer copies a projected expression into the array functions that use it, where it
+    would run again for every element; it does not look through a generator of one element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
