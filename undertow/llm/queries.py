@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import minhash_dedup, mixing, quality, suffix_dedup, token_rollup, url_filter
+from undertow.llm import minhash_dedup, mixing, pii, quality, suffix_dedup, token_rollup, url_filter
 from undertow.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("score")
 
@@ -58,6 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_rollup": op8_token_rollup,
     "op9_mixing": op9_mixing,
