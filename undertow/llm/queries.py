@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import minhash_dedup, mixing, pii, quality, suffix_dedup, token_rollup, url_filter
+from undertow.llm import minhash_dedup, mixing, pii, quality, suffix_dedup, token_rollup, toxicity, url_filter
 from undertow.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under two tokenizer versions; one batch is replayed, and one is revised and taken back."""
     docs = _table(spark, sf_dir, "documents")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_token_rollup": op8_token_rollup,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
