@@ -103,6 +103,28 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+_EDGE = np.zeros(256, dtype=bool)
+_EDGE[[ord(c) for c in ".,;:!?\"'()[]{}"]] = True
+
+
+def split_at(start: np.ndarray, end: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cut the spans that run over the end of their text."""
+    if len(start) and len(cuts):
+        k = np.searchsorted(start, cuts, side="left") - 1
+        over = (k >= 0) & (end[np.maximum(k, 0)] > cuts)
+        cuts = np.unique(cuts[over])
+        start, end = np.sort(np.concatenate((start, cuts))), np.sort(np.concatenate((end, cuts)))
+    return start, end
+
+
+def trimmed(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word spans without up to three punctuation marks at either side; some may become empty."""
+    for _ in range(3):
+        start = start + ((end > start) & _EDGE[low[np.minimum(start, len(low) - 1)]])
+        end = end - ((end > start) & _EDGE[low[np.maximum(end - 1, 0)]])
+    return start, end
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string or binary array; nulls count as empty."""
     kind = column.type

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import minhash_dedup, mixing, pii, quality, suffix_dedup, token_rollup, toxicity, url_filter
+from undertow.llm import decontaminate, minhash_dedup, mixing, pii, quality, suffix_dedup, token_rollup, toxicity, url_filter
 from undertow.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,13 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.cosine", "m.coverage", F.col("m.answer").alias("answer_coverage"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +74,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_decontamination": op3_decontamination,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
