@@ -1,14 +1,14 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
 A paragraph is a line. Its features are word n-grams (one to three words) of a small vocabulary:
-those of the templates that hold an anchor word, such as "license" or "spdx". A sparse multinomial
+those of the templates, and those with an anchor word, such as "license" or "spdx". A sparse multinomial
 logistic regression over the licence families, "unknown" (licence talk of no known family) and
 "none" is fitted here on generated variants of the templates, with a fixed seed. A family is
 reported if its probability reaches the threshold calibrated on held-out variants and a template of
 it shares enough words with the paragraph; licence talk that fails either is "unknown".
 
-DataFrame functions only. A line without an anchor word has no feature, so a pattern over the
-anchor words finds every line that can be classified, and only those lines leave their texts.
+DataFrame functions only. A line without an anchor word names no licence, by rule: each template has
+one. So a pattern over the anchor words finds every line to classify, and only those leave their texts.
 """
 
 from __future__ import annotations
@@ -62,11 +62,13 @@ _NONE = (
     "They were licensed to {w} and {w} by the state of {w}.",
     "An apache helicopter flew over {w} with a gnu and a {w}.",
     "He went to MIT to study {w} with permission from {w}.",
-    "The public domain of {w} is {w} and {w}.",
+    "The {w} had permission for {w} and {w}.",
 )
 ANCHORS = ("license", "licensed", "licence", "copyright", "gpl", "lgpl", "bsd", "mozilla", "mpl", "cc0", "commons", "spdx", "redistribution", "redistribute", "permission", "unencumbered")
 _ANCHOR = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(ANCHORS, key=len, reverse=True)) + r")(?![a-z0-9])"
 _TOKEN = r"[a-z0-9]+"
+#: Below this probability of the best class there is too little evidence of licence talk.
+_LEAST = 0.3
 
 
 def _grams(words: list[str]) -> list[str]:
@@ -111,8 +113,8 @@ def fit(per_class: int = 120, rounds: int = 300, rate: float = 2.0, sparsity: fl
     """Proximal gradient descent on the L1-penalised log-loss; the threshold keeps 99 % of held-out families apart."""
     texts, labels = _examples(per_class, seed)
     classes = (*TEMPLATES, "unknown", "none")
-    anchors = set(ANCHORS)
-    seen = Counter(g for t in texts for g in set(_grams(t)) if anchors & set(g.split()))
+    own = {g for templates in TEMPLATES.values() for t in templates for g in _grams(_words_of(t))}
+    seen = Counter(g for t in texts for g in set(_grams(t)) if g in own or set(ANCHORS) & set(g.split()))
     grams = sorted(g for g, n in seen.items() if n >= 5)
     index = {g: i for i, g in enumerate(grams)}
 
@@ -177,7 +179,7 @@ def scan_licenses(docs: DataFrame, *, least_shared: float = 0.6) -> DataFrame:
     top = F.array_max("z")
     norm = F.aggregate(F.transform("z", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, b: a + b)
     name = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.array_position("z", top).cast("int"))
-    rows = rows.select("doc_id", "line", "words", name.alias("best"), (1.0 / norm).alias("probability")).filter("best != 'none'")
+    rows = rows.select("doc_id", "line", "words", name.alias("best"), (1.0 / norm).alias("probability")).filter(f"best != 'none' and probability >= {_LEAST}")
     shared = F.lit(0.0)
     for family, templates in TEMPLATES.items():
         for t in templates:
