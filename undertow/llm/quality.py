@@ -18,10 +18,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import held, materialize
+from undertow.llm.common import WORD, held, materialize
 
-_SPACES = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 _BUCKETS = 1 << 14
 _PSEUDO = 0.5
 _BINS = 2000
@@ -32,14 +31,14 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _hashed(words: Column) -> Column:
-    """Buckets of the words and of the pairs of neighbours."""
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.xxhash64(F.get(words, i), w))
-    return F.transform(F.concat(F.transform(words, lambda w: F.xxhash64(w)), pairs), lambda h: F.pmod(h, F.lit(_BUCKETS)).cast("int"))
+def _bucket(*words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(_BUCKETS)).cast("int")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def _hashed(words: Column) -> Column:
+    """Buckets of the words and of the pairs of neighbours."""
+    later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.concat(F.transform(words, lambda w: _bucket(w)), F.transform(later, lambda w, i: _bucket(F.get(words, i), w)))
 
 
 def _window_order(words: Column, n: Column) -> tuple[Column, Callable[[Column, Column], Column], Callable[[Column], Column]]:
@@ -76,12 +75,12 @@ def text_statistics(docs: DataFrame, *extra: Column) -> DataFrame:
     o = F.col("ordered")
     twice = F.filter(o, lambda v, i: same(v, F.get(o, i + 1)) | same(v, F.get(o, i - 1)))
     covered = F.array_distinct(F.flatten(F.transform(twice, lambda v: F.array(place(v), place(v) + 1, place(v) + 2))))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     return rows.select(
         "doc_id",
         "n_words",
-        _without(F.col("text"), _SPACES).cast("long").alias("word_chars"),
-        (F.length("text") - _without(F.col("text"), _SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(o.isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long").alias("n_repeat_words"),
         *extra,
@@ -109,8 +108,8 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, *, trusted_rows: int = 20_000
 
 def score(ratios: np.ndarray, words: Column) -> Column:
     table = F.lit(np.asarray(ratios, dtype=np.float64))
-    grams = _hashed(words)
-    total = F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(table, b))
+    ratio = F.transform(words, lambda w, i: F.get(table, _bucket(w)) + F.when(i > 0, F.get(table, _bucket(F.get(words, i - 1), w))).otherwise(0.0))
+    total = F.aggregate(ratio, F.lit(0.0), lambda a, b: a + b)
     return F.when(F.size(words) > 0, total / (2 * F.size(words) - 1)).otherwise(F.lit(float("-inf")))
 
 
