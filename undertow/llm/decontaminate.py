@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1.  Every document is cut into passages of `_PASSAGE` words. A passage's vector holds TF-IDF
-    weights of the benchmark's words (other words have no part in a similarity to an item); idf
-    comes from all passages, and words of more than a fifth of them weigh nothing.
+    weights of the benchmark's words (other words have no part in a similarity to an item). The idf
+    comes from all passages and is squared, so that rare words decide; words of more than a
+    twentieth of the passages weigh nothing.
 2.  A randomised SVD of the passage matrix A: with a random matrix W of few columns, Y = A'(A W) is
     summed over the passages of every task and then over tasks; Q, an orthogonal base of Y, goes
     through the passages once more, and the small matrix Q'(A'A)Q gives the leading right singular
     vectors. Only matrices of benchmark words by `rank` columns reach the driver.
-3.  Windows of every text, about as long as the items, are projected, and those with a cosine of
-    `least_cosine` to an item become candidates.
+3.  Windows of every text, about as long as the items, are projected if they carry a fair share of an
+    item's weight, and those with a cosine of `least_cosine` to an item become candidates.
 4.  A candidate is confirmed on the words around it: the longest common subsequence with the item
     must cover `least_coverage` of the item, and that with its answer (a column of the benchmark,
     or else the item's last quarter) half of the answer. Subsequences allow for inserted, dropped
@@ -31,7 +32,9 @@ from undertow.llm.common import SpanHasher, lower_ascii, materialize, row_slices
 
 _PASSAGE = 64
 _BLOCK = 2000
-_COMMON = 0.2
+_COMMON = 0.05
+#: Share of an item's sum of squared weights that a window must have to be compared with it.
+_ENERGY = 0.25
 _LEAST_TERMS = 4
 
 
@@ -171,7 +174,7 @@ def fit_latent_space(passages: DataFrame, items: _Items, *, rank: int = 64, seed
     for words in items.words:  # an item of common words keeps them all
         if len(np.unique(words[~common[words]])) < _LEAST_TERMS:
             common[words] = False
-    weight = np.where(common, 0.0, idf)
+    weight = np.where(common, 0.0, idf**2)
     rank = max(1, min(rank, size))
     random = np.random.default_rng(seed).standard_normal((size, rank))
     base, _ = np.linalg.qr(_times_gram(weight, random)(passages))
@@ -206,19 +209,22 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
     terms = [np.unique(w[space.weight[w] > 0], return_counts=True) for w in items.words]
     vectors = np.stack([(space.weight[t] * c) @ space.base[t] for t, c in terms]) if terms else np.zeros((0, space.base.shape[1]))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    n_terms = np.array([int(c.sum()) for _, c in terms])
+    vectors = vectors.astype(np.float32)
+    item_energy = np.array([float((space.weight[t] ** 2 * c).sum()) for t, c in terms])
     length = np.array([len(w) for w in items.words])
-    window = np.maximum(16, 1 << np.ceil(np.log2(np.maximum(length, 1))).astype(int)) if len(length) else length
+    # The next of 16, 24, 36, ... words.
+    window = np.ceil(16 * 1.5 ** np.ceil(np.log(np.maximum(length, 16) / 16) / np.log(1.5))).astype(int) if len(length) else length
     masks = [(_masks(w), len(w), _masks(a), len(a)) for w, a in zip(items.words, items.answers)]
     projected = (space.base * space.weight[:, None]).astype(np.float32)
 
     def candidates(number: np.ndarray, first: np.ndarray, count: np.ndarray):
         """(text, item, window start, cosine) for each text's words, numbered by the vocabulary."""
-        known = number >= 0
-        weighty = known & (space.weight[np.maximum(number, 0)] > 0)
-        hits = np.concatenate(([0], np.cumsum(weighty)))
-        sums = np.zeros((hits[-1] + 1, projected.shape[1]))
-        np.cumsum(projected[number[weighty]], axis=0, out=sums[1:], dtype=np.float64)
+        place = np.flatnonzero((number >= 0) & (space.weight[np.maximum(number, 0)] > 0))
+        term = number[place]
+        energy = np.concatenate(([0.0], np.cumsum(space.weight[term] ** 2)))
+        hits = np.zeros(len(number) + 1, np.int64)
+        hits[place + 1] = 1
+        hits = np.cumsum(hits)
         for size in np.unique(window):
             mine = np.flatnonzero(window == size)
             step = size // 4
@@ -226,14 +232,17 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
             text = np.repeat(np.arange(len(count)), per)
             start = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * step
             end = np.minimum(start + size, first[text] + count[text])
-            held = hits[end] - hits[start]
-            good = np.flatnonzero(held >= np.maximum(1, 0.4 * n_terms[mine].min()))
-            for a in range(0, len(good), 20_000):
-                part = good[a : a + 20_000]
-                vector = (sums[hits[end[part]]] - sums[hits[start[part]]]).astype(np.float32)
+            held = energy[hits[end]] - energy[hits[start]]
+            good = np.flatnonzero(held >= _ENERGY * item_energy[mine].min())
+            for a in range(0, len(good), 5000):
+                part = good[a : a + 5000]
+                low, sizes = hits[start[part]], hits[end[part]] - hits[start[part]]
+                into = np.cumsum(sizes) - sizes
+                every = np.repeat(low - into, sizes) + np.arange(sizes.sum())
+                vector = np.add.reduceat(projected[term[every]], into, axis=0)
                 norm = np.linalg.norm(vector, axis=1)
-                cosine = (vector @ vectors[mine].T.astype(np.float32)) / np.maximum(norm, 1e-9)[:, None]
-                w, i = np.nonzero((cosine >= least_cosine) & (held[part][:, None] >= 0.4 * n_terms[mine][None, :]))
+                cosine = (vector @ vectors[mine].T) / np.maximum(norm, 1e-9)[:, None]
+                w, i = np.nonzero((cosine >= least_cosine) & (held[part][:, None] >= _ENERGY * item_energy[mine][None, :]))
                 for x, y in zip(w.tolist(), i.tolist()):
                     yield int(text[part[x]]), int(mine[y]), int(start[part[x]]), int(size), float(cosine[x, y])
 
@@ -262,7 +271,7 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
     return task
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, least_cosine: float = 0.4, least_coverage: float = 0.7) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, least_cosine: float = 0.6, least_coverage: float = 0.7) -> DataFrame:
     """Add `matches` to every row: the benchmark items that its text holds.
 
     docs: text and any other columns (kept; a column named matches is replaced); benchmark: item_id
