@@ -82,11 +82,11 @@ def test_personal_data(spark):
 
 def test_redaction_and_added_kinds(spark):
     text = "é call (212) 555-1234, password=abcdef123456 bob (at) mail (dot) com a@b.cd on 2020-01-02"
-    docs = spark.createDataFrame([(1, text, "k"), (2, None, "k"), (3, "plain words 12", "k")], "doc_id long, text string, kind string")
+    docs = spark.createDataFrame([(1, text, "k", 1, 2), (2, None, "k", 1, 2), (3, "plain words 12", "k", 1, 2)], "doc_id long, text string, kind string, found int, spans int")
     rows = {r["doc_id"]: r for r in pii.redact(docs).collect()}
     assert rows[1]["text"] == "é call (212) 555-1234, [secret] [contact] [email] on 2020-01-02" or "[number]" in rows[1]["text"]
     assert "[secret]" in rows[1]["text"] and "[email]" in rows[1]["text"] and "2020-01-02" in rows[1]["text"]
-    assert rows[2]["text"] is None and rows[3]["text"] == "plain words 12" and rows[1]["kind"] == "k"
+    assert rows[2]["text"] is None and rows[3]["text"] == "plain words 12" and rows[1]["kind"] == "k" and rows[1]["found"] + rows[1]["spans"] == 3
 
 
 def test_quality(spark):

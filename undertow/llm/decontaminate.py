@@ -36,6 +36,7 @@ _COMMON = 0.05
 #: Share of an item's sum of squared weights that a window must have to be compared with it.
 _ENERGY = 0.25
 _LEAST_TERMS = 4
+_FOUND = "_leaks_found"
 
 
 def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +267,7 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
                     if answer >= 0.5 and (coverage, cosine) > matches[a + text].get(item, (0.0,))[:2]:
                         matches[a + text][item] = (coverage, cosine, answer)
             lists = [[{"item_id": items.ids[i], "cosine": c, "coverage": v, "answer": w} for i, (v, c, w) in sorted(m.items())] for m in matches]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, _MATCH_ARROW)], names=[*batch.schema.names, "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, _MATCH_ARROW)], names=[*batch.schema.names, _FOUND])
 
     return task
 
@@ -283,7 +284,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, least_c
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
     blocks = max(1, -(-bench.count() // _BLOCK))
-    out = docs.drop("matches", "found").withColumn("matches", F.array().cast(_MATCH))
+    out = docs.drop("matches", _FOUND).withColumn("matches", F.array().cast(_MATCH))
     texts = docs.select(F.col("text").cast("string").alias("text"))
     for block in range(blocks):
         rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -293,6 +294,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, least_c
         passages = materialize(texts.mapInArrow(_passage_terms(items), "terms array<int>, bounds array<int>"), "passages")
         space = fit_latent_space(passages, items, rank=rank)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-        found = out.mapInArrow(_search(items, space, "text", least_cosine, least_coverage), f"{fields}, found {_MATCH}")
-        out = found.withColumn("matches", F.concat("matches", "found")).drop("found")
+        found = out.mapInArrow(_search(items, space, "text", least_cosine, least_coverage), f"{fields}, {_FOUND} {_MATCH}")
+        out = found.withColumn("matches", F.concat("matches", _FOUND)).drop(_FOUND)
     return out

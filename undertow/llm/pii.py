@@ -42,6 +42,7 @@ KEY = r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,40}[0-9])[A-Za-z0-9]{16,128}(?![A-Za-z0-9]
 _WIDE = {"secret": SECRET, "contact": CONTACT, "key": KEY, "number": NUMBER}
 CANDIDATE = "|".join(f"(?:{p})" for p in (EMAIL, PHONE, IP, SECRET, CONTACT, KEY, NUMBER))
 _CONTEXT = 24
+_FOUND = "_pii_found"
 _PHONE_WORDS = r"(?i)(?:tel|phone|call|mobile|fax|whatsapp|sms)[^a-zA-Z]{0,4}$"
 _ID_WORDS = r"(?i)(?:ssn|passport|account|iban|card|id)[^a-zA-Z]{0,6}$"
 
@@ -254,8 +255,8 @@ def _kind_of(x: Column) -> Column:
 def find_personal_data(docs: DataFrame, *, threshold: float | None = None) -> DataFrame:
     """Spans of personal data of every text.
 
-    docs: doc_id long, text string (other columns are ignored unless named spans, base, added or
-    found, which are replaced). Adds base and added, arrays of struct<kind, start, end> in code
+    docs: text string and any other columns, which are kept unless they are named base or added.
+    Adds base and added, arrays of struct<kind, start, end> in code
     points, end exclusive, by kind as listed (email, ip, card, phone; the candidates' kinds by
     name) and then start. Null text counts as empty. Rows and ids are kept as they are.
     """
@@ -266,14 +267,14 @@ def find_personal_data(docs: DataFrame, *, threshold: float | None = None) -> Da
     possible = {"email": F.contains(text, F.lit("@")), "ip": digits, "card": digits, "phone": F.contains(text, F.lit("+")) & digits}
     raw = [_found(text, _BASE[k], possible[k]).alias(k) for k in KINDS]
     raw.append(_found(text, CANDIDATE, digits | F.contains(text, F.lit("@")) | F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")) | F.contains(text, F.lit("(")) | F.contains(text, F.lit("["))).alias("wide"))
-    rows = held(docs.drop("base", "added", "found", "spans"), "found", F.struct(*raw))
+    rows = held(docs.drop("base", "added"), _FOUND, F.struct(*raw))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
 
     def span(kind: Column, m: Column) -> Column:
         return F.struct(kind.alias("kind"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"))
 
     def base_spans(k: str) -> Column:
-        good = F.filter(_placed(F.col(f"found.{k}")), lambda m: _valid(k, m["text"]))
+        good = F.filter(_placed(F.col(_FOUND)[k]), lambda m: _valid(k, m["text"]))
         return F.coalesce(F.transform(good, lambda m: span(F.lit(k), m)), none)
 
     base = [base_spans(k) for k in KINDS]
@@ -283,8 +284,8 @@ def find_personal_data(docs: DataFrame, *, threshold: float | None = None) -> Da
         known = whole("email") | whole("ip") | whole("card") | whole("phone")
         return ~known & let(F.array(*[f.cast("double") for f in _features(m["text"], m["before"])]), lambda f: _tree_score(f, trees, first) > F.lit(limit))
 
-    added = F.coalesce(F.transform(F.filter(_placed(F.col("found.wide")), personal), lambda m: span(_kind_of(m["text"]), m)), none)
-    return rows.withColumns({"base": F.concat(*base), "added": F.array_sort(added)}).drop("found")
+    added = F.coalesce(F.transform(F.filter(_placed(F.col(_FOUND)["wide"]), personal), lambda m: span(_kind_of(m["text"]), m)), none)
+    return rows.withColumns({"base": F.concat(*base), "added": F.array_sort(added)}).drop(_FOUND)
 
 
 def span_digest(docs: DataFrame) -> DataFrame:
@@ -305,8 +306,9 @@ def redact(docs: DataFrame, mark: str = "[%s]") -> DataFrame:
 
     docs: any columns with text; the same columns come back, with null texts left null.
     """
-    columns = docs.columns
-    rows = held(find_personal_data(docs), "spans", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    rest = F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c != "text"])  # whatever their names
+    rows = find_personal_data(docs.select(F.col("text").cast("string").alias("text"), rest.alias("rest")))
+    rows = held(rows, "spans", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
 
     def step(a: Column, s: Column) -> Column:
         new = s["start"] >= a["at"]
@@ -315,4 +317,5 @@ def redact(docs: DataFrame, mark: str = "[%s]") -> DataFrame:
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)))
-    return rows.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).select(*columns)
+    clean = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
+    return rows.select(*[(clean if c == "text" else F.col("rest")[c]).alias(c) for c in docs.columns])
