@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undertow.runtime import materialize, shared_dir
+
+__all__ = ["WORD", "SpanHasher", "held", "lower_ascii", "materialize", "mix", "n_words", "row_slices", "shared_dir", "split_at", "text_buffer", "trimmed", "word_spans"]
+
 #: The word pattern of every operator: runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python task holds as arrays at once (a longer text is handled alone).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -22,23 +23,6 @@ _BASE = 0xD6E8FEB86659FD93
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; in a session that names none, a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="undertow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is computed once for each row.
 

@@ -36,9 +36,9 @@ from undertow.llm.common import BYTE_CODE, SpanHasher, materialize, mix, powers,
 
 _SEED = 32
 _BUCKET_CONTEXTS = 1024
-_BUCKET_BYTES = 1 << 20
+_BUCKET_BYTES = 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
-_LARGEST_SLICE = 1 << 23
+_LARGEST_SLICE = 1 << 22
 
 
 def _seed_hashes(data: np.ndarray) -> np.ndarray:
@@ -310,7 +310,8 @@ def _remove(length: int, with_text: bool):
                 out["n_spans"].append(len(spans))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 out["spans"].append([{"start": a, "end": b} for a, b in spans])
-                out["kept"].append(left)
+                if with_text:
+                    out["kept"].append(left)
             kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
             if not with_text:
                 kinds.pop("kept")
@@ -343,13 +344,17 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", w
     docs = docs.withColumn("tid", F.unhex(F.md5("text")))
 
     found = docs.filter(F.octet_length("text") >= length).select("tid", "text", "doc_id")
-    runs = found.mapInArrow(_find_runs(length), _RUN)
-    runs = materialize(runs.groupBy("anchor", "context", "tid", "first", "last").agg(F.count("*").alias("n"), F.min("owner").alias("owner")), "runs")
+    runs = materialize(found.mapInArrow(_find_runs(length), _RUN), "runs")
+    met = runs.groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1").select("anchor")
+    runs = runs.join(met, "anchor", "left_semi")
+    if first_only:  # copies of a text stand as its first one
+        runs = runs.groupBy("anchor", "context", "tid", "first", "last").agg(F.min("owner").alias("owner"))
+    runs = materialize(runs, "met")
 
     place = F.struct(F.col("owner").isNull().alias("last_one"), F.coalesce("owner", F.lit(0)).alias("id"), "tid", "first", "last", "owner")
-    contexts = runs.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(place).alias("lead"))
+    contexts = materialize(runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("lead")), "contexts")
     shared = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    several = materialize(contexts.join(shared, "anchor").select("anchor", "context", "kinds", "lead.tid", "lead.owner", "lead.first", "lead.last"), "contexts")
+    several = contexts.join(shared, "anchor").select("anchor", "context", "kinds", "lead.tid", "lead.owner", "lead.first", "lead.last")
     wanted = several.groupBy("tid", "owner").agg(F.collect_list(F.struct("anchor", "context", "owner", "first", "last")).alias("runs"))
     at_owner = (found["tid"] == wanted["tid"]) & found["doc_id"].eqNullSafe(wanted["owner"])
     pieces = found.join(wanted, at_owner).select(found["tid"], found["text"], wanted["runs"]).mapInArrow(_cut_pieces(length), _PIECE)
@@ -360,7 +365,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", w
     crowded = several.filter(F.col("kinds") > _BUCKET_CONTEXTS).select("anchor").distinct()
     small = pieces.join(crowded, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     hits = small.groupBy("bucket").applyInArrow(_bucket_matches(length, first_only), _HIT)
-    windows = pieces.join(crowded, "anchor", "left_semi").select("anchor", "context", "owner", "tid", "first", "piece").mapInArrow(_hash_windows(length), _WINDOW)
+    windows = pieces.join(crowded, "anchor", "left_semi").select("anchor", "context", "owner", "tid", "first", "piece").repartition("context").mapInArrow(_hash_windows(length), _WINDOW)
     at = F.struct(F.col("owner").isNull().alias("last_one"), F.coalesce("owner", F.lit(0)).alias("id"), "tid", (F.col("at") + F.col("w")).alias("p"))
     repeated = windows.groupBy("anchor", "hash").agg(F.min(at).alias("earliest"), F.max(at).alias("latest")).filter("earliest != latest")
     crowd = windows.join(repeated, ["anchor", "hash"])
@@ -377,7 +382,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", w
     else:
         whole, alone = placed.filter("leader is not null"), placed.filter("leader is null")
     partial = alone.join(matches, ["anchor", "context"]).select("tid", "first", F.explode("hits").alias("h")).select("tid", (F.col("first") + F.col("h.a")).alias("first"), (F.col("first") + F.col("h.b")).alias("last"))
-    cuts = whole.select("tid", "first", "last").unionByName(partial).groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
+    cuts = whole.select("tid", "first", "last").unionByName(partial).groupBy("tid").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))  # copies of a text bring the same cuts
     if first_only:
         owners = found.groupBy("tid").agg(F.min("doc_id").alias("owner"))
         joined = docs.join(cuts, "tid", "left").join(owners, "tid", "left")
