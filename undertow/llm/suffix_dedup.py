@@ -17,9 +17,11 @@ independent groups, and the suffix arrays are built inside those:
     order, the nearest entries before and after with a smaller text position bound the longest
     previous factor; here factors are cut at `length`, so an earlier match exists if and only if
     the nearest smaller position shares all `length` bytes.
-4.  An anchor hash with more contexts than `_BUCKET_CONTEXTS` would not fit a bucket. Its windows
-    are hashed one by one and counted by Spark instead, with map-side aggregation: the same
-    result without a group in one task.
+4.  An anchor hash with more contexts than `_BUCKET_CONTEXTS` would not fit a bucket (a common line
+    holds it, say). Its windows reach far to the right or far to the left of the anchor, and equal
+    ones agree in that half; so the group is split by side and by the hash of the half. Parts that
+    are still too large have their windows hashed one by one and counted by Spark, with map-side
+    aggregation: the same result without a group in one task.
 """
 
 from __future__ import annotations
@@ -208,9 +210,43 @@ def longest_factors(rank: np.ndarray, order_key: np.ndarray, length: int) -> tup
     return previous, following
 
 
-def _ranges(flag: np.ndarray) -> list[dict]:
+def _ranges(flag: np.ndarray, first: int) -> list[dict]:
     edge = np.diff(np.concatenate(([0], flag.astype(np.int8), [0])))
-    return [{"a": int(a), "b": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+    return [{"a": first + int(a), "b": first + int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+
+
+_PART = "part long, anchor long, context long, owner long, tid binary, first int, piece binary, lo int, hi int"
+
+
+def _halves(length: int):
+    """Contexts of crowded anchors to one row for each side that has windows: part tells anchor, side and half."""
+    middle = (length - _SEED) // 2
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors = batch.column(0).to_numpy().view(np.uint64)
+            rows, part, lo, hi = [], [], [], []
+            for k, raw in enumerate(batch.column(5).to_pylist()):
+                data = np.frombuffer(raw, np.uint8)
+                windows = len(data) - length + 1
+                # Every window of the run holds the anchor, so it starts no earlier than the last one.
+                at = windows - 1 + int(np.flatnonzero(_seed_hashes(data)[windows - 1 :] == anchors[k])[0])
+                cut = max(0, min(windows, at - middle))  # windows from here on start at most `middle` before the anchor
+                hasher = SpanHasher(data)
+                span = lambda a, b: hasher(np.array([a]), np.array([b]))  # noqa: B023, E731
+                for a, b, half, side in ((0, cut - 1, (at - middle - 1, at + _SEED), 1), (cut, windows - 1, (at, at + length - middle), 2)):
+                    if a <= b:
+                        rows.append(k)
+                        part.append(mix(span(*half) ^ mix(anchors[k : k + 1] + np.uint64(side)))[0])
+                        lo.append(a)
+                        hi.append(b)
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(part, dtype=np.uint64).view(np.int64)), *(batch.column(c).take(taken) for c in range(6)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
+                names=["part", "anchor", "context", "owner", "tid", "first", "piece", "lo", "hi"],
+            )
+
+    return task
 
 
 _HIT = "anchor long, context long, hits array<struct<a:int,b:int>>"
@@ -223,7 +259,7 @@ def _bucket_matches(length: int, first_only: bool):
         table = table.combine_chunks()
         anchor, context = table.column("anchor").to_numpy(), table.column("context").to_numpy()
         # A repeated input row brings its contexts twice.
-        _, once = np.unique(np.stack([anchor, context]), axis=1, return_index=True)
+        _, once = np.unique(np.stack([table.column("part").to_numpy(), context]), axis=1, return_index=True)
         table = table.take(pa.array(np.sort(once))).combine_chunks()
         anchor, context = table.column("anchor").to_numpy(), table.column("context").to_numpy()
         data, offsets = text_buffer(table.column("piece").combine_chunks())
@@ -233,10 +269,11 @@ def _bucket_matches(length: int, first_only: bool):
         at = np.lexsort((table.column("first").to_numpy(), tid, owner.fill_null(0).to_numpy(), owner.is_null().to_numpy(zero_copy_only=False)))
         place = np.empty(len(at), dtype=np.int64)
         place[at] = np.arange(len(at))
-        sizes = np.diff(offsets) - length + 1
+        lo, hi = table.column("lo").to_numpy().astype(np.int64), table.column("hi").to_numpy()
+        sizes = hi - lo + 1
         rank = suffix_ranks(data, length)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[row]
         starts = offsets[row] + within
         previous, following = longest_factors(rank[starts], (place[row] << 32) | within, length)
         hit = previous >= length if first_only else (previous >= length) | (following >= length)
@@ -246,7 +283,7 @@ def _bucket_matches(length: int, first_only: bool):
             {
                 "anchor": pa.array(anchor[kept], pa.int64()),
                 "context": pa.array(context[kept], pa.int64()),
-                "hits": pa.array([_ranges(hit[bounds[k] : bounds[k + 1]]) for k in kept], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                "hits": pa.array([_ranges(hit[bounds[k] : bounds[k + 1]], int(lo[k])) for k in kept], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
             }
         )
 
@@ -264,9 +301,10 @@ def _hash_windows(length: int):
                 data, offsets = text_buffer(part.column(5))
                 if not len(data):
                     continue
-                sizes = np.diff(offsets) - length + 1
+                lo, hi = part.column(6).to_numpy().astype(np.int64), part.column(7).to_numpy()
+                sizes = hi - lo + 1
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[row]
                 starts = offsets[row] + within
                 hashes = SpanHasher(data)(starts, starts + length)
                 rows = pa.array(row)
@@ -345,7 +383,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", w
 
     found = docs.filter(F.octet_length("text") >= length).select("tid", "text", "doc_id")
     runs = materialize(found.mapInArrow(_find_runs(length), _RUN), "runs")
-    met = runs.groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1").select("anchor")
+    # A table of its own, so that the join below is one of two plain shuffles, whose hot keys AQE can split.
+    met = materialize(runs.groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1").select("anchor"), "anchors")
     runs = runs.join(met, "anchor", "left_semi")
     if first_only:  # copies of a text stand as its first one
         runs = runs.groupBy("anchor", "context", "tid", "first", "last").agg(F.min("owner").alias("owner"))
@@ -363,9 +402,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", w
     total = several.agg(F.sum(F.col("last") - F.col("first") + length).alias("b")).first()["b"] or 0
     buckets = max(1, -(-int(total) // _BUCKET_BYTES))
     crowded = several.filter(F.col("kinds") > _BUCKET_CONTEXTS).select("anchor").distinct()
-    small = pieces.join(crowded, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    whole_run = (F.lit(0).alias("lo"), (F.octet_length("piece") - length).alias("hi"))
+    columns = ["anchor", "context", "owner", "tid", "first", "piece"]
+    small = pieces.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("part"), *columns, *whole_run)
+    halves = pieces.join(crowded, "anchor", "left_semi").select(*columns).repartition("context")
+    halves = materialize(halves.mapInArrow(_halves(length), _PART), "halves")
+    counts = halves.groupBy("part").agg(F.count("*").alias("rows")).filter("rows > 1")
+    halves = halves.join(counts, "part")
+    small = small.unionByName(halves.filter(F.col("rows") <= _BUCKET_CONTEXTS).drop("rows")).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
     hits = small.groupBy("bucket").applyInArrow(_bucket_matches(length, first_only), _HIT)
-    windows = pieces.join(crowded, "anchor", "left_semi").select("anchor", "context", "owner", "tid", "first", "piece").repartition("context").mapInArrow(_hash_windows(length), _WINDOW)
+    windows = halves.filter(F.col("rows") > _BUCKET_CONTEXTS).select(*columns, "lo", "hi").repartition("context").mapInArrow(_hash_windows(length), _WINDOW)
     at = F.struct(F.col("owner").isNull().alias("last_one"), F.coalesce("owner", F.lit(0)).alias("id"), "tid", (F.col("at") + F.col("w")).alias("p"))
     repeated = windows.groupBy("anchor", "hash").agg(F.min(at).alias("earliest"), F.max(at).alias("latest")).filter("earliest != latest")
     crowd = windows.join(repeated, ["anchor", "hash"])
