@@ -48,9 +48,10 @@ def brute_repeats(rows, first):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1024, 2])
+@pytest.mark.parametrize("crowd, block", [(1024, 16), (2, 16), (2, 3)])
 @pytest.mark.parametrize("keep", ["none", "first"])
-def test_repeats(spark, monkeypatch, keep, crowd):
+def test_repeats(spark, monkeypatch, keep, crowd, block):
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", block)
     monkeypatch.setattr(suffix_dedup, "_BUCKET_CONTEXTS", crowd)  # 2: nearly all anchors count as crowded
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, tid string, owner string")

@@ -20,8 +20,11 @@ independent groups, and the suffix arrays are built inside those:
 4.  An anchor hash with more contexts than `_BUCKET_CONTEXTS` would not fit a bucket (a common line
     holds it, say). Its windows reach far to the right or far to the left of the anchor, and equal
     ones agree in that half; so the group is split by side and by the hash of the half. Parts that
-    are still too large have their windows hashed one by one and counted by Spark, with map-side
-    aggregation: the same result without a group in one task.
+    are still too large are counted by Spark, with map-side aggregation: the same result without a
+    group in one task. Their windows are first hashed in blocks of neighbours. Contexts that agree
+    on all that a block covers repeat the whole block, and one of them stands for all; only where
+    different covers share the bytes common to all windows of a block are single windows hashed
+    and counted. Inside a common passage that leaves the windows at its edges.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ _BUCKET_CONTEXTS = 1024
 _BUCKET_BYTES = 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
 _LARGEST_SLICE = 1 << 22
+#: Neighbouring windows that are first compared as one.
+_BLOCK = 16
 
 
 def _seed_hashes(data: np.ndarray) -> np.ndarray:
@@ -215,7 +220,7 @@ def _ranges(flag: np.ndarray, first: int) -> list[dict]:
     return [{"a": first + int(a), "b": first + int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
 
 
-_PART = "part long, anchor long, context long, owner long, tid binary, first int, piece binary, lo int, hi int"
+_PART = "part long, anchor long, context long, owner long, tid binary, first int, piece binary, anchor_at int, lo int, hi int"
 
 
 def _halves(length: int):
@@ -225,7 +230,7 @@ def _halves(length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchors = batch.column(0).to_numpy().view(np.uint64)
-            rows, part, lo, hi = [], [], [], []
+            rows, part, places, lo, hi = [], [], [], [], []
             for k, raw in enumerate(batch.column(5).to_pylist()):
                 data = np.frombuffer(raw, np.uint8)
                 windows = len(data) - length + 1
@@ -238,12 +243,13 @@ def _halves(length: int):
                     if a <= b:
                         rows.append(k)
                         part.append(mix(span(*half) ^ mix(anchors[k : k + 1] + np.uint64(side)))[0])
+                        places.append(at)
                         lo.append(a)
                         hi.append(b)
             taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(part, dtype=np.uint64).view(np.int64)), *(batch.column(c).take(taken) for c in range(6)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
-                names=["part", "anchor", "context", "owner", "tid", "first", "piece", "lo", "hi"],
+                [pa.array(np.array(part, dtype=np.uint64).view(np.int64)), *(batch.column(c).take(taken) for c in range(6)), *(pa.array(x, pa.int32()) for x in (places, lo, hi))],
+                names=["part", "anchor", "context", "owner", "tid", "first", "piece", "anchor_at", "lo", "hi"],
             )
 
     return task
@@ -290,10 +296,49 @@ def _bucket_matches(length: int, first_only: bool):
     return task
 
 
+_BLOCK_ROW = "anchor long, context long, owner long, tid binary, first int, block int, lo int, hi int, core long, span long"
+
+
+def _hash_blocks(length: int, size: int):
+    """Contexts of crowded parts to one row for each block of up to `size` neighbouring windows.
+
+    Blocks are counted from the anchor, so equal windows stand in equal blocks. core: hash of the
+    bytes that all windows of a full block share; span: hash of the bytes that the windows of this
+    context cover in the block, and of their place in it.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                data, offsets = text_buffer(part.column(5))
+                if not len(data):
+                    continue
+                at, lo, hi = (part.column(c).to_numpy().astype(np.int64) for c in (6, 7, 8))
+                least = (lo - at) // size
+                sizes = (hi - at) // size - least + 1
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + least[row]
+                start = at[row] + block * size
+                a, b = np.maximum(start, lo[row]), np.minimum(start + size - 1, hi[row])
+                hasher, base = SpanHasher(data), offsets[row]
+                core = hasher(base + start + size - 1, base + start + length)
+                span = mix(hasher(base + a, base + b + length) ^ mix((a - start).astype(np.uint64)))
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(rows) for c in range(5)), *(pa.array(x.astype(np.int32)) for x in (block, a, b)), *(pa.array(x.view(np.int64)) for x in (core, span))],
+                    names=["anchor", "context", "owner", "tid", "first", "block", "lo", "hi", "core", "span"],
+                )
+
+    return task
+
+
 _WINDOW = "anchor long, context long, owner long, tid binary, at int, w int, hash long"
 
 
 def _hash_windows(length: int):
+    """Contexts with the ranges of their windows that are to be compared one by one; a row for each of these windows."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -301,10 +346,14 @@ def _hash_windows(length: int):
                 data, offsets = text_buffer(part.column(5))
                 if not len(data):
                     continue
-                lo, hi = part.column(6).to_numpy().astype(np.int64), part.column(7).to_numpy()
-                sizes = hi - lo + 1
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[row]
+                lo, hi, ranges = part.column(6).to_numpy(), part.column(7).to_numpy(), part.column(8)
+                flat, context = ranges.flatten(), np.repeat(np.arange(len(lo)), np.diff(np.asarray(ranges.offsets)))
+                a, b = (np.asarray(flat.field(c)).astype(np.int64) for c in ("lo", "hi"))
+                own = (a >= lo[context]) & (b <= hi[context])  # the others are of the context's other half
+                context, a, sizes = context[own], a[own], (b - a + 1)[own]
+                piece = np.repeat(np.arange(len(sizes)), sizes)
+                within = np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + a[piece]
+                row = context[piece]
                 starts = offsets[row] + within
                 hashes = SpanHasher(data)(starts, starts + length)
                 rows = pa.array(row)
@@ -358,6 +407,33 @@ def _remove(length: int, with_text: bool):
     return task
 
 
+def _crowd_matches(crowd: DataFrame, length: int, first_only: bool) -> DataFrame:
+    """Repeated windows of contexts in parts too large for a bucket: blocks first, then single windows."""
+    text_order = (F.col("owner").isNull().alias("last_one"), F.coalesce("owner", F.lit(0)).alias("id"), "tid")
+    blocks = materialize(crowd.mapInArrow(_hash_blocks(length, _BLOCK), _BLOCK_ROW), "blocks")
+    at = F.struct(*text_order, (F.col("first") + F.col("lo")).alias("p"), "context", "lo", "hi")
+    spans = blocks.groupBy("anchor", "block", "core", "span").agg(F.min(at).alias("earliest"), F.max(at).alias("latest"))
+    spans = materialize(spans, "spans")
+    equal = blocks.join(spans.filter("earliest != latest"), ["anchor", "block", "core", "span"])
+    if first_only:
+        equal = equal.filter(at != F.col("earliest"))
+
+    # The earliest context of each span stands for it wherever other spans have the same core.
+    mixed = spans.groupBy("anchor", "block", "core").agg(F.count("*").alias("n")).filter("n > 1")
+    leads = spans.join(mixed, ["anchor", "block", "core"]).select("anchor", "earliest.context", F.struct("earliest.lo", "earliest.hi").alias("range"))
+    leads = leads.groupBy("anchor", "context").agg(F.collect_set("range").alias("ranges"))
+    columns = ["anchor", "context", "owner", "tid", "first", "piece", "lo", "hi", "ranges"]
+    windows = crowd.join(leads, ["anchor", "context"]).select(*columns).mapInArrow(_hash_windows(length), _WINDOW)
+    at = F.struct(*text_order, (F.col("at") + F.col("w")).alias("p"))
+    repeated = windows.groupBy("anchor", "hash").agg(F.min(at).alias("earliest"), F.max(at).alias("latest")).filter("earliest != latest")
+    single = windows.join(repeated, ["anchor", "hash"])
+    if first_only:
+        single = single.filter(at != F.col("earliest"))
+    found = equal.select("anchor", "context", F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")).alias("hit"))
+    found = found.unionByName(single.select("anchor", "context", F.struct(F.col("w").alias("a"), F.col("w").alias("b")).alias("hit")))
+    return found.groupBy("anchor", "context").agg(F.collect_set("hit").alias("hits"))
+
+
 def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", with_text: bool = False) -> DataFrame:
     """Remove every byte that a repeated string of `length` bytes covers.
 
@@ -409,16 +485,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", w
     halves = materialize(halves.mapInArrow(_halves(length), _PART), "halves")
     counts = halves.groupBy("part").agg(F.count("*").alias("rows")).filter("rows > 1")
     halves = halves.join(counts, "part")
-    small = small.unionByName(halves.filter(F.col("rows") <= _BUCKET_CONTEXTS).drop("rows")).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
+    small = small.unionByName(halves.filter(F.col("rows") <= _BUCKET_CONTEXTS).drop("rows", "anchor_at")).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
     hits = small.groupBy("bucket").applyInArrow(_bucket_matches(length, first_only), _HIT)
-    windows = halves.filter(F.col("rows") > _BUCKET_CONTEXTS).select(*columns, "lo", "hi").repartition("context").mapInArrow(_hash_windows(length), _WINDOW)
-    at = F.struct(F.col("owner").isNull().alias("last_one"), F.coalesce("owner", F.lit(0)).alias("id"), "tid", (F.col("at") + F.col("w")).alias("p"))
-    repeated = windows.groupBy("anchor", "hash").agg(F.min(at).alias("earliest"), F.max(at).alias("latest")).filter("earliest != latest")
-    crowd = windows.join(repeated, ["anchor", "hash"])
-    if first_only:
-        crowd = crowd.filter(at != F.col("earliest"))
-    crowd = crowd.groupBy("anchor", "context").agg(F.collect_set(F.struct(F.col("w").alias("a"), F.col("w").alias("b"))).alias("hits"))
-    matches = hits.unionByName(crowd)
+    crowd = materialize(halves.filter(F.col("rows") > _BUCKET_CONTEXTS).select(*columns, "anchor_at", "lo", "hi").repartition("context"), "crowd")
+    matches = hits.unionByName(_crowd_matches(crowd, length, first_only))
 
     # A context met more than once is removed whole: all its places, or all but the first.
     placed = runs.join(contexts.filter("n > 1").select("anchor", "context", F.col("lead").alias("leader")), ["anchor", "context"], "left")
