@@ -47,7 +47,7 @@ MARKET_EDGES = f"""
   from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey
   where l_quantity >= 50 and l_returnflag = 'A' and o_orderpriority = '2-HIGH' and l_suppkey % 10 = 3"""
 
-#: Flow: every tenth event leads to the next one; an item for each user and kind of event.
+#: Flow: every fortieth event leads to the next one; an item for each user and kind of event.
 _FLOW_ITEM = "user_id * 10 + case event_type when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4 else 5 end"
 FLOW_NODES = f"""
   select cast(-1 as bigint) id, 'flow' path, 'crate' kind union all
