@@ -37,6 +37,36 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).filter("size(matches) > 0").count() == 0
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[-1]))
+    return row[-1]
+
+
+def test_leaks_without_rare_words_or_tails(spark):
+    r = random.Random(15)
+    ordinary = sorted({made_text(r, 1) for _ in range(400)})
+    prose = lambda n: " ".join(r.choice(ordinary) for _ in range(n))
+    items, rows = [], [(k, prose(200)) for k in range(400)]
+    for k in range(24):
+        words = prose(20 + k).split()
+        rare = r.sample(range(len(words)), 1 + k % 3)
+        for j in rare:
+            words[j] = f"rare{k}q{j}"
+        items.append((k, " ".join(words)))
+        replaced = ["changed" if j in rare else w for j, w in enumerate(words)]
+        cut = words[: -(-len(words) * 3 // 4)]
+        rows += [(1000 + k, f"{prose(80)} {' '.join(replaced)} {prose(90)}"), (2000 + k, f"{prose(70)} {' '.join(cut)} {prose(60)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id").collect()}
+    expected = {(d, i) for d, t in rows for i, text in items if d >= 1000 and longest_common(text.split(), t.split()) >= 0.7 * len(text.split()) and d % 1000 == i}
+    assert len(expected) == 48
+    assert len(got & expected) / len(expected) >= 0.95 and got <= expected, (len(got & expected), got - expected)
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(50):

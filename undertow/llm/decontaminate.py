@@ -2,18 +2,18 @@
 
 1.  Every document is cut into passages of `_PASSAGE` words. A passage's vector holds TF-IDF
     weights of the benchmark's words (other words have no part in a similarity to an item). The idf
-    comes from all passages and is squared, so that rare words decide; words of more than a
-    twentieth of the passages weigh nothing.
+    comes from all passages.
 2.  A randomised SVD of the passage matrix A: with a random matrix W of few columns, Y = A'(A W) is
     summed over the passages of every task and then over tasks; Q, an orthogonal base of Y, goes
     through the passages once more, and the small matrix Q'(A'A)Q gives the leading right singular
     vectors. Only matrices of benchmark words by `rank` columns reach the driver.
-3.  Windows of every text, about as long as the items, are projected if they carry a fair share of an
-    item's weight, and those with a cosine of `least_cosine` to an item become candidates.
+3.  Windows of every text, about as long as the items, meet an item through its rarest words: of
+    these, so many are taken that a window with fewer than `_MEET` of them around it can't reach
+    `least_coverage`. Those that meet are projected, and with a cosine of `least_cosine` to the
+    item they become candidates.
 4.  A candidate is confirmed on the words around it: the longest common subsequence with the item
-    must cover `least_coverage` of the item, and that with its answer (a column of the benchmark,
-    or else the item's last quarter) half of the answer. Subsequences allow for inserted, dropped
-    and replaced words.
+    must cover `least_coverage` of the item, and where the benchmark has an answer for the item,
+    that with the answer half of it. Subsequences allow for inserted, dropped and replaced words.
 
 The benchmark goes in blocks of `_BLOCK` items, so what is sent to every task has a bound.
 """
@@ -32,10 +32,8 @@ from undertow.llm.common import SpanHasher, lower_ascii, materialize, row_slices
 
 _PASSAGE = 64
 _BLOCK = 2000
-_COMMON = 0.05
-#: Share of an item's sum of squared weights that a window must have to be compared with it.
-_ENERGY = 0.25
-_LEAST_TERMS = 4
+#: So many of an item's rarest words must stand around a window that is compared with it.
+_MEET = 3
 _FOUND = "_leaks_found"
 
 
@@ -71,7 +69,7 @@ class _Items:
 
 def _items(rows: list) -> _Items:
     hashes = [_hash_text(r["text"]) for r in rows]
-    answers = [_hash_text(r["answer"]) if r["answer"] else h[len(h) - max(1, len(h) // 4) :] if len(h) else h for r, h in zip(rows, hashes)]
+    answers = [_hash_text(r["answer"]) for r in rows]  # empty where there is none
     vocabulary = np.unique(np.concatenate([*hashes, *answers, np.zeros(0, np.uint64)]))
     empty = _Items([], [], [], vocabulary)
     kept = [k for k, h in enumerate(hashes) if len(h)]
@@ -160,7 +158,7 @@ def _times_gram(weight: np.ndarray, right: np.ndarray):
 
 @dataclass(frozen=True)
 class LatentSpace:
-    weight: np.ndarray  # idf of each term, 0 for common ones
+    weight: np.ndarray  # idf of each term
     base: np.ndarray  # terms x rank, orthonormal columns
 
 
@@ -170,12 +168,7 @@ def fit_latent_space(passages: DataFrame, items: _Items, *, rank: int = 64, seed
     for r in passages.mapInArrow(_document_frequency(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row for each word of the block
         df[r["term"]] = r["n"]
     n = df[size]
-    idf = np.log((1 + n) / (1 + df[:size])) + 0.1
-    common = df[:size] > _COMMON * n
-    for words in items.words:  # an item of common words keeps them all
-        if len(np.unique(words[~common[words]])) < _LEAST_TERMS:
-            common[words] = False
-    weight = np.where(common, 0.0, idf**2)
+    weight = np.log((1 + n) / (1 + df[:size])) + 0.1
     rank = max(1, min(rank, size))
     random = np.random.default_rng(seed).standard_normal((size, rank))
     base, _ = np.linalg.qr(_times_gram(weight, random)(passages))
@@ -207,45 +200,66 @@ _MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float6
 
 
 def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float, least_coverage: float):
-    terms = [np.unique(w[space.weight[w] > 0], return_counts=True) for w in items.words]
+    terms = [np.unique(w, return_counts=True) for w in items.words]
     vectors = np.stack([(space.weight[t] * c) @ space.base[t] for t, c in terms]) if terms else np.zeros((0, space.base.shape[1]))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     vectors = vectors.astype(np.float32)
-    item_energy = np.array([float((space.weight[t] ** 2 * c).sum()) for t, c in terms])
     length = np.array([len(w) for w in items.words])
     # The next of 16, 24, 36, ... words.
     window = np.ceil(16 * 1.5 ** np.ceil(np.log(np.maximum(length, 16) / 16) / np.log(1.5))).astype(int) if len(length) else length
     masks = [(_masks(w), len(w), _masks(a), len(a)) for w, a in zip(items.words, items.answers)]
     projected = (space.base * space.weight[:, None]).astype(np.float32)
+    # A common subsequence of `need` words leaves out all but `meet` of the item's `taken` rarest words at most.
+    need = np.maximum(1, np.ceil(least_coverage * length - 1e-9).astype(int))
+    meet = np.minimum(_MEET, need)
+    taken = length - need + meet
+    keys = {}
+    for size in np.unique(window):
+        mine = np.flatnonzero(window == size)
+        rarest = [np.unique(w[np.argsort(-space.weight[w], kind="stable")[: taken[i]]]) for i, w in ((i, items.words[i]) for i in mine)]
+        term, item = np.concatenate(rarest), np.repeat(mine, [len(x) for x in rarest])
+        by = np.argsort(term, kind="stable")
+        keys[int(size)] = item[by], np.searchsorted(term[by], np.arange(len(space.weight) + 1))
 
     def candidates(number: np.ndarray, first: np.ndarray, count: np.ndarray):
-        """(text, item, window start, cosine) for each text's words, numbered by the vocabulary."""
-        place = np.flatnonzero((number >= 0) & (space.weight[np.maximum(number, 0)] > 0))
+        """(text, item, window start, window size, cosine) for each text's words, numbered by the vocabulary."""
+        place = np.flatnonzero(number >= 0)
         term = number[place]
-        energy = np.concatenate(([0.0], np.cumsum(space.weight[term] ** 2)))
-        hits = np.zeros(len(number) + 1, np.int64)
-        hits[place + 1] = 1
-        hits = np.cumsum(hits)
-        for size in np.unique(window):
-            mine = np.flatnonzero(window == size)
+        hits = np.searchsorted(place, np.arange(len(number) + 1))
+        owner = np.searchsorted(first, place, side="right") - 1
+        for size, (item, at) in keys.items():
             step = size // 4
-            per = np.maximum(1, -(-(count - size) // step) + 1) * (count > 0)
-            text = np.repeat(np.arange(len(count)), per)
-            start = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * step
-            end = np.minimum(start + size, first[text] + count[text])
-            held = energy[hits[end]] - energy[hits[start]]
-            good = np.flatnonzero(held >= _ENERGY * item_energy[mine].min())
-            for a in range(0, len(good), 5000):
-                part = good[a : a + 5000]
-                low, sizes = hits[start[part]], hits[end[part]] - hits[start[part]]
-                into = np.cumsum(sizes) - sizes
-                every = np.repeat(low - into, sizes) + np.arange(sizes.sum())
-                vector = np.add.reduceat(projected[term[every]], into, axis=0)
-                norm = np.linalg.norm(vector, axis=1)
-                cosine = (vector @ vectors[mine].T) / np.maximum(norm, 1e-9)[:, None]
-                w, i = np.nonzero((cosine >= least_cosine) & (held[part][:, None] >= _ENERGY * item_energy[mine][None, :]))
-                for x, y in zip(w.tolist(), i.tolist()):
-                    yield int(text[part[x]]), int(mine[y]), int(start[part[x]]), int(size), float(cosine[x, y])
+            last = np.maximum(0, -(-(count - size) // step))  # number of each text's last window
+            base = np.concatenate(([0], np.cumsum(last + 1)))
+            each = at[term + 1] - at[term]
+            hit = np.repeat(np.arange(len(term)), each)
+            whose = item[np.repeat(at[term], each) + np.arange(len(hit)) - np.repeat(np.cumsum(each) - each, each)]
+            # Around a window are the words from half a window before it to half a window behind it.
+            inside = (place - first[owner])[hit]
+            low = np.maximum(0, (inside - size - size // 2) // step + 1)
+            high = np.minimum((inside + size // 2) // step, last[owner[hit]])
+            n = np.maximum(0, high - low + 1)
+            near = np.repeat(base[owner[hit]] + low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pair, met = np.unique(near * len(length) + np.repeat(whose, n), return_counts=True)
+            pair = pair[met >= meet[pair % len(length)]]
+            seen, which = np.unique(pair // len(length), return_inverse=True)
+            text = np.searchsorted(base, seen, side="right") - 1
+            start = first[text] + (seen - base[text]) * step
+            low, sizes = hits[start], hits[np.minimum(start + size, first[text] + count[text])] - hits[start]
+            for a in range(0, len(seen), 5000):
+                part = slice(a, a + 5000)
+                vector = np.zeros((len(seen[part]), projected.shape[1]), np.float32)
+                full = np.flatnonzero(sizes[part] > 0)
+                if len(full):
+                    into = np.cumsum(sizes[part][full]) - sizes[part][full]
+                    every = np.repeat(low[part][full] - into, sizes[part][full]) + np.arange(sizes[part].sum())
+                    vector[full] = np.add.reduceat(projected[term[every]], into, axis=0)
+                vector /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
+                mine = slice(np.searchsorted(which, a), np.searchsorted(which, a + 5000))
+                cosine = np.einsum("ij,ij->i", vector[which[mine] - a], vectors[pair[mine] % len(length)])
+                for x in np.flatnonzero(cosine >= least_cosine).tolist():
+                    w = int(which[mine][x])
+                    yield int(text[w]), int(pair[mine][x] % len(length)), int(start[w]), size, float(cosine[x])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,8 +277,8 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
                     coverage = _common_subsequence(item_masks, item_size, words) / item_size
                     if coverage < least_coverage:
                         continue
-                    answer = _common_subsequence(answer_masks, answer_size, words) / max(1, answer_size)
-                    if answer >= 0.5 and (coverage, cosine) > matches[a + text].get(item, (0.0,))[:2]:
+                    answer = _common_subsequence(answer_masks, answer_size, words) / answer_size if answer_size else None
+                    if (answer is None or answer >= 0.5) and (coverage, cosine) > matches[a + text].get(item, (0.0,))[:2]:
                         matches[a + text][item] = (coverage, cosine, answer)
             lists = [[{"item_id": items.ids[i], "cosine": c, "coverage": v, "answer": w} for i, (v, c, w) in sorted(m.items())] for m in matches]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, _MATCH_ARROW)], names=[*batch.schema.names, _FOUND])
@@ -277,7 +291,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, least_c
 
     docs: text and any other columns (kept; a column named matches is replaced); benchmark: item_id
     long, text, and optionally answer. matches is an array of struct<item_id, cosine, coverage,
-    answer>, empty for a clean text. Null or empty texts match nothing; items without words are
+    answer>, empty for a clean text; answer is null where the benchmark has none. Null or empty texts match nothing; items without words are
     never found; items or documents that repeat are each judged; null ids are kept. Empty docs or
     benchmark: no matches.
     """
