@@ -101,6 +101,17 @@ def test_url_rules(spark):
     assert (got[0]["host"], got[0]["path"]) == ("www.example.com", "/en/x") and got[9]["host"] == "b.org"
 
 
+def test_porn_directly_under_the_host(spark):
+    urls = ["http://x.org/porn/1.html", "http://x.org/a/porn/1.html", "http://x.org/a/b/porn/", "http://x.org/porn", "http://porn/a/", "http://x.org/pornography/1"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(frame).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["block"] * 3 + ["allow"] * 3
+    con = duckdb.connect()
+    con.sql("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    assert con.sql(f"select verdict from ({queries.SQL['op10_url_filter']}) order by page_id").fetchall() == [(r["verdict"],) for r in got]
+
+
 @pytest.fixture(scope="session")
 def tables(spark, tmp_path_factory):
     """A small corpus with planted cases."""

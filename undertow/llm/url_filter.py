@@ -49,7 +49,7 @@ RULES = (
     HostRule("block", "net", "/fr/"),
 )
 #: Hosts and paths that are blocked where no rule fits.
-BLOCK_GLOBS = ("*cheap-pills.*/**", "*adult-*/**", "*casino*/**", "*.xxx/**", "*/**/porn/**", "*/**.exe")
+BLOCK_GLOBS = ("*cheap-pills.*/**", "*adult-*/**", "*casino*/**", "*.xxx/**", "*/porn/**", "*/**/porn/**", "*/**.exe")
 
 
 class GlobAutomaton:
