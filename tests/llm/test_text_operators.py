@@ -160,6 +160,24 @@ def test_toxicity(spark):
     assert all(got[d]["predicted"] == 0 and 0 <= got[d]["score"] <= 1 for d in (2000, 2001, 2002, None))
 
 
+def test_toxicity_of_long_and_split_disguises(spark):
+    r = random.Random(18)
+    bad = ["stupid", "idiot", "azz"]
+    rows = [(k, made_text(r, 60)) for k in range(300)]
+    rows = [(k, t if k % 5 else t + " " + bad[k // 5 % 3] + ", " + made_text(r, 9)) for k, t in rows]
+    labels = [(k, int(k % 5 == 0)) for k, _ in rows]
+    hidden = ["i" + "d" * 30 + "iot", "id-iot", "i.d.iot", "an-id1ot", "a i d i o t", " ".join("onstandelastupiderthon"), " ".join("stupididiot"), " ".join("on the la " * 4 + "idiot").replace("   ", " ")]
+    rows += [(1000 + i, made_text(r, 20) + " " + h + " " + made_text(r, 20)) for i, h in enumerate(hidden)]
+    rows += [(1100, made_text(r, 20) + " @22 " + made_text(r, 9))]
+    clean = ["well-known on-line x.org 455 1337 $100 **** ###", "a b c d e f g h i j k l m n o p q r s t u v w x y z", "s t u", "p i d"]
+    rows += [(2000 + i, t) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x["doc_id"]: x for x in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[1000 + i]["predicted"] for i in range(len(hidden))] == [1] * len(hidden), [got[1000 + i]["restored"] for i in range(len(hidden))]
+    assert got[1100]["predicted"] == 1
+    assert [got[2000 + i]["predicted"] for i in range(len(clean))] == [0] * len(clean)
+
+
 def test_decoding_is_the_cheapest_path():
     r = np.random.RandomState(0)
     decoder = toxicity.Decoder(r.randint(1, 9, 27**3), ())

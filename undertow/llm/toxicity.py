@@ -3,7 +3,7 @@
 1.  A character language model: trigrams over a-z and word bounds, counted over all texts.
 2.  Words that may be disguised (symbols among letters, letters spaced out or drawn out) become a
     lattice: each symbol stands for the letters it can replace, each run of a letter for one or
-    two of it, separators for nothing. Viterbi decoding under the language model, with the learned
+    two of it, separators for nothing or, as gaps between spaced letters, for a word bound. Viterbi decoding under the language model, with the learned
     lexicon mixed in as its most certain words, restores the likeliest spelling.
 3.  The text with its restored words is scored by a lexicon of words and word beginnings learnt
     from labels: features seen almost only in toxic documents, chosen by greedy cover so that each
@@ -32,15 +32,17 @@ _CANDIDATES = 4000
 _CODES = 27
 #: What a symbol can stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz"}
-_SEPARATORS = ".-_ "
-_LONGEST = 28
+_SEPARATORS = ".-_ ,;:~'/\\=^`"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LEET_BYTE = np.zeros(256, bool)
 _LEET_BYTE[[ord(c) for c in LEET]] = True
 _SEPARATOR_BYTE = np.zeros(256, bool)
-_SEPARATOR_BYTE[[ord(c) for c in ".-_"]] = True
+_SEPARATOR_BYTE[[ord(c) for c in _SEPARATORS.replace(" ", "")]] = True
+#: Symbols that disguise a word without letters too; numbers and wildcards alone are left as they are.
+_SIGN_BYTE = np.zeros(256, bool)
+_SIGN_BYTE[[ord(c) for c in LEET if not c.isdigit() and c not in "*#"]] = True
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 
@@ -57,8 +59,8 @@ def _feature_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tup
     return np.concatenate(words), np.concatenate(features)
 
 
-def _suspects(low: np.ndarray, start: np.ndarray, end: np.ndarray, raw_end: np.ndarray) -> list[tuple[int, str]]:
-    """(word index, what to decode) of the words that may be disguised."""
+def _suspects(low: np.ndarray, start: np.ndarray, end: np.ndarray, raw_start: np.ndarray, raw_end: np.ndarray, row: np.ndarray) -> list[tuple[int, str, bool]]:
+    """(word index, what to decode, whether letters are spaced out) of the words that may be disguised; row: the text of each."""
 
     def count(mask: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(mask)))
@@ -69,14 +71,19 @@ def _suspects(low: np.ndarray, start: np.ndarray, end: np.ndarray, raw_end: np.n
     drawn = np.zeros(len(low), bool)
     drawn[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
     letters = count(letter)
-    odd = ((count(leet) > 0) & (letters > 0)) | (count(drawn) > 0) | ((count(_SEPARATOR_BYTE[low]) * 2 + 1 == size) & (size >= 5) & (letters > 1))
-    odd &= (size >= 3) & (size <= _LONGEST)
-    found = [(int(k), low[start[k] : end[k]].tobytes().decode("utf-8", "replace")) for k in np.flatnonzero(odd)]
+    odd = ((count(leet) > 0) & (letters > 0)) | (count(drawn) > 0) | ((count(_SEPARATOR_BYTE[low]) > 0) & (letters > 1))
+    odd &= size >= 3
+    text = lambda a, b: low[a:b].tobytes().decode("utf-8", "replace")
+    found = [(int(k), text(start[k], end[k]), False) for k in np.flatnonzero(odd)]
+    # Symbols alone, which trimming may have cut.
+    total = [np.concatenate(([0], np.cumsum(m))) for m in (leet, _SIGN_BYTE[low])]
+    whole, signs = (t[raw_end] - t[raw_start] for t in total)
+    bare = (whole == raw_end - raw_start) & (whole >= 3) & (signs > 0)
+    found += [(int(k), text(raw_start[k], raw_end[k]), False) for k in np.flatnonzero(bare)]
     single = (raw_end - start <= 2) & (size == 1) & (letter | leet)[np.minimum(start, len(low) - 1)]
-    edge = np.diff(np.concatenate(([0], single.astype(np.int8), [0])))
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-        if 4 <= b - a <= _LONGEST:
-            found.append((int(a), bytes(low[start[a:b]]).decode()))
+    for group in np.split(np.arange(len(row)), np.flatnonzero((single[1:] != single[:-1]) | (row[1:] != row[:-1])) + 1):
+        if len(group) >= 3 and single[group[0]]:
+            found.append((int(group[0]), bytes(low[start[group]]).decode(), True))
     return found
 
 
@@ -92,7 +99,23 @@ class Decoder:
             for a, b, c in zip(codes, codes[1:], codes[2:]):
                 counts[a, b, c] += weight / max(1, len(lexicon))
         self.cost = -np.log(counts / counts.sum(axis=2, keepdims=True))
-        self.decode = lru_cache(maxsize=50_000)(self._decode)
+        #: Words of the lexicon by their first letter, and what one of them costs.
+        self.known: dict[str, list[str]] = {}
+        for word in lexicon:
+            if word.isascii() and word.isalpha() and len(word) >= 3:
+                self.known.setdefault(word[0], []).append(word)
+        self.known_cost = float(np.log(100.0 * max(1, len(lexicon))))
+        self._short = lru_cache(maxsize=50_000)(self._decode)
+        self._short_words = lru_cache(maxsize=50_000)(self._decode_words)
+
+    def decode(self, token: str) -> str:
+        token = token.replace("#", "*")
+        return self._short(token) if len(token) <= 64 else self._decode(token)
+
+    def decode_words(self, token: str, spaced: bool) -> list[str]:
+        """The likeliest words behind letters that are spaced out, or behind a token that may be split at its separators."""
+        token = token.replace("#", "*")
+        return self._short_words(token, spaced) if len(token) <= 64 else self._decode_words(token, spaced)
 
     def _lattice(self, token: str) -> list[tuple[str, ...]]:
         """For each step, the strings it can stand for; "" where it may be nothing."""
@@ -117,21 +140,69 @@ class Decoder:
 
     def _decode(self, token: str) -> str:
         """The likeliest word behind a token, "" if it holds characters that no word has."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self._lattice(token) or [()]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, word) in states.items():
-                for option in options:
-                    x, y, total = a, b, cost
-                    for c in option:
-                        code = ord(c) - 96
-                        total += self.cost[x, y, code]
-                        x, y = y, code
-                    if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = (total, word + option)
+        steps = self._lattice(token) or [()]
+        if all(len(options) == 1 for options in steps):
+            return "".join(options[0] for options in steps)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in steps:
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            self._step(states, options, new)
             states = new
-        best = min(((cost + self.cost[a, b, 0], word) for (a, b), (cost, word) in states.items()), default=(0.0, ""))
-        return best[1]
+        best = min(((cost + self.cost[a, b, 0], path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0], default=(0.0, None))
+        return self._spelt(best[1])
+
+    @staticmethod
+    def _spelt(path: tuple | None) -> str:
+        parts = []
+        while path is not None:
+            path, option = path
+            parts.append(option)
+        return "".join(reversed(parts))
+
+    def _step(self, states: dict, options: tuple[str, ...], new: dict) -> None:
+        for (a, b), (cost, path) in states.items():
+            for option in options:
+                x, y, total = a, b, cost
+                for c in option:
+                    code = 0 if c == " " else ord(c) - 96
+                    total += self.cost[x, y, code]
+                    x, y = (y, code) if code else (0, 0)
+                if (x, y) not in new or total < new[x, y][0]:
+                    new[x, y] = (total, (path, option))
+
+    def _decode_words(self, token: str, spaced: bool) -> list[str]:
+        steps = self._lattice(token)
+        if spaced:  # a bound may stand between any two letters
+            steps = [p for options in steps for p in (tuple(dict.fromkeys(o for x in options for o in ((x, f"{x[0]} {x[0]}") if len(x) == 2 else (x,)))), ("", " "))][:-1]
+        else:
+            steps = [("", " ") if options == ("",) else options for options in steps]
+        bound = lambda k: k == len(steps) or " " in steps[k]
+
+        def ends(word: str, k: int) -> set[int]:
+            """The steps before which a word from step k on may end."""
+            at = {(k, 0)}
+            done = set()
+            while at:
+                at = {(i + 1, n + len(o)) for i, n in at if i < len(steps) and n < len(word) for o in steps[i] if word.startswith(o, n)}
+                done |= {i for i, n in at if n == len(word) and bound(i)}
+            return done
+
+        every: list[dict] = [{} for _ in range(len(steps) + 2)]
+        every[0][0, 0] = (0.0, None)
+        for k, options in enumerate(steps):
+            if (0, 0) in every[k]:
+                cost, path = every[k][0, 0]
+                for first in {o[0] for o in options if o and o != " "}:
+                    for word in self.known.get(first, ()):
+                        for i in ends(word, k):
+                            total = cost + self.known_cost
+                            if (0, 0) not in every[i + 1] or total < every[i + 1][0, 0][0]:
+                                every[i + 1][0, 0] = (total, (path, word + " "))
+            self._step(every[k], options, every[k + 1])
+            every[k] = {}
+        last = [(cost + (self.cost[a, b, 0] if (a, b) != (0, 0) else 0.0), path) for (a, b), (cost, path) in every[len(steps)].items()]
+        last += [every[len(steps) + 1][0, 0]] if every[len(steps) + 1] else []
+        return self._spelt(min(last, key=lambda x: x[0], default=(0.0, None))[1]).split()
 
 
 def count_trigrams(docs: DataFrame) -> np.ndarray:
@@ -276,17 +347,19 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, trigrams: np.ndarray) -> Data
                 hit, which = matched(feature)
                 rows = np.searchsorted(bounds, start[word[hit]], side="right") - 1
                 pairs = {(int(r), int(f)) for r, f in zip(rows, which)}
-                for k, token in _suspects(low, start, end, raw_end):
-                    plain = decoder.decode(token)
-                    if len(plain) < 3:
-                        continue
-                    raw = np.frombuffer(plain.encode(), np.uint8)
-                    _, own = _feature_hashes(raw, np.array([0]), np.array([len(raw)]))
-                    _, found = matched(own)
-                    if len(found):
-                        row = int(np.searchsorted(bounds, raw_start[k], side="right")) - 1
-                        restored[a + row].append(plain)
-                        pairs |= {(row, int(f)) for f in found}
+                row_of = np.searchsorted(bounds, raw_start, side="right") - 1
+                for k, token, spaced in _suspects(low, start, end, raw_start, raw_end, row_of):
+                    tried = {decoder.decode(token)}
+                    if spaced or any(c in _SEPARATORS for c in token):
+                        tried.update(decoder.decode_words(token, spaced))
+                    row = int(row_of[k])
+                    for plain in sorted(w for w in tried if len(w) >= 3):
+                        raw = np.frombuffer(plain.encode(), np.uint8)
+                        _, own = _feature_hashes(raw, np.array([0]), np.array([len(raw)]))
+                        _, found = matched(own)
+                        if len(found):
+                            restored[a + row].append(plain)
+                            pairs |= {(row, int(f)) for f in found}
                 total = np.zeros(b - a)
                 for r, f in pairs:
                     total[r] += clean[f]
