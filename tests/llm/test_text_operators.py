@@ -119,6 +119,16 @@ def test_redaction_and_added_kinds(spark):
     assert rows[2]["text"] is None and rows[3]["text"] == "plain words 12" and rows[1]["kind"] == "k" and rows[1]["found"] + rows[1]["spans"] == 3
 
 
+def test_long_and_overlapping_candidates(spark):
+    long_secret, long_key = "ab12" * 120, "A1B2C3D4" * 40
+    rows = [(1, f"x password={long_secret} y"), (2, "call +1 555 123 4567 555-987-6543 now"), (3, "token=secret=abcdef123456 z"), (4, f"see {'w' * 80}(at){'m' * 80} (dot) com ok"), (5, "code " + "Q" * 41 + "7" + "Z" * 20 + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert got[1] == "x [secret] y" and got[3] == "x [secret] z".replace("x ", "") and got[4] == "see [contact] ok"
+    assert not re.search("555|4567|6543", got[2]), got[2]
+    assert re.fullmatch(pii.KEY, long_key) and re.fullmatch(pii.KEY, rows[4][1].split()[1])
+
+
 def test_quality(spark):
     r = random.Random(4)
     rows = [(k, made_text(r, 80) + "\nline\n" + made_text(r, 5) + "\nline # $") for k in range(60)]

@@ -1,8 +1,9 @@
 """Personal data: exact base patterns, and gradient-boosted trees over high-recall candidates.
 
 Base kinds are found by pattern and checked by value (parts of an address, Luhn sum, digit count).
-Beside them, one wide pattern proposes candidates: secrets after a keyword, long mixed tokens,
-disguised addresses, digit groups, and what the base patterns matched but their checks refused.
+Beside them, wide patterns propose candidates, each in a scan of its own: secrets after a keyword,
+long mixed tokens, disguised addresses, runs of digits and the numbers inside them, and what the
+base patterns matched but their checks refused.
 Boosted trees over format and context features score each candidate; those above the threshold of
 calibration are added. Overlaps between kinds are allowed; redaction joins them.
 
@@ -35,14 +36,17 @@ KINDS = ("email", "ip", "card", "phone")
 _BASE = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE)))
 _BYTE_PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
-SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\x20]?[=:][\x20]?\"?[A-Za-z0-9+/_-]{6,200}"
-CONTACT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\(at\)|\[at\])[\x20]?[A-Za-z0-9-]{1,64}(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?[A-Za-z0-9-]{1,64}){1,4}"
-NUMBER = r"\(?[0-9](?:[\x20().-]?[0-9]){6,18}+"
-KEY = r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,40}[0-9])[A-Za-z0-9]{16,128}(?![A-Za-z0-9])"
+SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)(?:[\x20]?[=:][\x20]?\"?[A-Za-z0-9+/_-]{6,}+)++"
+CONTACT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?(?:\(at\)|\[at\])[\x20]?[A-Za-z0-9-]++(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?[A-Za-z0-9-]++)++"
+KEY = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{16,}+(?![A-Za-z0-9])"
+#: A whole run of digits and what separates them; _numbers takes it apart.
+NUMBER = r"[+(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+"
 _WIDE = {"secret": SECRET, "contact": CONTACT, "key": KEY, "number": NUMBER}
-CANDIDATE = "|".join(f"(?:{p})" for p in (EMAIL, PHONE, IP, SECRET, CONTACT, KEY, NUMBER))
+#: Digits of a number inside a longer run, and characters that they may take.
+_FEWEST, _MOST, _REACH = 7, 19, 60
 _CONTEXT = 24
 _FOUND = "_pii_found"
+_SPAN = "struct<kind:string,start:int,end:int>"
 _PHONE_WORDS = r"(?i)(?:tel|phone|call|mobile|fax|whatsapp|sms)[^a-zA-Z]{0,4}$"
 _ID_WORDS = r"(?i)(?:ssn|passport|account|iban|card|id)[^a-zA-Z]{0,6}$"
 
@@ -110,6 +114,25 @@ def _valid(kind: str, x: Column) -> Column:
     return F.length(_digits(x)).between(9, 15)
 
 
+def _numbers(run: Column) -> Column:
+    """The numbers of a run: for each group of digits, those that start there and end with one of the next groups."""
+    pieces = F.split(run["text"], "(?<=[^0-9])(?=[0-9])", -1)
+
+    def from_start(s: Column) -> Column:
+        lead = F.when((s > 0) & F.substring(run["text"], s, F.lit(1)).isin("(", "+"), 1).otherwise(0)
+        return let(F.struct((s - lead).alias("s"), F.substr(run["text"], s - lead + 1, F.lit(_REACH + 1)).alias("w")), spans)
+
+    def spans(x: Column) -> Column:
+        good = F.filter(
+            F.sequence(F.lit(_FEWEST), F.lit(_REACH)),
+            lambda k: (k <= F.length(x["w"])) & F.substr(x["w"], k, F.lit(1)).rlike("[0-9]") & ~F.substr(x["w"], k + 1, F.lit(1)).rlike("[0-9]") & F.length(_digits(F.left(x["w"], k))).between(_FEWEST, _MOST),
+        )
+        before = F.right(F.concat(run["before"], F.substr(run["text"], F.greatest(F.lit(1), x["s"] - _CONTEXT + 1), F.least(x["s"], F.lit(_CONTEXT)))), F.lit(_CONTEXT))
+        return F.transform(good, lambda k: F.struct(F.left(x["w"], k).alias("text"), (run["start"] + x["s"]).alias("start"), (run["start"] + x["s"] + k).alias("end"), before.alias("before"), F.lit("").alias("after")))
+
+    return let(F.transform(pieces, lambda p: F.length(p)), lambda g: F.transform(_running(g), from_start))
+
+
 # --- the trees ---------------------------------------------------------------------------------
 
 FEATURES = ("digits", "letters", "length", "separators", "secret", "disguised", "phone_word", "id_word", "mixed", "leading_plus", "groups")
@@ -266,7 +289,10 @@ def find_personal_data(docs: DataFrame, *, threshold: float | None = None) -> Da
     digits = text.rlike("[0-9]")
     possible = {"email": F.contains(text, F.lit("@")), "ip": digits, "card": digits, "phone": F.contains(text, F.lit("+")) & digits}
     raw = [_found(text, _BASE[k], possible[k]).alias(k) for k in KINDS]
-    raw.append(_found(text, CANDIDATE, digits | F.contains(text, F.lit("@")) | F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")) | F.contains(text, F.lit("(")) | F.contains(text, F.lit("["))).alias("wide"))
+    keyed = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    bracket = F.contains(text, F.lit("(")) | F.contains(text, F.lit("["))
+    able = {"secret": keyed, "contact": bracket, "key": digits, "number": digits}
+    raw += [_found(text, _WIDE[k], able[k]).alias(k) for k in _WIDE]
     rows = held(docs.drop("base", "added"), _FOUND, F.struct(*raw))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
 
@@ -284,8 +310,24 @@ def find_personal_data(docs: DataFrame, *, threshold: float | None = None) -> Da
         known = whole("email") | whole("ip") | whole("card") | whole("phone")
         return ~known & let(F.array(*[f.cast("double") for f in _features(m["text"], m["before"])]), lambda f: _tree_score(f, trees, first) > F.lit(limit))
 
-    added = F.coalesce(F.transform(F.filter(_placed(F.col(_FOUND)["wide"]), personal), lambda m: span(_kind_of(m["text"]), m)), none)
-    return rows.withColumns({"base": F.concat(*base), "added": F.array_sort(added)}).drop(_FOUND)
+    def kept(found: Column) -> Column:
+        return F.coalesce(F.transform(F.filter(found, personal), lambda m: span(_kind_of(m["text"]), m)), none)
+
+    def longest(starts: Column) -> Column:
+        """Of each start the longest span that the trees take, without those inside one of another start."""
+        best = F.filter(F.transform(starts, lambda c: F.element_at(F.concat(F.array(F.lit(None).cast(_SPAN)), kept(c)), -1)), lambda x: x.isNotNull())
+        return let(best, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.greatest(i - _REACH + 1, F.lit(1)), F.least(i, F.lit(_REACH))), lambda y: y["end"] >= x["end"])))
+
+    runs = _placed(F.col(_FOUND)["number"])
+    parts = F.coalesce(F.flatten(F.transform(runs, lambda m: longest(_numbers(m)))), none)
+    # Whatever its own scan proposed, in any other span or over its edge; phones and addresses that the checks refused too.
+    wide = F.concat(*[kept(_placed(F.col(_FOUND)[k])) for k in ("ip", "phone", "secret", "contact", "key", "number")], parts)
+    rows = rows.withColumn("base", F.concat(*base))
+    rows = held(rows, "added", F.array_distinct(F.array_sort(wide)))
+    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])
+    more = lambda x, y: inside(x, y) & ((y["end"] - y["start"]) > (x["end"] - x["start"]))
+    added = F.filter("added", lambda x: ~F.exists("base", lambda y: inside(x, y)) & ~F.exists("added", lambda y: more(x, y)))
+    return rows.withColumn("added", added).drop(_FOUND)
 
 
 def span_digest(docs: DataFrame) -> DataFrame:
