@@ -68,15 +68,86 @@ def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_factor_arrays():
+def shared(a, b, most):
+    n = 0
+    while n < most and n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("text", [b"abcabcabdabcabd", b"a" * 30, b"abaababaabaab" * 3, bytes(range(40))])
+def test_factor_arrays(text):
+    import numpy as np
+
+    length, r = 6, random.Random(4)
+    data = np.frombuffer(text, np.uint8)
+    words = np.frombuffer(np.array(data, dtype=np.uint32).tobytes(), np.uint32)
+    starts = np.arange(len(text) - length + 1)
+    place = np.array(r.sample(range(len(starts)), len(starts)))
+    for symbols in (data, words):
+        levels = suffix_dedup.suffix_ranks(symbols, length)
+        rank = levels[-1][1]
+        assert all((rank[i] < rank[j]) == (text[i : i + length] < text[j : j + length]) for i in starts for j in starts)
+        previous, following = suffix_dedup.longest_factors(levels, starts, place)
+        for i in starts:
+            common = [(place[j] < place[i], shared(text[i:], text[j:], length)) for j in starts if j != i]
+            assert previous[i] == max((n for before, n in common if before), default=0)
+            assert following[i] == max((n for before, n in common if not before), default=0)
+
+
+def test_nearest_smaller():
     import numpy as np
 
-    data = np.frombuffer(b"abcabcabd", np.uint8)
-    rank = suffix_dedup.suffix_ranks(data, 3)
-    text = b"abcabcabd\0\0\0"
-    assert all((rank[i] < rank[j]) == (text[i : i + 3] < text[j : j + 3]) for i in range(9) for j in range(9))
-    previous, following = suffix_dedup.longest_factors(rank[:7], np.arange(7), 3)
-    assert previous.tolist() == [0, 0, 0, 3, 3, 3, 0] and following.tolist() == [3, 3, 3, 0, 0, 0, 0]
+    for n in (0, 1, 2, 9, 50):
+        values = random.Random(n).sample(range(100), n)
+        expected = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(n)]
+        assert suffix_dedup.nearest_smaller(np.array(values, dtype=np.int64)).tolist() == expected
+
+
+def brute_passages(rows, size):
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    where, texts = {}, Counter(t or "" for _, t in rows)
+    windows = {}
+    for t in texts:
+        w = word.findall(t)
+        windows[t] = [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
+        for x in windows[t]:
+            where.setdefault(x, set()).add(t)
+    out = {}
+    for t, n in texts.items():
+        mask = set()
+        for k, x in enumerate(windows[t]):
+            if len(where[x]) > 1 or n > 1:
+                mask |= set(range(k, k + size))
+        out[t] = len(mask)
+    return out
+
+
+@pytest.mark.parametrize("crowd, block", [(1024, 16), (2, 16), (2, 3)])
+def test_passages(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "_BUCKET_CONTEXTS", crowd)
+    rows = corpus()
+    passage = rows[4][1].split()[10:40]
+    rows += [(70, "\t".join(passage) + "\n"), (71, "p q r s t u v w x y z " * 4), (72, " ".join(passage[:11])), (73, " ".join(passage[3:16]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs, length=L, keep="none", passage_words=12).collect()
+    expected = brute_passages(rows, 12)
+    assert Counter((r["doc_id"], r["n_passage_words"]) for r in got) == Counter((d, expected[t or ""]) for d, t in rows)
+    assert dict((r["doc_id"], r["n_passage_words"]) for r in got)[71] == 0  # repeats itself only
+
+
+def test_a_text_longer_than_a_slice(spark):
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(600))
+    long_text = "".join(r.choices("ijklmnop ", k=5 << 20))
+    at = (1 << 22) - 300  # over the end of the first slice
+    docs = spark.createDataFrame([(1, long_text[:at] + passage + long_text[at:]), (2, passage + "q")], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(docs, length=400, keep="none", passage_words=50).collect()}
+    assert (got[1]["n_removed"], got[1]["n_spans"], got[1]["spans"][0]["start"]) == (600, 1, at)
+    assert (got[2]["n_removed"], got[2]["n_spans"]) == (600, 1)
+    assert got[1]["n_passage_words"] >= 50
+
 
 
 def shingles(text, size):

@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return suffix_dedup.remove_repeats(docs, length=400, keep="none").drop("spans")
+    return suffix_dedup.remove_repeats(docs, length=400, keep="none", passage_words=50).drop("spans")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
