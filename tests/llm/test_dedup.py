@@ -99,9 +99,11 @@ def test_nearest_smaller():
     import numpy as np
 
     for n in (0, 1, 2, 9, 50):
-        values = random.Random(n).sample(range(100), n)
+        values, steps = random.Random(n).sample(range(100), n), [random.Random(n + 1).randrange(9) for _ in range(n)]
         expected = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(n)]
-        assert suffix_dedup.nearest_smaller(np.array(values, dtype=np.int64)).tolist() == expected
+        least = [min(steps[j + 1 : i + 1]) if j >= 0 else 0 for i, j in enumerate(expected)]
+        got = suffix_dedup.nearest_smaller(np.array(values, dtype=np.int64), np.array(steps, dtype=np.int64))
+        assert got[0].tolist() == expected and got[1].tolist() == least
 
 
 def brute_passages(rows, size):

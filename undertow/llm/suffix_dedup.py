@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -240,19 +241,24 @@ def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     return levels
 
 
-def nearest_smaller(values: np.ndarray) -> np.ndarray:
-    """Index of the nearest entry before each one with a smaller value, -1 without any; values are distinct.
+def nearest_smaller(values: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the nearest entry before each one with a smaller value, least of shared on the way); -1 and 0 without any.
 
-    All entries point to the one before; those that point to a larger value take over its pointer,
-    for all that lies between is larger still.
+    values are distinct; shared[i] belongs to the step from entry i to the one before. All entries
+    point to the one before; those that point to a larger value take over its pointer, for all
+    that lies between is larger still.
     """
-    before = np.arange(-1, len(values) - 1)
+    before, least = np.arange(-1, len(values) - 1), shared.copy()
     open_ = np.arange(1, len(values))
     while len(open_):
         open_ = open_[before[open_] >= 0]
-        open_ = open_[values[before[open_]] > values[open_]]
-        before[open_] = before[before[open_]]
-    return before
+        at = before[open_]
+        larger = values[at] > values[open_]
+        open_, at = open_[larger], at[larger]
+        least[open_] = np.minimum(least[open_], least[at])
+        before[open_] = before[at]
+    least[before < 0] = 0
+    return before, least
 
 
 def _common_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,12 +282,12 @@ def longest_factors(levels: list[tuple[int, np.ndarray]], starts: np.ndarray, pl
     """
     order = np.lexsort((place, levels[-1][1][starts]))
     at, n = starts[order], len(starts)
+    step = np.zeros(n, np.int64)  # shared by neighbours in suffix order
+    step[1:] = _common_prefix(levels, at[1:], at[:-1])
+    back = np.concatenate(([0], step[:0:-1]))
     out = []
     for value in (place[order], -place[order]):
-        factor = np.zeros(n, np.int64)
-        for neighbour in (nearest_smaller(value), n - 1 - nearest_smaller(value[::-1])[::-1]):
-            has = np.flatnonzero((neighbour >= 0) & (neighbour < n))
-            factor[has] = np.maximum(factor[has], _common_prefix(levels, at[has], at[neighbour[has]]))
+        factor = np.maximum(nearest_smaller(value, step)[1], nearest_smaller(value[::-1], back)[1][::-1])
         placed = np.empty(n, np.int64)
         placed[order] = factor
         out.append(placed)
@@ -519,7 +525,7 @@ def _repeated_windows(texts: DataFrame, length: int, unit: int, mode: str) -> Da
     small = small.unionByName(halves.filter(F.col("rows") <= _BUCKET_CONTEXTS).drop("rows", "anchor_at")).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
     hits = small.groupBy("bucket").applyInArrow(_bucket_matches(length, unit, mode), _HIT)
     crowd = materialize(halves.filter(F.col("rows") > _BUCKET_CONTEXTS).select(*columns, "anchor_at", "lo", "hi").repartition("context"), "crowd")
-    matches = hits.unionByName(_crowd_matches(crowd, length, unit, mode))
+    matches = hits if crowd.isEmpty() else hits.unionByName(_crowd_matches(crowd, length, unit, mode))
 
     # A context that is a repeat as a whole: all its places, or all but the first.
     whole = contexts.filter("others" if mode == "others" else "n > 1").select("anchor", "context", "n", F.col("lead").alias("leader"))
@@ -620,12 +626,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", p
     docs = docs.withColumn("tid", F.unhex(F.md5("text")))
 
     texts = docs.select("tid", "text", F.col("doc_id").alias("owner"))
-    found = {"cut": _repeated_windows(texts.filter(F.octet_length("text") >= length), length, 1, "first" if keep == "first" else "any")}
+    jobs = [("cut", texts.filter(F.octet_length("text") >= length), length, 1, "first" if keep == "first" else "any")]
     if passage_words:
         # So many words take at least 2 * passage_words - 1 bytes.
-        found["passage"] = _repeated_windows(texts.filter(F.octet_length("text") >= 2 * passage_words - 1), passage_words, 4, "others")
+        jobs.append(("passage", texts.filter(F.octet_length("text") >= 2 * passage_words - 1), passage_words, 4, "others"))
+    with ThreadPoolExecutor(len(jobs)) as pool:  # their Spark jobs do not depend on each other
+        found = list(pool.map(lambda job: (job[0], _repeated_windows(*job[1:])), jobs))
     rows = None
-    for name, windows in found.items():
+    for name, windows in found:
         part = windows.select("tid", F.lit(name).alias("what"), F.struct("first", "last").alias("range"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("owner"))
         rows = part if rows is None else rows.unionByName(part)
     copies = texts.groupBy("tid").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).filter("n > 1")
