@@ -10,7 +10,7 @@ independent groups, and the suffix arrays are built inside those:
     Equal windows pick equal anchors at equal offsets, so they meet in the group of that anchor's
     hash. Neighbouring windows mostly pick the same anchor; such a *run* is one row, its *context*
     the symbols that its windows cover. Runs whose anchor hash is met once cannot hold a repeat.
-2.  Copies of a text stand as one. Runs with the same context hash are copies of each other, so one
+2.  Runs with the same context hash are copies of each other, so one
     of them stands for all.
 3.  Anchor hashes with several different contexts go, with those contexts' symbols, to buckets of
     bounded size. Each bucket gets a suffix array by prefix doubling to depth `length`. In suffix
@@ -25,9 +25,7 @@ independent groups, and the suffix arrays are built inside those:
     on all that a block covers repeat the whole block, and one of them stands for all; only where
     different covers share the symbols common to all windows of a block are single windows hashed
     and counted. Inside a common passage that leaves the windows at its edges.
-5.  A context may have a third of all places. Contexts with more than 1 of `_HOT` places (at most
-    `_HOT` of them, whatever the size of the corpus) are broadcast to their places; the others are
-    joined by a shuffle.
+5.  An anchor or a context may have a third of all places: see `_split_join`.
 """
 
 from __future__ import annotations
@@ -488,6 +486,16 @@ def _crowd_matches(crowd: DataFrame, length: int, unit: int, mode: str) -> DataF
     return found.groupBy("anchor", "context").agg(F.collect_set("hit").alias("hits"))
 
 
+def _split_join(rows: DataFrame, groups: DataFrame, key: list[str], n_rows: int) -> DataFrame:
+    """Join rows to their groups. groups: one row for each key, with the number n of its rows.
+
+    At most `_HOT` groups can have more than 1 of `_HOT` of all rows; they are broadcast, so that
+    their rows stay where they are. All other groups meet their rows by a shuffle.
+    """
+    hot = F.broadcast(groups.filter(F.col("n") > n_rows / _HOT))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(groups.filter(F.col("n") <= n_rows / _HOT), key))
+
+
 def _repeated_windows(texts: DataFrame, length: int, unit: int, mode: str) -> DataFrame:
     """(tid, first, last): ranges of windows that are repeated, by symbols from the start of the text.
 
@@ -496,10 +504,10 @@ def _repeated_windows(texts: DataFrame, length: int, unit: int, mode: str) -> Da
     """
     found = texts.select("tid", "text", "owner")
     runs = materialize(found.mapInArrow(_find_runs(length, unit), _RUN), "runs")
-    # A table of its own, so that the join below is one of two plain shuffles, whose hot keys AQE can split.
-    met = materialize(runs.groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1").select("anchor"), "anchors")
-    # Copies of a text stand as its first one.
-    runs = runs.join(met, "anchor", "left_semi").groupBy("anchor", "context", "tid", "first", "last").agg(F.min("owner").alias("owner"))
+    met = materialize(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
+    runs = _split_join(runs, met, ["anchor"], runs.count()).drop("n")
+    if mode == "first":  # copies of a text stand as its first one
+        runs = runs.groupBy("anchor", "context", "tid", "first", "last").agg(F.min("owner").alias("owner"))
     runs = materialize(runs, "met")
 
     place = F.struct(F.col("owner").isNull().alias("last_one"), F.coalesce("owner", F.lit(0)).alias("id"), "tid", "first", "last", "owner")
@@ -529,11 +537,8 @@ def _repeated_windows(texts: DataFrame, length: int, unit: int, mode: str) -> Da
 
     # A context that is a repeat as a whole: all its places, or all but the first.
     whole = contexts.filter("others" if mode == "others" else "n > 1").select("anchor", "context", "n", F.col("lead").alias("leader"))
-    places = contexts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(whole.filter(F.col("n") > places / _HOT))  # at most _HOT rows
-    rest = whole.filter(F.col("n") <= places / _HOT)
     key = ["anchor", "context"]
-    copied = runs.join(hot, key).unionByName(runs.join(hot, key, "left_anti").join(rest, key))
+    copied = _split_join(runs, whole, key, runs.count())
     if mode == "first":
         copied = copied.filter(place != F.col("leader"))
     # The others are alone with their context, or repeat it within one text, or are the first.
