@@ -5,8 +5,9 @@
     comes from all passages.
 2.  A randomised SVD of the passage matrix A: with a random matrix W of few columns, Y = A'(A W) is
     summed over the passages of every task and then over tasks; Q, an orthogonal base of Y, goes
-    through the passages once more, and the small matrix Q'(A'A)Q gives the leading right singular
-    vectors. Only matrices of benchmark words by `rank` columns reach the driver.
+    through the passages once more, and the small matrix (A Q)'(A Q) gives the leading right
+    singular vectors. Texts are cut into words once; their benchmark words are stored as numbers.
+    Only matrices of benchmark words by a few columns more than `rank` reach the driver.
 3.  Windows of every text, about as long as the items, meet an item through its rarest words: of
     these, so many are taken that a window with fewer than `_MEET` of them around it can't reach
     `least_coverage`. Those that meet are projected, and with a cosine of `least_cosine` to the
@@ -34,7 +35,7 @@ _PASSAGE = 64
 _BLOCK = 2000
 #: So many of an item's rarest words must stand around a window that is compared with it.
 _MEET = 3
-_FOUND = "_leaks_found"
+_FOUND, _TEXT = "_leaks_found", "_leaks_text"
 
 
 def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,84 +77,120 @@ def _items(rows: list) -> _Items:
     return _Items([rows[k]["item_id"] for k in kept], [empty.numbers(hashes[k]) for k in kept], [empty.numbers(answers[k]) for k in kept], vocabulary)
 
 
-def _passage_terms(items: _Items):
-    """Texts to rows (terms, bounds): the benchmark words of many passages, one passage after another."""
+_TOKENS = {"_leaks_places": "array<int>", "_leaks_terms": "array<int>", "_leaks_words": "int"}
+_INTS = pa.list_(pa.int32())
+
+
+def _tokenise(items: _Items, text_at: str, carried: list[str]):
+    """Rows to their carried columns, the places and numbers of the benchmark words in the text, and its number of words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
+            data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text_at)))
             for a, b in row_slices(offsets):
                 row, hashes = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if not len(row):
-                    continue
-                first = np.searchsorted(row, row, side="left")
-                passage = row * (1 << 32) + (np.arange(len(row)) - first) // _PASSAGE
-                ids = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
                 number = items.numbers(hashes)
-                hit = number >= 0
-                bounds = np.concatenate(([0], np.cumsum(hit)))[np.concatenate((ids, [len(row)]))]
-                as_list = lambda x: pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([as_list(number[hit]), as_list(bounds)], names=["terms", "bounds"])
+                hit = np.flatnonzero(number >= 0)
+                first = np.searchsorted(row, np.arange(b - a + 1), side="left")
+                bounds = pa.array(np.searchsorted(hit, first).astype(np.int32))
+                place = hit - first[row[hit]]
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (place, number[hit])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in carried), *lists, pa.array(np.diff(first).astype(np.int32))], names=[*carried, *_TOKENS])
 
     return task
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(passage, term) arrays of each row, sorted and with repeats, and the number of passages."""
-    terms, bounds = batch.column(0), batch.column(1)
-    for k in range(batch.num_rows):
-        t, b = terms[k].values.to_numpy(), bounds[k].values.to_numpy()
-        yield np.repeat(np.arange(len(b) - 1), np.diff(b)), t.astype(np.int64)
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of a column of lists without nulls."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    return offsets - offsets[0], np.asarray(column.values)[offsets[0] : offsets[-1]]
+
+
+def _passages(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, term, count) for some texts at a time, ordered by passage."""
+    offsets, places = _lists(batch.column(0))
+    terms = _lists(batch.column(1))[1]
+    for a, b in row_slices(offsets, 1 << 17):
+        part = slice(offsets[a], offsets[b])
+        if offsets[a] == offsets[b]:
+            continue
+        text = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+        raw = (text << 32) + places[part] // _PASSAGE
+        passage = np.concatenate(([0], np.cumsum(raw[1:] != raw[:-1])))
+        key, count = np.unique((passage << 32) | terms[part], return_counts=True)
+        yield key >> 32, key & 0xFFFFFFFF, count
 
 
 def _document_frequency(size: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(size + 1, np.int64), 0
         for batch in batches:
-            passages += int(sum(len(batch.column(1)[k].values) - 1 for k in range(batch.num_rows)))
-            for passage, term in _unpacked(batch):
-                total[:size] += np.bincount(np.unique(passage * size + term) % size, minlength=size)
+            passages += int(np.sum(-(-batch.column(2).to_numpy() // _PASSAGE)))
+            for _, term, _ in _passages(batch):
+                total[:size] += np.bincount(term, minlength=size)
         total[size] = passages
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], names=["term", "n"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "n"])
 
     return task
 
 
-def _times_gram(weight: np.ndarray, right: np.ndarray):
-    """Sum over the passages of a' (a right), a being a passage's unit vector; one row for each term."""
-    rank = right.shape[1]
+def _images(batches: Iterator[pa.RecordBatch], weight: np.ndarray, right: np.ndarray):
+    """(term, value, bounds of the passages, images): the unit vectors of passages and their products with right."""
+    right = right.astype(np.float32)
+    for batch in batches:
+        for passage, term, count in _passages(batch):
+            value = count * weight[term]
+            first = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+            sizes = np.diff(np.concatenate((first, [len(passage)])))
+            value = (value / np.repeat(np.sqrt(np.add.reduceat(value**2, first)), sizes)).astype(np.float32)
+            yield term, value, sizes, np.add.reduceat(right[term] * value[:, None], first, axis=0)
+
+
+def _sums(tokens: DataFrame, task, key: str, rank: int) -> list:
+    """Rows (key, v) of a task, summed by key."""
+    parts = tokens.mapInArrow(task, f"{key} long, v array<double>").groupBy(key)
+    return parts.agg(F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(rank)]).alias("v")).collect()
+
+
+def _rows(key: str, index: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(index), pa.array(values.tolist(), pa.list_(pa.float64()))], names=[key, "v"])
+
+
+def _times_gram(tokens: DataFrame, weight: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A'(A right), A being the matrix of all passages' unit vectors; one row for each word of the block reaches the driver."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(right)
-        for batch in batches:
-            for passage, term in _unpacked(batch):
-                kept = weight[term] > 0
-                passage, term = passage[kept], term[kept]
-                if not len(term):
-                    continue
-                key, count = np.unique(passage * len(weight) + term, return_counts=True)
-                passage, term = key // len(weight), key % len(weight)
-                value = count * weight[term]
-                first = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-                norm = np.sqrt(np.add.reduceat(value**2, first))
-                sizes = np.diff(np.concatenate((first, [len(passage)])))
-                value = value / np.repeat(norm, sizes)
-                image = np.repeat(np.add.reduceat(right[term] * value[:, None], first, axis=0), sizes, axis=0) * value[:, None]
-                by = np.argsort(term, kind="stable")
-                ordered = term[by]
-                at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-                total[ordered[at]] += np.add.reduceat(image[by], at, axis=0)
+        for term, value, sizes, image in _images(batches, weight, right):
+            by = np.argsort(term, kind="stable")
+            ordered = term[by]
+            at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            owner = np.repeat(np.arange(len(sizes)), sizes)[by]
+            total[ordered[at]] += np.add.reduceat(image[owner] * value[by][:, None], at, axis=0)
         used = np.flatnonzero(np.abs(total).sum(axis=1) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].tolist(), pa.list_(pa.float64(), -1))], names=["term", "v"])
+        yield _rows("term", used, total[used])
+
+    out = np.zeros_like(right)
+    for r in _sums(tokens, task, "term", right.shape[1]):
+        out[r["term"]] = r["v"]
+    return out
 
-    def run(passages: DataFrame) -> np.ndarray:
-        parts = passages.mapInArrow(task, "term long, v array<double>").groupBy("term").agg(F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(rank)]).alias("v"))
-        out = np.zeros_like(right)
-        for r in parts.collect():  # one row for each word of the block
-            out[r["term"]] = r["v"]
-        return out
 
-    return run
+def _small_gram(tokens: DataFrame, weight: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """(A base)'(A base), of the base's width."""
+    rank = base.shape[1]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rank, rank))
+        for _, _, _, image in _images(batches, weight, base):
+            total += image.T @ image
+        yield _rows("k", np.arange(rank), total)
+
+    out = np.zeros((rank, rank))
+    for r in _sums(tokens, task, "k", rank):
+        out[r["k"]] = r["v"]
+    return out
 
 
 @dataclass(frozen=True)
@@ -162,19 +199,19 @@ class LatentSpace:
     base: np.ndarray  # terms x rank, orthonormal columns
 
 
-def fit_latent_space(passages: DataFrame, items: _Items, *, rank: int = 64, seed: int = 0) -> LatentSpace:
+def fit_latent_space(tokens: DataFrame, items: _Items, *, rank: int = 64, oversample: int = 8, seed: int = 0) -> LatentSpace:
+    """The leading `rank` right singular vectors of the passage matrix, found among `oversample` more random directions."""
+    tokens = tokens.select(*_TOKENS)
     size = len(items.vocabulary)
     df = np.zeros(size + 1)
-    for r in passages.mapInArrow(_document_frequency(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row for each word of the block
+    for r in tokens.mapInArrow(_document_frequency(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row for each word of the block
         df[r["term"]] = r["n"]
     n = df[size]
     weight = np.log((1 + n) / (1 + df[:size])) + 0.1
-    rank = max(1, min(rank, size))
-    random = np.random.default_rng(seed).standard_normal((size, rank))
-    base, _ = np.linalg.qr(_times_gram(weight, random)(passages))
-    image = _times_gram(weight, base)(passages)
-    values, vectors = np.linalg.eigh(base.T @ image)
-    return LatentSpace(weight, base @ vectors[:, np.argsort(-values)])
+    random = np.random.default_rng(seed).standard_normal((size, max(1, min(rank + oversample, size))))
+    base, _ = np.linalg.qr(_times_gram(tokens, weight, random))
+    values, vectors = np.linalg.eigh(_small_gram(tokens, weight, base))
+    return LatentSpace(weight, base @ vectors[:, np.argsort(-values)[:rank]])
 
 
 def _common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -199,7 +236,7 @@ _MATCH = "array<struct<item_id:bigint,cosine:double,coverage:double,answer:doubl
 _MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("coverage", pa.float64()), ("answer", pa.float64())]))
 
 
-def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float, least_coverage: float):
+def _search(items: _Items, space: LatentSpace, least_cosine: float, least_coverage: float):
     terms = [np.unique(w, return_counts=True) for w in items.words]
     vectors = np.stack([(space.weight[t] * c) @ space.base[t] for t, c in terms]) if terms else np.zeros((0, space.base.shape[1]))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
@@ -221,12 +258,13 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
         by = np.argsort(term, kind="stable")
         keys[int(size)] = item[by], np.searchsorted(term[by], np.arange(len(space.weight) + 1))
 
-    def candidates(number: np.ndarray, first: np.ndarray, count: np.ndarray):
-        """(text, item, window start, window size, cosine) for each text's words, numbered by the vocabulary."""
-        place = np.flatnonzero(number >= 0)
-        term = number[place]
-        hits = np.searchsorted(place, np.arange(len(number) + 1))
-        owner = np.searchsorted(first, place, side="right") - 1
+    def candidates(place: np.ndarray, term: np.ndarray, hits: np.ndarray, count: np.ndarray):
+        """(text, item, window start, window size, cosine) for the places and numbers of each text's benchmark words.
+
+        hits: bounds of the texts in place and term; count: words of each text.
+        """
+        owner = np.repeat(np.arange(len(count)), np.diff(hits))
+        inside_text = (owner << 32) | place
         for size, (item, at) in keys.items():
             step = size // 4
             last = np.maximum(0, -(-(count - size) // step))  # number of each text's last window
@@ -235,7 +273,7 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
             hit = np.repeat(np.arange(len(term)), each)
             whose = item[np.repeat(at[term], each) + np.arange(len(hit)) - np.repeat(np.cumsum(each) - each, each)]
             # Around a window are the words from half a window before it to half a window behind it.
-            inside = (place - first[owner])[hit]
+            inside = place[hit]
             low = np.maximum(0, (inside - size - size // 2) // step + 1)
             high = np.minimum((inside + size // 2) // step, last[owner[hit]])
             n = np.maximum(0, high - low + 1)
@@ -244,8 +282,9 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
             pair = pair[met >= meet[pair % len(length)]]
             seen, which = np.unique(pair // len(length), return_inverse=True)
             text = np.searchsorted(base, seen, side="right") - 1
-            start = first[text] + (seen - base[text]) * step
-            low, sizes = hits[start], hits[np.minimum(start + size, first[text] + count[text])] - hits[start]
+            start = (seen - base[text]) * step
+            low = np.searchsorted(inside_text, (text << 32) | start)
+            sizes = np.searchsorted(inside_text, (text << 32) | (start + size)) - low
             for a in range(0, len(seen), 5000):
                 part = slice(a, a + 5000)
                 vector = np.zeros((len(seen[part]), projected.shape[1]), np.float32)
@@ -263,16 +302,17 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text_at)))
+            at = batch.schema.get_field_index("_leaks_places")
+            offsets, places = _lists(batch.column(at))
+            terms, counts = _lists(batch.column(at + 1))[1], batch.column(at + 2).to_numpy().astype(np.int64)
+            places = places.astype(np.int64)
             matches: list[dict[int, tuple]] = [{} for _ in range(batch.num_rows)]
-            for a, b in row_slices(offsets) if len(items.ids) else ():
-                row, hashes = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                number = items.numbers(hashes)
-                first = np.searchsorted(row, np.arange(b - a), side="left")
-                count = np.searchsorted(row, np.arange(b - a), side="right") - first
-                for text, item, start, size, cosine in candidates(number, first, count):
-                    low = max(first[text], start - size // 2)
-                    words = number[low : min(first[text] + count[text], start + size + size // 2)].tolist()
+            for a, b in row_slices(offsets, 1 << 17) if len(items.ids) else ():
+                place, term, hits = places[offsets[a] : offsets[b]], terms[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                for text, item, start, size, cosine in candidates(place, term, hits, counts[a:b]):
+                    mine = place[hits[text] : hits[text + 1]]
+                    low, high = np.searchsorted(mine, (start - size // 2, start + size + size // 2)) + hits[text]
+                    words = term[low:high].tolist()
                     item_masks, item_size, answer_masks, answer_size = masks[item]
                     coverage = _common_subsequence(item_masks, item_size, words) / item_size
                     if coverage < least_coverage:
@@ -281,33 +321,43 @@ def _search(items: _Items, space: LatentSpace, text_at: str, least_cosine: float
                     if (answer is None or answer >= 0.5) and (coverage, cosine) > matches[a + text].get(item, (0.0,))[:2]:
                         matches[a + text][item] = (coverage, cosine, answer)
             lists = [[{"item_id": items.ids[i], "cosine": c, "coverage": v, "answer": w} for i, (v, c, w) in sorted(m.items())] for m in matches]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, _MATCH_ARROW)], names=[*batch.schema.names, _FOUND])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(lists, _MATCH_ARROW)], names=[*batch.schema.names[:at], _FOUND])
 
     return task
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, least_cosine: float = 0.6, least_coverage: float = 0.7) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, carry: list[str] | None = None, rank: int = 64, least_cosine: float = 0.6, least_coverage: float = 0.7) -> DataFrame:
     """Add `matches` to every row: the benchmark items that its text holds.
 
-    docs: text and any other columns (kept; a column named matches is replaced); benchmark: item_id
-    long, text, and optionally answer. matches is an array of struct<item_id, cosine, coverage,
-    answer>, empty for a clean text; answer is null where the benchmark has none. Null or empty texts match nothing; items without words are
-    never found; items or documents that repeat are each judged; null ids are kept. Empty docs or
-    benchmark: no matches.
+    docs: text and any other columns; benchmark: item_id long, text, and optionally answer. carry
+    names the columns of docs that come back (all by default, text included); a column named
+    matches is replaced. matches is an array of struct<item_id, cosine, coverage, answer>, empty
+    for a clean text; answer is null where the benchmark has none. Null or empty texts match
+    nothing; long texts are searched whole; items without words are never found; items or
+    documents that repeat are each judged; null ids are kept. Empty docs or benchmark: no matches.
     """
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
     blocks = max(1, -(-bench.count() // _BLOCK))
-    out = docs.drop("matches", _FOUND).withColumn("matches", F.array().cast(_MATCH))
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in ("matches", _FOUND, _TEXT, *_TOKENS)]
+    texts = docs.select(*carried, F.col("text").cast("string").alias(_TEXT))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*carried).schema)
+    types = f"{types}, " if types else ""
+    token_types = ", ".join(f"{k} {v}" for k, v in _TOKENS.items())
+    out = None
     for block in range(blocks):
         rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         items = _items(sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or "")))
         if not items.ids:
             continue
-        passages = materialize(texts.mapInArrow(_passage_terms(items), "terms array<int>, bounds array<int>"), "passages")
-        space = fit_latent_space(passages, items, rank=rank)
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-        found = out.mapInArrow(_search(items, space, "text", least_cosine, least_coverage), f"{fields}, {_FOUND} {_MATCH}")
+        # The first block's rows carry the columns, the later ones their matches so far as well.
+        source = texts.withColumn("matches", F.array().cast(_MATCH)) if out is None else out
+        here = [*carried, "matches", *([_TEXT] if blocks > 1 else [])]
+        kept = f"{types}matches {_MATCH}" + (f", {_TEXT} string" if blocks > 1 else "")
+        tokens = materialize(source.mapInArrow(_tokenise(items, _TEXT, here), f"{kept}, {token_types}"), "tokens")
+        space = fit_latent_space(tokens, items, rank=rank)
+        found = tokens.mapInArrow(_search(items, space, least_cosine, least_coverage), f"{kept}, {_FOUND} {_MATCH}")
         out = found.withColumn("matches", F.concat("matches", _FOUND)).drop(_FOUND)
-    return out
+    if out is None:
+        out = texts.withColumn("matches", F.array().cast(_MATCH))
+    return out.select(*carried, "matches")

@@ -30,8 +30,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that it holds."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.cosine", "m.coverage", F.col("m.answer").alias("answer_coverage"))
 
 
