@@ -36,7 +36,7 @@ def untracked_census(graph: Graph, files: DataFrame, member_dirs: DataFrame) ->
     folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     inside = new.select("file", F.explode(folders).alias("dir")).join(member_dirs.select("dir").distinct(), "dir", "left_semi").select("file").distinct().withColumn("inside", F.lit(True))
     rows = new.join(linked, "file", "left").join(inside, "file", "left")
-    source = F.endswith(F.col("file"), F.lit(".rs")) & F.coalesce("inside", F.lit(False))
+    source = F.col("file").rlike(r"[^/]\.rs$") & F.coalesce("inside", F.lit(False))
     return rows.select("file", F.when(F.col("linked"), "linked").when(source, "loose").otherwise("non_source").alias("bucket"))
 
 

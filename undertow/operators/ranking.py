@@ -8,38 +8,47 @@ from pyspark.sql import functions as F
 
 from undertow.graph import Graph
 from undertow.operators.degrees import classification
-from undertow.operators.scc import components, condensation
+from undertow.operators.scc import components
 from undertow.runtime import materialize
 
+_HOPS = 3
 
-def closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) with a path between them in an acyclic graph, by doubling path lengths.
 
-    `fresh` holds the pairs found in the last round; joining them with all pairs on both sides
-    doubles the length that is covered, so a depth of d takes about log2 d rounds.
+def reaching(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(part, block, mask): which nodes reach each part of an acyclic graph, or belong to it; 64 node ids to a mask.
+
+    edges: (src, dst) between parts; members: (id, part). Node id is bit id % 64 of block id / 64,
+    so up to 64 pairs take one row. Each round sends the bits that were new in the last one along
+    the edges for _HOPS hops.
     """
-    every = materialize(edges.select("src", "dst").distinct(), "closure")
-    fresh = every
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(64)).cast("int"))
+    own = members.select("part", F.floor(F.col("id") / 64).alias("block"), bit.alias("mask"))
+    known = fresh = materialize(own.groupBy("part", "block").agg(F.bit_or("mask").alias("mask")), "masks")
     while not fresh.isEmpty():
-        left = fresh.join(every.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
-        right = every.join(fresh.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
-        fresh = materialize(left.union(right).distinct().join(every, ["src", "dst"], "left_anti"), "fresh")
-        every = materialize(every.union(fresh), "closure")
-    return every
+        sent, hop = None, fresh
+        for _ in range(_HOPS):
+            hop = hop.join(edges, hop["part"] == edges["src"]).groupBy(F.col("dst").alias("part"), "block").agg(F.bit_or("mask").alias("mask"))
+            sent = hop if sent is None else sent.unionByName(hop)
+        sent = sent.groupBy("part", "block").agg(F.bit_or("mask").alias("mask"))
+        new = sent.join(known.withColumnRenamed("mask", "had"), ["part", "block"], "left")
+        new = new.select("part", "block", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("mask"))
+        fresh = materialize(new.filter("mask != 0"), "fresh")
+        known = materialize(known.unionByName(fresh).groupBy("part", "block").agg(F.bit_or("mask").alias("mask")), "masks")
+    return known
 
 
 def impacts(graph: Graph, parts: DataFrame | None = None) -> DataFrame:
     """(id, path, impact): number of nodes that depend on each node, directly or not, without itself.
 
-    Members of a component reach the same nodes, so only components are closed over: a node's
-    impact is the number of nodes in the components that reach its own, and in its own, less 1.
+    Members of a component are reached by the same nodes, so the search runs on components.
     """
-    parts = components(graph) if parts is None else parts
-    sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
-    pairs = closure(condensation(graph, parts))
-    above = pairs.join(sizes.withColumnRenamed("label", "src"), "src").groupBy(F.col("dst").alias("label")).agg(F.sum("size").alias("above"))
-    total = sizes.join(above, "label", "left").select("label", (F.col("size") + F.coalesce("above", F.lit(0)) - 1).alias("impact"))
-    return parts.join(total, "label").select("id", "path", "impact")
+    parts = materialize(components(graph) if parts is None else parts, "parts")
+    side = lambda end: parts.select(F.col("id").alias(end), F.col("scc").alias(f"{end}_scc"))
+    edges = graph.uses().select("src", "dst").join(side("src"), "src").join(side("dst"), "dst").filter("src_scc != dst_scc")
+    edges = materialize(edges.select(F.col("src_scc").alias("src"), F.col("dst_scc").alias("dst")).distinct(), "between")
+    masks = reaching(edges, parts.select("id", F.col("scc").alias("part")))
+    total = masks.groupBy(F.col("part").alias("scc")).agg((F.sum(F.bit_count("mask")) - 1).alias("impact"))
+    return parts.join(total, "scc").select("id", "path", "impact")
 
 
 def rank_nodes(graph: Graph, top: int = 10) -> DataFrame:

@@ -12,26 +12,38 @@ from undertow.operators.degrees import classification, owns_children, owns_paren
 from undertow.runtime import materialize
 from undertow.schema import TargetNotFound
 
+_HOPS, _PARTS = 3, 6
+
 
 def reach(edges: DataFrame, targets: DataFrame, direction: str) -> DataFrame:
     """(target, node, depth): shortest uses-distance from each target, the target itself left out.
 
     edges: (src, dst); targets: (target, node), the start nodes of each target. direction:
     "upstream" (who depends on it) or "downstream" (what it depends on). Semi-naive: each round
-    joins only the last frontier, written to the shared folder, and drops what was seen before.
+    goes _HOPS hops from the last frontier, drops what was seen before and writes the rest to the
+    shared folder; what was seen is one table again after every _PARTS rounds.
     """
     if direction not in ("upstream", "downstream"):
         raise ValueError(f"unknown direction: {direction}")
     near, far = ("dst", "src") if direction == "upstream" else ("src", "dst")
     steps = materialize(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct(), "steps")
-    frontier = materialize(targets.select("target", "node").distinct().withColumn("depth", F.lit(0).cast("long")), "frontier")
-    levels = [frontier]
+    key = ["target", "node"]
+    frontier = materialize(targets.select(*key).distinct().withColumn("depth", F.lit(0).cast("long")), "frontier")
+    parts, deep = [frontier], 0
     while not frontier.isEmpty():
-        seen = reduce(DataFrame.unionByName, levels)
-        grown = frontier.join(steps, "node").select("target", F.col("next").alias("node")).distinct()
-        frontier = materialize(grown.join(seen, ["target", "node"], "left_anti").withColumn("depth", F.lit(len(levels)).cast("long")), "frontier")
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels).filter("depth > 0")
+        hops, hop = [], frontier.select(*key)
+        for k in range(1, _HOPS + 1):
+            hop = hop.join(steps, "node").select("target", F.col("next").alias("node")).distinct()
+            hops.append(hop.withColumn("depth", F.lit(deep + k).cast("long")))
+        # A node at distance deep + k is k hops from some node of the frontier, and nearer to none.
+        grown = reduce(DataFrame.unionByName, hops).groupBy(*key).agg(F.min("depth").alias("depth"))
+        fresh = materialize(grown.join(reduce(DataFrame.unionByName, parts), key, "left_anti"), "reached")
+        deep += _HOPS
+        frontier = fresh.filter(F.col("depth") == deep)
+        parts.append(fresh)
+        if len(parts) > _PARTS:
+            parts = [materialize(reduce(DataFrame.unionByName, parts), "reached")]
+    return reduce(DataFrame.unionByName, parts).filter("depth > 0")
 
 
 def impact_reach(graph: Graph, targets: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.graph import Graph
+from undertow.operators.reach import reach
 from undertow.runtime import materialize
 
+_HOPS = 3
+
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose both ends have edges in and out; others close no cycle. One round."""
@@ -19,51 +22,54 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    before = -1
-    while (n := edges.count()) != before and n:
-        before = n
-        edges = materialize(_trimmed(_trimmed(edges)), "trimmed")
+    """Rounds of trimming while they take a tenth of the edges; what is left, coloring settles."""
+    before, now = 0, edges.count()
+    while now and (not before or now < 0.9 * before):
+        edges = materialize(_trimmed(edges), "trimmed")
+        before, now = now, edges.count()
     return edges
 
 
-def _lowest_reaching(edges: DataFrame) -> DataFrame:
-    """(v, color): the smallest node from which v can be reached, itself included."""
+def _lowest_reaching(edges: DataFrame, turn: int) -> DataFrame:
+    """(v, color): the first node, in the order of this turn, from which v can be reached, itself included.
+
+    The first turn orders nodes by id, the others by chance, so that no order of the ids makes
+    many turns necessary.
+    """
+    rank = lambda c: F.struct((F.lit(0).cast("long") if turn == 0 else F.xxhash64(F.col(c), F.lit(turn))).alias("r"), F.col(c).alias("id"))
     nodes = edges.select(F.col("src").alias("v")).union(edges.select(F.col("dst").alias("v"))).distinct()
-    colors = materialize(nodes.withColumn("color", F.col("v")).withColumn("was", F.col("v") + 1), "colors")
-    while not colors.filter("color < was").isEmpty():
-        new = colors.select("v", "color", F.col("color").alias("was"))
-        for _ in range(2):  # two hops in each job
-            pushed = edges.join(new.select(F.col("v").alias("src"), "color"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("color").alias("low"))
-            new = new.join(pushed, "v", "left").select("v", F.least("color", "low").alias("color"), "was")
-        colors = materialize(new, "colors")
-    return colors.select("v", "color")
+    colors = materialize(nodes.select("v", rank("v").alias("color"), F.lit(True).alias("moved")), "colors")
+    while not colors.filter("moved").isEmpty():
+        new, sent = colors.select("v", F.col("color").alias("was")), colors.filter("moved").select("v", "color")
+        arrived = None
+        for _ in range(_HOPS):
+            sent = edges.join(sent.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("color").alias("color"))
+            arrived = sent if arrived is None else arrived.unionByName(sent)
+        new = new.join(arrived.groupBy("v").agg(F.min("color").alias("low")), "v", "left")
+        colors = materialize(new.select("v", F.least("was", "low").alias("color"), F.coalesce(F.col("low") < F.col("was"), F.lit(False)).alias("moved")), "colors")
+    return colors.select("v", "color.id").withColumnRenamed("id", "color")
 
 
 def _back_to_root(edges: DataFrame, colors: DataFrame) -> DataFrame:
     """(v, color) of the nodes that reach their color's root through nodes of that color."""
     inner = edges.join(colors.select(F.col("v").alias("src"), F.col("color")), "src").join(colors.select(F.col("v").alias("dst"), F.col("color").alias("c2")), "dst")
-    inner = materialize(inner.filter("color = c2").select("src", "dst"), "inner")
-    frontier = materialize(colors.filter("v = color"), "frontier")
-    levels = [frontier]
-    while not frontier.isEmpty():
-        seen = reduce(DataFrame.unionByName, levels)
-        back = frontier.withColumnRenamed("v", "dst").join(inner, "dst").select(F.col("src").alias("v"), "color").distinct()
-        frontier = materialize(back.join(seen.select("v"), "v", "left_anti"), "frontier")
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+    inner = inner.filter("color = c2").select("src", "dst")
+    roots = colors.filter("v = color")
+    back = reach(inner, roots.select(F.col("color").alias("target"), F.col("v").alias("node")), "upstream")
+    return roots.unionByName(back.select(F.col("node").alias("v"), F.col("target").alias("color")))
 
 
 def components(graph: Graph) -> DataFrame:
     """(id, scc, label): every node's component, known by its smallest id and by its smallest path.
 
-    Nodes without edges in and out are trimmed away round by round. Then each node takes the
-    smallest node that reaches it as its color; the nodes of a color that reach the color's own
-    node are one component. They leave, and what is left is colored again.
+    Nodes without edges in and out are trimmed away while that pays. Then each node takes the first node that
+    reaches it as its color; the nodes of a color that reach the color's own node are one
+    component. They leave, and what is left is colored again. The smallest id names a component.
     """
     rest = _trim(materialize(graph.uses().filter("src != dst").select("src", "dst").distinct(), "uses"))
     found: list[DataFrame] = []
     while not rest.isEmpty():
-        colors = _lowest_reaching(rest)
+        colors = materialize(_lowest_reaching(rest, len(found)), "colored")
         members = materialize(_back_to_root(rest, colors), "members")
         found.append(members)
         for end in ("src", "dst"):
@@ -75,9 +81,9 @@ def components(graph: Graph) -> DataFrame:
         nodes = nodes.join(every.withColumnRenamed("v", "id"), "id", "left")
     else:
         nodes = nodes.withColumn("color", F.lit(None).cast("long"))
-    nodes = nodes.withColumn("scc", F.coalesce("color", "id"))
-    labels = nodes.groupBy("scc").agg(F.min("path").alias("label"))
-    return nodes.join(labels, "scc").select("id", "path", "scc", "label")
+    nodes = nodes.withColumn("color", F.coalesce("color", "id"))
+    labels = nodes.groupBy("color").agg(F.min("id").alias("scc"), F.min("path").alias("label"))
+    return nodes.join(labels, "color").select("id", "path", "scc", "label")
 
 
 def cycles(parts: DataFrame) -> DataFrame:

@@ -95,8 +95,15 @@ class Comparison:
     removed_third_party: tuple[int, int]
 
 
-def analyse_comparison(before: Graph, after: Graph, *, mode: str = "normalized", scope: str = "own_code", uses_mode: str = "all", members: tuple[DataFrame, DataFrame] | None = None) -> Comparison:
-    """Two resolved graphs side by side; members limits each side to its own crates."""
+def pairing_mode(before_crates: int, after_crates: int) -> str:
+    """Full paths where a side has several crates; one crate on each side may have been renamed."""
+    return "normalized" if before_crates == 1 and after_crates == 1 else "full_path"
+
+
+def analyse_comparison(
+    before: Graph, after: Graph, *, mode: str = "normalized", scope: str = "own_code", uses_mode: str = "all", members: tuple[DataFrame, DataFrame] | None = None, ghosts: tuple[DataFrame, DataFrame] | None = None
+) -> Comparison:
+    """Two resolved graphs side by side; members limits each side to its own crates, ghosts (path) are no items of theirs."""
     sides, removed = [], []
     for k, graph in enumerate((before, after)):
         graph = apply_scope(graph, scope)
@@ -109,4 +116,4 @@ def analyse_comparison(before: Graph, after: Graph, *, mode: str = "normalized",
         sides.append(graph.stored())
     a, b = (structure_of(g, uses_mode=uses_mode) for g in sides)
     pairs = compare.module_pairs(a.modules, b.modules, mode)
-    return Comparison(pairs, compare.edge_deltas(a.dependencies, b.dependencies, pairs, mode), compare.item_pairs(*(compare.item_keys(g) for g in sides)), (removed[0], removed[1]))
+    return Comparison(pairs, compare.edge_deltas(a.dependencies, b.dependencies, pairs, mode), compare.item_pairs(*(compare.item_keys(g, missing) for g, missing in zip(sides, ghosts or (None, None)))), (removed[0], removed[1]))

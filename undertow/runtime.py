@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; in a session that names none, a temporary one is set."""
+    """The folder all executors share. One machine may go without: a temporary one is set; a cluster may not."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="undertow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

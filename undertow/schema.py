@@ -11,7 +11,7 @@ USES_KINDS = ("reference", "import")
 VISIBILITIES = ("pub", "pub(crate)", "pub(super)", "priv")
 SYSROOT = ("std", "core", "alloc", "proc_macro", "test")
 MODULE_KINDS = ("crate", "mod")
-TYPE_KINDS = ("struct", "enum", "union", "trait", "type")
+TYPE_KINDS = ("struct", "enum", "union", "trait")
 
 POSITION = T.StructType([T.StructField("file", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])
 

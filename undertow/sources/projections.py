@@ -29,36 +29,42 @@ TRADE_OWNS = """
 TRADE_USES = """
   select 10000000 + l_orderkey src, 2000000 + l_suppkey dst,
     case l_returnflag when 'R' then 'reference' when 'A' then 'import' end uses_kind
-  from {lineitem} where l_quantity >= 40 union all
+  from {lineitem} union all
   select 10000000 + l_orderkey, 5000000 + l_partkey, case l_returnflag when 'R' then 'reference' when 'A' then 'import' end
-  from {lineitem} where l_quantity >= 40"""
+  from {lineitem}"""
 TRADE_EDGES = f"""
   select src, dst, 'owns' relation, cast(null as string) uses_kind from ({TRADE_OWNS}) owned union all
   select src, dst, 'uses', uses_kind from ({TRADE_USES}) used"""
 
-#: Market: a denser cut at the level of nations; suppliers' nations use customers' nations.
+#: Market: traders only. Each order line is a use from the trader of the higher region and nation
+#: to the other one; in every other region, returned lines at home go the other way.
 MARKET_NODES = "select id, path, kind from (" + TRADE_NODES + ") every where id < 10000000 and path not like 'core%'"
+_LINES = """
+  select 1000000 + o_custkey customer, 2000000 + l_suppkey supplier, case when l_linenumber % 2 = 0 then 'reference' else 'import' end uses_kind,
+    case when h.n_regionkey = g.n_regionkey and h.n_regionkey % 2 = 0 and l_returnflag = 'R' then c_nationkey < s_nationkey
+      else h.n_regionkey * 100 + c_nationkey >= g.n_regionkey * 100 + s_nationkey end as outward
+  from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on o_custkey = c_custkey join {supplier} on l_suppkey = s_suppkey
+  join {nation} h on h.n_nationkey = c_nationkey join {nation} g on g.n_nationkey = s_nationkey"""
 MARKET_EDGES = f"""
   select src, dst, 'owns' relation, cast(null as string) uses_kind from ({TRADE_OWNS}) owned where dst < 10000000 union all
-  select 1000000 + o_custkey, 2000000 + l_suppkey, 'uses', case when l_linenumber % 2 = 0 then 'reference' else 'import' end
-  from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey
-  where l_quantity >= 50 and l_returnflag = 'R' and o_orderpriority = '1-URGENT' union all
-  select 2000000 + l_suppkey, 1000000 + o_custkey, 'uses', 'reference'
-  from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey
-  where l_quantity >= 50 and l_returnflag = 'A' and o_orderpriority = '2-HIGH' and l_suppkey % 10 = 3"""
-
-#: Flow: every fortieth event leads to the next one; an item for each user and kind of event.
+  select case when outward then customer else supplier end, case when outward then supplier else customer end, 'uses', uses_kind from ({_LINES}) lines"""
+
+#: Flow: an event leads to its user's next one within two hours, and a purchase to the views of the
+#: user with half the number; an item for each user and kind of event.
 _FLOW_ITEM = "user_id * 10 + case event_type when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4 else 5 end"
 FLOW_NODES = f"""
   select cast(-1 as bigint) id, 'flow' path, 'crate' kind union all
-  select distinct user_id * 10, concat('flow::u', cast(user_id as string)), 'mod' from {{events}} where event_id % 40 = 0 union all
-  select distinct {_FLOW_ITEM}, concat('flow::u', cast(user_id as string), '::', event_type), 'fn' from {{events}} where event_id % 40 = 0"""
+  select distinct user_id * 10, concat('flow::u', cast(user_id as string)), 'mod' from {{events}} union all
+  select distinct {_FLOW_ITEM}, concat('flow::u', cast(user_id as string), '::', event_type), 'fn' from {{events}}"""
 FLOW_EDGES = f"""
-  select distinct cast(-1 as bigint) src, user_id * 10 dst, 'owns' relation, cast(null as string) uses_kind from {{events}} where event_id % 40 = 0 union all
-  select distinct user_id * 10, {_FLOW_ITEM}, 'owns', cast(null as string) from {{events}} where event_id % 40 = 0 union all
+  select distinct cast(-1 as bigint) src, user_id * 10 dst, 'owns' relation, cast(null as string) uses_kind from {{events}} union all
+  select distinct user_id * 10, {_FLOW_ITEM}, 'owns', cast(null as string) from {{events}} union all
   select item, next_item, 'uses', 'reference' from (
-    select {_FLOW_ITEM} item, lead({_FLOW_ITEM}) over (order by ts, event_id) next_item from {{events}} where event_id % 40 = 0) s
-  where next_item is not null"""
+    select {_FLOW_ITEM} item, ts, lead({_FLOW_ITEM}) over (partition by user_id order by ts, event_id) next_item,
+      lead(ts) over (partition by user_id order by ts, event_id) next_ts from {{events}}) s
+  where next_ts <= ts + interval '2' hour union all
+  select distinct p.user_id * 10 + 3, v.user_id * 10 + 5, 'uses', 'import' from {{events}} p join {{events}} v on v.user_id = cast(floor(p.user_id / 2) as bigint)
+  where p.event_type = 'purchase' and v.event_type not in ('click', 'error', 'purchase', 'signup') and p.user_id != v.user_id"""
 
 #: Chat: turns of one role in one conversation share a path. Every third conversation has an edge between its colliding turns only.
 CHAT_NODES = """
@@ -78,10 +84,11 @@ CHAT_EDGES = """
 #: Crates: the market cut by region, each with the far ends of its edges; some definitions are missing.
 _TRADERS = "select id, kind, split_part(path, '::', 2) region, concat(split_part(path, '::', 2), '::', split_part(path, '::', 4)) path from (" + MARKET_NODES + ") m where id >= 1000000"
 _PAIRS = "select src, dst, relation, uses_kind from (" + MARKET_EDGES + ") m where relation = 'uses'"
-CRATE_NODES = f"""
-  select distinct t.region label, n.id, n.path, n.kind, case when n.region = t.region and n.id % 3 = 0 then concat(n.region, '.rs') end file
-  from ({_PAIRS}) e join ({_TRADERS}) t on t.id = e.src join ({_TRADERS}) n on n.id = e.src or n.id = e.dst
+_CRATE_END = """
+  select t.region label, n.id, n.path, n.kind, case when n.region = t.region and n.id % 3 = 0 then concat(n.region, '.rs') end file
+  from ({pairs}) e join ({traders}) t on t.id = e.src join ({traders}) n on n.id = e.{end}
   where not (n.region = t.region and n.id % 11 = 0)"""
+CRATE_NODES = " union ".join(_CRATE_END.replace("{end}", end).replace("{pairs}", _PAIRS).replace("{traders}", _TRADERS) for end in ("src", "dst"))
 CRATE_EDGES = f"""
   select t.region label, e.src, e.dst, e.relation, e.uses_kind
   from ({_PAIRS}) e join ({_TRADERS}) t on t.id = e.src where e.src % 11 != 0 and (e.dst % 11 != 0 or exists (
@@ -92,15 +99,15 @@ PLACED_NODES = f"""
   select distinct {_FLOW_ITEM} id, concat('flow::u', cast(user_id as string), '::', event_type) path, 'fn' kind,
     concat('/work/u', cast(user_id as string), '/src/lib.rs') file,
     cast(10 * ({_FLOW_ITEM} - user_id * 10) as int) start_line, cast(10 * ({_FLOW_ITEM} - user_id * 10) + 9 as int) end_line
-  from {{events}} where event_id % 40 = 0"""
+  from {{events}}"""
 HUNKS = """
   select distinct concat('u', cast(user_id as string), '/src/lib.rs') file, cast(10 + event_id % 45 as int) "start", cast(12 + event_id % 45 as int) "end"
-  from {events} where event_type = 'error' and event_id % 8 = 0"""
+  from {events} where event_type = 'error'"""
 CHANGED_FILES = """
   select distinct case when user_id % 13 = 0 then concat('u', cast(user_id as string), '/README.md')
       when user_id % 3 = 0 then concat('u', cast(user_id as string), '/src/lib.rs') else concat('u', cast(user_id as string), '/src/new.rs') end file,
     case when user_id % 7 = 0 then 'untracked' else 'tracked' end origin
-  from {events} where event_id % 8 = 0"""
+  from {events}"""
 MEMBER_DIRS = "select distinct concat('u', cast(user_id as string)) dir from {events} where user_id % 2 = 0"
 
 

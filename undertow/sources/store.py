@@ -21,9 +21,9 @@ def content_key(sections: Iterable[tuple[str, bytes]]) -> str:
 
 
 def source_keys(spark: SparkSession, folder: str, pattern: str = "*.rs") -> DataFrame:
-    """(dir, key): one digest for each folder of source files, over their names and contents in order."""
+    """(dir, key): one digest for each folder of source files, over their names in the folder and contents in order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    files = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.struct("path", F.sha2("content", 256).alias("digest")).alias("f"))
+    files = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.struct(F.substring_index("path", "/", -1).alias("path"), F.sha2("content", 256).alias("digest")).alias("f"))
     return files.groupBy("dir").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda f: F.concat_ws(":", f["path"], f["digest"])), "\n"), 256).alias("key"))
 
 
