@@ -20,12 +20,18 @@ def test_rollup(spark, tmp_path):
     docs = spark.createDataFrame(rows, "source string, lang string, text string")
     words = token_rollup.count_tokens(docs, "words")
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    assert rollup.totals().count() == 0
     rollup.commit("one", inserts=words)
     rollup.commit("one", inserts=words)  # replayed
     total = lambda: Counter({(r["source"], r["lang"], r["n_docs"], r["n_tokens"]): 1 for r in rollup.totals().collect()})
     assert total() == Counter({("a", "en", 2, 4): 1, (None, "fr", 1, 1): 1, ("b", None, 2, 0): 1})
     rollup.commit("two", deletes=words.filter("source is null"), revised=(words.filter("source = 'a'"), words.filter("source = 'a'").withColumn("n_tokens", F.col("n_tokens") * 10)))
     rollup.commit("empty")
+    before = total()
+    broken = words.withColumn("n_tokens", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        rollup.commit("one", inserts=broken)
+    assert total() == before
     assert total() == Counter({("a", "en", 2, 40): 1, ("b", None, 2, 0): 1})
     with pytest.raises(ValueError):
         rollup.commit("a/b")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.llm import decontaminate, licenses, minhash_dedup, mixing, pii, quality, suffix_dedup, token_rollup, toxicity, url_filter
-from undertow.llm.common import shared_dir
+from undertow.llm.common import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +56,7 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("pieces", inserts=token_rollup.count_tokens(docs, "byte_bpe_50k"))
-    words = token_rollup.count_tokens(docs, "words")
+    words = materialize(token_rollup.count_tokens(docs, "words"), "counts")
     for _ in range(2):
         rollup.commit("words", inserts=words)
     doubled = words.withColumn("n_tokens", F.col("n_tokens") * 2)

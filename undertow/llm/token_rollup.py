@@ -2,9 +2,11 @@
 
 A rollup is a folder of batches. A batch is a set of signed changes (insert +, delete -, revise:
 the old count - and the new one +), summed by source, language and tokenizer version before it is
-stored under its own name. Committing a name again replaces its files with the same sums, so a
-batch that is retried, or replayed after a lost driver, counts once. Totals are the sums over all
-committed batches; `compact` folds them into one.
+stored under its own name. Each commit of a name writes a version of its own, which counts from
+the moment its job has ended (Spark's `_SUCCESS` file) and then stands in place of the earlier
+versions of that name: a batch that is retried, or replayed after a lost driver, counts once, and
+a commit that breaks off changes nothing. Totals are the sums over the last versions of all names.
+One writer at a time may commit a name.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ def _encoding(path: str):
 def count_tokens(docs: DataFrame, version: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(source, lang, text) to (source, lang, tokenizer, n_tokens), one row for each input row.
 
-    version: "words", or the name of a rank file in `folder`. Null text counts as empty: 0 tokens.
+    version: "words", or the name of a rank file in `folder`. Null text counts as empty: 0 tokens;
+    long texts are counted whole, repeated rows each; an empty table gives no rows; other columns
+    are ignored.
     """
     kept = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     if version == "words":
@@ -69,11 +73,22 @@ class TokenRollup:
             raise ValueError("a batch name is a plain file name")
         return f"{self.path}/batches/batch={name}"
 
+    def _versions(self) -> dict[str, list[int]]:
+        """The committed versions of each batch."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches/batch=*/v=*/_SUCCESS")
+        files = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        found: dict[str, list[int]] = {}
+        for f in files or ():
+            batch, version = f.getPath().getParent().toString().split("/")[-2:]
+            found.setdefault(batch.removeprefix("batch="), []).append(int(version.removeprefix("v=")))
+        return found
+
     def commit(self, name: str, *, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revised: tuple[DataFrame, DataFrame] | None = None) -> None:
         """Store one batch of counted rows (source, lang, tokenizer, n_tokens); revised is (before, after).
 
-        Null keys are groups of their own; a null count is 0; an empty batch is a batch without
-        rows. The same name again replaces the batch, it never adds to it.
+        Null keys are groups of their own; repeated rows count each; a null count is 0; other
+        columns are ignored; an empty batch is a batch without rows. The same name again replaces
+        the batch, it never adds to it.
         """
         signed = [(inserts, 1), (deletes, -1), *([(revised[0], -1), (revised[1], 1)] if revised else [])]
         frames = [f.select(*_KEYS, F.lit(s).cast("long").alias("n_docs"), (F.coalesce("n_tokens", F.lit(0)) * s).cast("long").alias("n_tokens")) for f, s in signed if f is not None]
@@ -82,10 +97,14 @@ class TokenRollup:
         changes = frames[0]
         for f in frames[1:]:
             changes = changes.unionByName(f)
-        changes.groupBy(*_KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.mode("overwrite").parquet(self._batch(name))
+        sums = changes.groupBy(*_KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        # What a broken commit left in the next version's folder goes; a committed version is never touched.
+        version = max(self._versions().get(name, []), default=0) + 1
+        sums.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self._batch(name)}/v={version}")
 
     def totals(self) -> DataFrame:
-        """Groups with a document or token left: source, lang, tokenizer, n_docs, n_tokens."""
-        stored = self.spark.read.schema(_TOTAL).option("basePath", f"{self.path}/batches").parquet(f"{self.path}/batches/batch=*")
+        """Groups with a document or token left: source, lang, tokenizer, n_docs, n_tokens; no rows before any commit."""
+        last = [f"{self._batch(name)}/v={max(versions)}" for name, versions in self._versions().items()]
+        stored = self.spark.read.schema(_TOTAL).parquet(*last) if last else self.spark.createDataFrame([], _TOTAL)
         sums = stored.groupBy(*_KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs != 0 or n_tokens != 0")
