@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.runtime import materialize, shared_dir
+from undertow.runtime import discard, materialize, shared_dir
 
-__all__ = ["WORD", "SpanHasher", "held", "lower_ascii", "materialize", "mix", "n_words", "row_slices", "shared_dir", "split_at", "text_buffer", "trimmed", "word_spans"]
+__all__ = ["WORD", "SpanHasher", "discard", "held", "lower_ascii", "materialize", "mix", "n_words", "row_slices", "shared_dir", "split_at", "text_buffer", "trimmed", "word_spans"]
 
 #: The word pattern of every operator: runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"

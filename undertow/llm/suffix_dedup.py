@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import BYTE_CODE, SpanHasher, materialize, mix, powers, row_slices, split_at, text_buffer, word_spans
+from undertow.llm.common import BYTE_CODE, SpanHasher, discard, materialize, mix, powers, row_slices, split_at, text_buffer, word_spans
 
 #: Symbols of the substrings that anchors are chosen from, for texts of bytes and of words.
 _SEEDS = {1: 32, 4: 8}
@@ -503,12 +503,13 @@ def _repeated_windows(texts: DataFrame, length: int, unit: int, mode: str) -> Da
     anywhere else ("any") or in a text with another tid ("others").
     """
     found = texts.select("tid", "text", "owner")
-    runs = materialize(found.mapInArrow(_find_runs(length, unit), _RUN), "runs")
-    met = materialize(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
-    runs = _split_join(runs, met, ["anchor"], runs.count()).drop("n")
+    every = materialize(found.mapInArrow(_find_runs(length, unit), _RUN), "runs")
+    met = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
+    runs = _split_join(every, met, ["anchor"], every.count()).drop("n")
     if mode == "first":  # copies of a text stand as its first one
         runs = runs.groupBy("anchor", "context", "tid", "first", "last").agg(F.min("owner").alias("owner"))
     runs = materialize(runs, "met")
+    discard(every, met)
 
     place = F.struct(F.col("owner").isNull().alias("last_one"), F.coalesce("owner", F.lit(0)).alias("id"), "tid", "first", "last", "owner")
     contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("lead"), (F.min("tid") != F.max("tid")).alias("others"))
