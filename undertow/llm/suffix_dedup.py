@@ -11,7 +11,8 @@ independent groups, and the suffix arrays are built inside those:
     hash. Neighbouring windows mostly pick the same anchor; such a *run* is one row, its *context*
     the symbols that its windows cover. Runs whose anchor hash is met once cannot hold a repeat.
 2.  Runs with the same context hash are copies of each other, so one
-    of them stands for all.
+    of them stands for all. Copies of whole texts count as one text: what they hold is removed
+    because the text is there more than once, whatever the windows tell.
 3.  Anchor hashes with several different contexts go, with those contexts' symbols, to buckets of
     bounded size. Each bucket gets a suffix array by prefix doubling to depth `length`. In suffix
     order, the nearest entries before and after with a smaller text position bound the longest
@@ -504,7 +505,10 @@ def _repeated_windows(texts: DataFrame, length: int, unit: int, mode: str) -> Da
     """
     found = texts.select("tid", "text", "owner")
     every = materialize(found.mapInArrow(_find_runs(length, unit), _RUN), "runs")
-    met = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
+    # Copies of a text have the same tid; they are one place here.
+    spot = F.xxhash64("tid") if mode == "others" else F.xxhash64("tid", "first")
+    met = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min(spot).alias("low"), F.max(spot).alias("high"))
+    met = materialize(met.filter("low != high").select("anchor", "n"), "anchors")
     runs = _split_join(every, met, ["anchor"], every.count()).drop("n")
     if mode == "first":  # copies of a text stand as its first one
         runs = runs.groupBy("anchor", "context", "tid", "first", "last").agg(F.min("owner").alias("owner"))
@@ -512,7 +516,8 @@ def _repeated_windows(texts: DataFrame, length: int, unit: int, mode: str) -> Da
     discard(every, met)
 
     place = F.struct(F.col("owner").isNull().alias("last_one"), F.coalesce("owner", F.lit(0)).alias("id"), "tid", "first", "last", "owner")
-    contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("lead"), (F.min("tid") != F.max("tid")).alias("others"))
+    repeats = (F.min(spot) != F.max(spot)).alias("repeats")
+    contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("lead"), repeats)
     contexts = materialize(contexts, "contexts")
     shared = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     several = contexts.join(shared, "anchor").select("anchor", "context", "kinds", "lead.tid", "lead.owner", "lead.first", "lead.last")
@@ -537,15 +542,16 @@ def _repeated_windows(texts: DataFrame, length: int, unit: int, mode: str) -> Da
     matches = hits if crowd.isEmpty() else hits.unionByName(_crowd_matches(crowd, length, unit, mode))
 
     # A context that is a repeat as a whole: all its places, or all but the first.
-    whole = contexts.filter("others" if mode == "others" else "n > 1").select("anchor", "context", "n", F.col("lead").alias("leader"))
+    whole = contexts.filter("repeats").select("anchor", "context", "n", F.col("lead").alias("leader"))
     key = ["anchor", "context"]
-    copied = _split_join(runs, whole, key, runs.count())
+    n_runs = runs.count()
+    copied = _split_join(runs, whole, key, n_runs)
     if mode == "first":
         copied = copied.filter(place != F.col("leader"))
-    # The others are alone with their context, or repeat it within one text, or are the first.
+    # The others are alone with their context, together with copies of their text, or repeat it within one text, or are the first.
     alone = contexts.join(whole, key, "left_anti") if mode != "first" else contexts
     if mode == "others":
-        alone = alone.select(*key).join(runs, key)
+        alone = _split_join(runs, alone.select(*key, "n"), key, n_runs)
     else:
         alone = alone.select(*key, "lead.tid", "lead.first")
     partial = alone.join(matches, key).select("tid", "first", F.explode("hits").alias("h"))
