@@ -550,11 +550,11 @@ def _repeated_windows(texts: DataFrame, length: int, unit: int, mode: str) -> Da
         copied = copied.filter(place != F.col("leader"))
     # The others are alone with their context, together with copies of their text, or repeat it within one text, or are the first.
     alone = contexts.join(whole, key, "left_anti") if mode != "first" else contexts
-    if mode == "others":
-        alone = _split_join(runs, alone.select(*key, "n"), key, n_runs)
+    if mode == "others":  # all places of the text
+        partial = _split_join(runs, materialize(alone.select(*key, "n").join(matches, key), "partial"), key, n_runs)
     else:
-        alone = alone.select(*key, "lead.tid", "lead.first")
-    partial = alone.join(matches, key).select("tid", "first", F.explode("hits").alias("h"))
+        partial = alone.select(*key, "lead.tid", "lead.first").join(matches, key)
+    partial = partial.select("tid", "first", F.explode("hits").alias("h"))
     return copied.select("tid", "first", "last").unionByName(partial.select("tid", (F.col("first") + F.col("h.a")).alias("first"), (F.col("first") + F.col("h.b")).alias("last")))
 
 
