@@ -78,6 +78,18 @@ def test_common_subsequence():
         assert decontaminate._common_subsequence(decontaminate._masks(np.array(a, int)), len(a), b) == table[-1][-1]
 
 
+def test_licenses_over_lines_and_by_short_names(spark):
+    header = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License\n    as published by its owner."
+    permission = "Permission is hereby granted, free of\ncharge, to any person obtaining a\ncopy of this software"
+    rows = [(1, "intro\n\n \n" + header + "\n\nend"), (2, "Released under GPLv3."), (3, "Apache-2.0"), (4, "a\n\n" + permission), (5, "LGPLv2.1"), (6, "Released under GPLv2."), (7, "An apache helicopter flew over the house."), (8, "\n\n\n"), (9, "x y\n" * 50_000 + "\nReleased under the MIT License.\nbye")]
+    rows += [(2, "Released under GPLv3.")]
+    got = licenses.scan_licenses(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, parts int")).collect()
+    named = Counter((r["doc_id"], r["line"], r["n_lines"], r["family"]) for r in got if r["family"] != "unknown")
+    assert named == Counter([(1, 3, 3, "GPL-3.0"), (2, 0, 1, "GPL-3.0"), (2, 0, 1, "GPL-3.0"), (3, 0, 1, "Apache-2.0"), (4, 2, 3, "MIT"), (5, 0, 1, "LGPL"), (9, 50_001, 1, "MIT")])
+    assert {r["doc_id"] for r in got if r["family"] == "unknown"} <= {1, 4, 6}
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_licenses(spark):
     rows = [(1, "Le texte.\nThis work is licensed under the GNU General Public License, version 3.\nEnd"), (2, "Released under the MIT License."), (3, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."), (4, "mit der apache und gnu"), (5, None), (6, ""), (7, "see the Quux Public License version 9"), (None, "Released under the MIT License.")]
     got = licenses.scan_licenses(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, line int")).collect()
