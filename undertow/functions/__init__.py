@@ -10,7 +10,8 @@ from undertow.functions.paths import (
     member_name,
     normalized_key,
     ranges_overlap,
+    short_name,
     wildcard_matches,
 )
 
-__all__ = ["base_kind", "basename", "crate_of", "file_matches", "insert_trait", "line_count", "member_name", "normalized_key", "ranges_overlap", "wildcard_matches"]
+__all__ = ["base_kind", "basename", "crate_of", "file_matches", "insert_trait", "line_count", "member_name", "normalized_key", "ranges_overlap", "short_name", "wildcard_matches"]

@@ -23,6 +23,12 @@ def normalized_key(path: Column) -> Column:
     return F.when(F.contains(path, F.lit(_SEP)), F.substr(path, F.instr(path, _SEP) + len(_SEP))).otherwise(F.lit(""))
 
 
+def short_name(path: Column, crate: Column) -> Column:
+    """The path within its crate; the whole path of the root, or of a path of another crate."""
+    inside = F.startswith(path, F.concat(crate, F.lit(_SEP)))
+    return F.when(inside, F.substr(path, F.length(crate) + len(_SEP) + 1)).otherwise(path)
+
+
 def insert_trait(path: Column, trait: Column) -> Column:
     """Put <trait> before the last segment: a::b becomes a::<T>::b, and b becomes <T>::b."""
     cut = F.length(path) - F.length(F.substring_index(path, _SEP, -1))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.functions import normalized_key
+from undertow.functions import crate_of, normalized_key
 from undertow.graph import Graph
 from undertow.operators.degrees import owns_parents
 from undertow.schema import TYPE_KINDS, GraphError
 
 _NO_ITEMS = ("mod", "crate", "builtin")
+#: What tells items apart beside their kind: the name; the name, of items outside trait implementations;
+#: the name with its owner; the name with its owner, and the trait.
+ITEM_KEYS = ("name", "inherent_name", "owner_name", "trait_owner_name")
 
 
 def pairing_key(path: Column, mode: str) -> Column:
@@ -53,11 +56,22 @@ def top_weight_deltas(deltas: DataFrame, top: int = 10) -> DataFrame:
     return changed.orderBy(F.desc(F.abs("change")), "src_key", "dst_key").limit(top)
 
 
-def item_keys(graph: Graph, ghosts: DataFrame | None = None) -> DataFrame:
-    """(kind, trait, name, paths): items by kind, trait and name, qualified by the owner if that is a type."""
-    items = graph.nodes.filter(~F.col("kind").isin(*_NO_ITEMS)).select("id", "path", "name", "kind", F.coalesce("trait", F.lit("")).alias("trait"))
+def item_keys(graph: Graph, ghosts: DataFrame | None = None, key: str = "trait_owner_name") -> DataFrame:
+    """(kind, trait, name, paths): items by kind, trait and name, qualified by the owner if that is a type.
+
+    key: one of ITEM_KEYS; the coarser ones leave the trait empty, or the owner out as well.
+    """
+    if key not in ITEM_KEYS:
+        raise GraphError(f"unknown item key: {key}")
+    items = graph.nodes.filter(~F.col("kind").isin(*_NO_ITEMS))
+    if key == "inherent_name":
+        items = items.filter("`trait` is null and trait_ref is null")
+    trait = F.coalesce("trait", F.lit("")) if key == "trait_owner_name" else F.lit("")
+    items = items.select("id", "path", "name", "kind", trait.alias("trait"))
     if ghosts is not None:
         items = items.join(ghosts.select("path"), "path", "left_anti")
+    if not key.endswith("owner_name"):
+        return items.groupBy("kind", "trait", "name").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     owner = graph.nodes.select(F.col("id").alias("parent"), F.col("name").alias("owner"), F.col("kind").alias("owner_kind"))
     items = items.join(owns_parents(graph).join(owner, "parent"), "id", "left")
     full = F.when(F.col("owner_kind").isin(*TYPE_KINDS), F.concat("owner", F.lit("::"), "name")).otherwise(F.col("name"))
@@ -88,3 +102,35 @@ def key_census(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: keys that are paired, ambiguous, and on one side only."""
     count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
     return item_pairs(before, after).agg(count("paired"), count("ambiguous"), count("only_before"), count("only_after"))
+
+
+def unpaired_by_crate(pairs: DataFrame) -> DataFrame:
+    """(crate, n_before, n_after): paths of keys that one side lacks, by the crate they are in."""
+    side = lambda s: F.count_if(F.col("side") == s).alias(f"n_{s}")
+    return unpaired_items(pairs).groupBy(crate_of(F.col("path")).alias("crate")).agg(side("before"), side("after"))
+
+
+def key_measures(pairs: DataFrame) -> DataFrame:
+    """One row on how well a key tells items apart: items and keys of each side, and the fate of the keys.
+
+    n_ambiguous_items counts both sides' items of ambiguous keys.
+    """
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    sized = pairs.select("status", F.when(F.col("before").isNotNull(), n("before")).otherwise(0).alias("b"), F.when(F.col("after").isNotNull(), n("after")).otherwise(0).alias("a"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    fate = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    return sized.agg(
+        total("b", "items_before"),
+        total("a", "items_after"),
+        F.count_if(F.col("b") > 0).alias("keys_before"),
+        F.count_if(F.col("a") > 0).alias("keys_after"),
+        *map(fate, ("paired", "ambiguous", "only_before", "only_after")),
+        total(F.when(F.col("status") == "ambiguous", F.col("a") + F.col("b")), "n_ambiguous_items"),
+    )
+
+
+def largest_common_keys(pairs: DataFrame, top: int = 10) -> DataFrame:
+    """(kind, trait, name, n_before, n_after): the keys of both sides with most items, ties by key."""
+    common = pairs.filter("before is not null and after is not null")
+    sized = common.select("kind", "trait", "name", F.size("before").alias("n_before"), F.size("after").alias("n_after"))
+    return sized.orderBy(F.desc(F.col("n_before") + F.col("n_after")), "kind", "trait", "name").limit(top)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.functions import basename, crate_of, file_matches, ranges_overlap
+from undertow.functions import basename, crate_of, file_matches, ranges_overlap, short_name
 from undertow.graph import Graph
 from undertow.operators.reach import impact_reach
 
@@ -48,3 +48,8 @@ def touched_radius(graph: Graph, touched: DataFrame) -> DataFrame:
 def by_crate(paths: DataFrame) -> DataFrame:
     """(crate, n), largest first and then by name."""
     return paths.groupBy(crate_of(F.col("path")).alias("crate")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "crate")
+
+
+def touched_by_crate(touched: DataFrame) -> DataFrame:
+    """(crate, name): each touched path within its crate, once."""
+    return touched.select(crate_of(F.col("path")).alias("crate"), short_name(F.col("path"), crate_of(F.col("path"))).alias("name")).distinct()

@@ -15,7 +15,7 @@ def is_sysroot(path: Column) -> Column:
     return crate_of(path).isin(*SYSROOT)
 
 
-def _without(graph: Graph, removed: DataFrame) -> Graph:
+def without(graph: Graph, removed: DataFrame) -> Graph:
     """Drop nodes and the edges that touch them."""
     gone = removed.select("id")
     nodes = graph.nodes.join(gone, "id", "left_anti")
@@ -26,7 +26,7 @@ def _without(graph: Graph, removed: DataFrame) -> Graph:
 
 
 def drop_sysroot(graph: Graph) -> Graph:
-    return _without(graph, graph.nodes.filter(is_sysroot(F.col("path"))))
+    return without(graph, graph.nodes.filter(is_sysroot(F.col("path"))))
 
 
 def apply_scope(graph: Graph, scope: str) -> Graph:
@@ -40,7 +40,7 @@ def keep_members(graph: Graph, members: DataFrame) -> Graph:
     """Keep nodes whose crate is one of members(name); dashes and underscores are the same."""
     names = members.select(F.translate("name", "-", "_").alias("member")).distinct()
     outside = graph.nodes.withColumn("member", member_name(F.col("path"))).join(names, "member", "left_anti")
-    return _without(graph, outside)
+    return without(graph, outside)
 
 
 def reference_only(graph: Graph) -> Graph:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 from functools import reduce
 
@@ -93,17 +94,28 @@ class Comparison:
     deltas: DataFrame
     items: DataFrame
     removed_third_party: tuple[int, int]
+    mode: str = "normalized"
+    natures: tuple[str, str] = ("package", "package")
 
 
-def pairing_mode(before_crates: int, after_crates: int) -> str:
-    """Full paths where a side has several crates; one crate on each side may have been renamed."""
-    return "normalized" if before_crates == 1 and after_crates == 1 else "full_path"
+def pairing_mode(before: str, after: str) -> str:
+    """Full paths where a root is a workspace; a package's own name may have changed from one side to the other."""
+    return "full_path" if "workspace" in (before, after) else "normalized"
+
+
+def side_label(root: str) -> str:
+    """What a side of a comparison is called: the name of its folder, "workspace" where that has none."""
+    return os.path.basename(os.path.realpath(root)) or "workspace"
 
 
 def analyse_comparison(
-    before: Graph, after: Graph, *, mode: str = "normalized", scope: str = "own_code", uses_mode: str = "all", members: tuple[DataFrame, DataFrame] | None = None, ghosts: tuple[DataFrame, DataFrame] | None = None
+    before: Graph, after: Graph, *, natures: tuple[str, str] = ("package", "package"), mode: str | None = None, scope: str = "own_code", uses_mode: str = "all", members: tuple[DataFrame, DataFrame] | None = None, ghosts: tuple[DataFrame, DataFrame] | None = None
 ) -> Comparison:
-    """Two resolved graphs side by side; members limits each side to its own crates, ghosts (path) are no items of theirs."""
+    """Two resolved graphs side by side; members limits each side to its own crates, ghosts (path) are no items of theirs.
+
+    natures: "package" or "workspace" for each side; they choose how modules are paired unless mode does.
+    """
+    mode = mode or pairing_mode(*natures)
     sides, removed = [], []
     for k, graph in enumerate((before, after)):
         graph = apply_scope(graph, scope)
@@ -116,4 +128,4 @@ def analyse_comparison(
         sides.append(graph.stored())
     a, b = (structure_of(g, uses_mode=uses_mode) for g in sides)
     pairs = compare.module_pairs(a.modules, b.modules, mode)
-    return Comparison(pairs, compare.edge_deltas(a.dependencies, b.dependencies, pairs, mode), compare.item_pairs(*(compare.item_keys(g, missing) for g, missing in zip(sides, ghosts or (None, None)))), (removed[0], removed[1]))
+    return Comparison(pairs, compare.edge_deltas(a.dependencies, b.dependencies, pairs, mode), compare.item_pairs(*(compare.item_keys(g, missing) for g, missing in zip(sides, ghosts or (None, None)))), (removed[0], removed[1]), mode, natures)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.functions import wildcard_matches
@@ -14,6 +14,15 @@ from undertow.schema import GraphError
 LIBRARY_KINDS = ("lib", "rlib", "dylib", "cdylib", "staticlib", "proc-macro")
 
 
+_METADATA = "packages array<struct<name string, manifest_path string, targets array<struct<name string, kind array<string>>>>>"
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(name, manifest_path, targets) of each package in captured package metadata (JSON)."""
+    documents = spark.read.schema(_METADATA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return documents.select(F.explode("packages").alias("p")).select("p.*")
+
+
 def chosen_target(targets: Column) -> Column:
     """targets: array<struct<name, kind: array>>. "lib" if any is a library, "bin:<name>" if exactly one is a binary, else null."""
     library = F.exists(targets, lambda t: F.exists(t["kind"], lambda k: k.isin(*LIBRARY_KINDS)))

@@ -56,9 +56,9 @@ def checked(graph: Graph) -> Graph:
     return graph
 
 
-def read_graph(spark: SparkSession, path: str, *, label: str | None = None) -> Graph:
-    """One JSON document (or several, one for each file) as a checked graph."""
-    documents = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_graph(spark: SparkSession, path: str, *, label: str | None = None, lines: bool = False) -> Graph:
+    """One JSON document (or several: one for each file, or with `lines` one on each line) as a checked graph."""
+    documents = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     name = documents.select("crate").first()
     if label is not None:
         documents = documents.withColumn("label", F.lit(label))
