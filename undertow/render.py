@@ -7,6 +7,11 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undertow.functions import basename
+from undertow.operators.compare import top_weight_deltas, unpaired_by_crate
+from undertow.operators.diffing import by_crate, touched_by_crate
+from undertow.operators.reach import combined
+
 
 def fill_template(template: str, values: dict[str, object]) -> str:
     """Replace {key} by its value; unknown keys stay as they are."""
@@ -103,19 +108,71 @@ def comparison_json(comparison, name_before: str, name_after: str) -> str:
     )
 
 
+def _titled(title: str, rows: list[str]) -> list[str]:
+    return ["", title, *(f"  {r}" for r in rows)] if rows else []
+
+
+def comparison_text(comparison, name_before: str, name_after: str) -> str:
+    """Counts of both levels, what one side lacks, the largest changes of weight, items by kind and by crate."""
+    pairs, deltas = comparison.pairs.orderBy("key").collect(), comparison.deltas.orderBy("src_key", "dst_key").collect()
+    alone = {"before": [r["path_before"] for r in pairs if r["path_after"] is None], "after": [r["path_after"] for r in pairs if r["path_before"] is None]}
+    gone, new = [r for r in deltas if r["weight_after"] is None], [r for r in deltas if r["weight_before"] is None]
+    status = {r["status"]: r["count"] for r in comparison.items.groupBy("status").count().collect()}
+    kinds = comparison.items.filter("status = 'paired'").groupBy("kind").count().orderBy("kind").collect()
+    out = [
+        f"{name_before} ({comparison.natures[0]}) -> {name_after} ({comparison.natures[1]}), modules paired by {comparison.mode}",
+        f"modules: {len(pairs) - len(alone['before']) - len(alone['after'])} paired, {len(alone['before'])} only before, {len(alone['after'])} only after",
+        f"dependencies: {len(deltas) - len(gone) - len(new)} common, {len(gone)} gone, {len(new)} new",
+        "items: " + ", ".join(f"{status.get(s, 0)} {s.replace('_', ' ')}" for s in ("paired", "ambiguous", "only_before", "only_after")),
+    ]
+    if any(comparison.removed_third_party):
+        out.append("third-party nodes left out: {} before, {} after".format(*comparison.removed_third_party))
+    for side, paths in alone.items():
+        out += _titled(f"modules only {side}:", paths)
+    out += _titled("dependencies gone:", [f"{r['src_key']} -> {r['dst_key']} ({r['weight_before']})" for r in gone])
+    out += _titled("new dependencies:", [f"{r['src_key']} -> {r['dst_key']} ({r['weight_after']})" for r in new])
+    out += _titled("largest changes of weight:", [f"{r['src_key']} -> {r['dst_key']}: {r['weight_before']} -> {r['weight_after']}" for r in top_weight_deltas(comparison.deltas).collect()])
+    out += _titled("paired items by kind:", [f"{r['kind']} {r['count']}" for r in kinds])
+    out += _titled("items of one side by crate:", [f"{r['crate']}: {r['n_before']} before, {r['n_after']} after" for r in unpaired_by_crate(comparison.items).orderBy("crate").collect()])
+    return "\n".join(out)
+
+
+def diff_json(touched: DataFrame, classes: DataFrame, found: DataFrame, names: DataFrame, census: DataFrame, ghosts: DataFrame | None = None) -> str:
+    """Touched nodes with class and sizes of their radius, the radius of all together, untracked files, ghosts.
+
+    touched: (id, path); classes: (id, class); found: (target, direction, node, depth); names: (id, path).
+    """
+    size = lambda d: F.count_if(F.col("direction") == d).alias(d)
+    sizes = found.groupBy(F.col("target").alias("id")).agg(size("upstream"), size("downstream"))
+    each = touched.join(classes.select("id", "class"), "id").join(sizes, "id", "left").fillna(0, ["upstream", "downstream"])
+    every = combined(found).join(names.select(F.col("id").alias("node"), "path"), "node").orderBy("depth", "path")
+    reached = lambda d: [{"path": r["path"], "depth": r["depth"]} for r in every.filter(F.col("direction") == d).toLocalIterator()]
+    files = lambda b: [r["file"] for r in census.filter(F.col("bucket") == b).orderBy("file").toLocalIterator()]
+    return _dump(
+        {
+            "touched": [r.asDict() for r in each.select("path", "id", "class", "upstream", "downstream").orderBy("path", "id").toLocalIterator()],
+            "combined": {d: reached(d) for d in ("upstream", "downstream")},
+            **{b: files(b) for b in ("linked", "loose", "non_source")},
+            "ghosts": [r.asDict() for r in ghosts.orderBy("path").toLocalIterator()] if ghosts is not None else [],
+        }
+    )
+
+
 def diff_text(touched: DataFrame, census: DataFrame, found_paths: DataFrame, view: str = "summary") -> str:
-    """view: "summary", "item" (every touched path) or "layers" (touched paths by crate)."""
-    from undertow.operators.diffing import by_crate
+    """view: "summary", "item" (every touched path) or "layers" (touched names by crate).
 
+    Where nothing depends on the change but new files are linked, what they use comes first.
+    """
+    files = [(r["bucket"], r["name"]) for r in census.select("bucket", basename(F.col("file")).alias("name")).orderBy("bucket", "name").toLocalIterator()]
+    buckets = {b: [name for bucket, name in files if bucket == b] for b in ("linked", "loose", "non_source")}
     if view == "item":
         body = [r["path"] for r in touched.orderBy("path", "id").toLocalIterator()]
     elif view == "layers":
-        grouped = touched.groupBy(F.split_part("path", F.lit("::"), F.lit(1)).alias("crate")).agg(F.array_join(F.sort_array(F.collect_list("path")), ", ").alias("paths"))
-        body = [f"{r['crate']}: {r['paths']}" for r in grouped.orderBy("crate").collect()]
+        grouped = touched_by_crate(touched).groupBy("crate").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
+        body = [f"{r['crate']}: {r['names']}" for r in grouped.orderBy("crate").collect()]
     else:
-        body = []
-        for direction in ("upstream", "downstream"):
-            counts = by_crate(found_paths.filter(F.col("direction") == direction)).collect()
-            body.append(f"{direction}: " + (", ".join(f"{r['crate']} {r['n']}" for r in counts) or "-"))
-    buckets = {r["bucket"]: r["count"] for r in census.groupBy("bucket").count().collect()}
-    return "\n".join([*body, "untracked: " + ", ".join(f"{b} {buckets.get(b, 0)}" for b in ("linked", "loose", "non_source"))])
+        counts = {d: by_crate(found_paths.filter(F.col("direction") == d)).collect() for d in ("upstream", "downstream")}
+        order = ("downstream", "upstream") if buckets["linked"] and not counts["upstream"] else ("upstream", "downstream")
+        body = [f"{d}: " + (", ".join(f"{r['crate']} {r['n']}" for r in counts[d]) or "-") for d in order]
+    foot = [f"untracked, {b.replace('_', ' ')}: {len(names)}" + (f" ({', '.join(names)})" if names else "") for b, names in buckets.items()]
+    return "\n".join([*body, *foot])
