@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import conversations, decontaminate, divergence, licenses, minhash_dedup, mixing, pii, quality, suffix_dedup, token_rollup, toxicity, url_filter
+from undertow.llm import conversations, decontaminate, divergence, jaccard_join, licenses, minhash_dedup, mixing, pii, quality, suffix_dedup, token_rollup, toxicity, url_filter
 from undertow.llm.common import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_rollup": op8_token_rollup,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_source_divergence": op13_source_divergence,
 }
