@@ -204,7 +204,7 @@ def test_comparison(spark):
     status = {r["name"]: r["status"] for r in result.items.collect()}
     assert status == {"C": "paired", "C::get": "paired", "Foo": "ambiguous"}
     same = analyse_comparison(before, before)
-    assert compare.unpaired_items(same.items).count() == 0 and same.deltas.filter("weight_before != weight_after or weight_after is null").count() == 0
+    assert compare.unpaired_items(same.items, *same.item_rows).count() == 0 and same.deltas.filter("weight_before != weight_after or weight_after is null").count() == 0
 
 
 def test_diff_text(spark):

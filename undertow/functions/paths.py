@@ -49,6 +49,12 @@ def file_matches(file: Column, changed: Column) -> Column:
     return (file == changed) | F.endswith(file, F.concat(F.lit("/"), changed))
 
 
+def path_ends(file: Column) -> Column:
+    """The file itself and what stands behind each "/": all changed files that this file matches."""
+    parts = F.split(file, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+
+
 def ranges_overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Whether the inclusive ranges [a, b] and [c, d] meet."""
     return (a <= d) & (c <= b)

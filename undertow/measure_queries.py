@@ -219,8 +219,7 @@ def common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keys_without_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     graphs = _shops(spark, sf_dir)
     pairs = compare.item_pairs(*(compare.item_keys(g, g.nodes.filter("path like '%::C%5'").select("path")) for g in graphs))
-    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
-    return pairs.select("kind", "trait", "name", n("before").alias("n_before"), n("after").alias("n_after"))
+    return pairs.select("kind", "trait", "name", "n_before", "n_after")
 
 
 @_query(_SHOP_SIDES + " select coalesce(b.kind, a.kind) kind, coalesce(b.n, 0) n_before, coalesce(a.n, 0) n_after from (select kind, count(*) n from before_nodes group by kind) b full join (select kind, count(*) n from after_nodes group by kind) a on a.kind = b.kind")
@@ -230,7 +229,7 @@ def kinds_of_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(Q._ITEMS + " select split_part(path, '::', 1) crate, count(*) filter (where status = 'only_before') n_before, count(*) filter (where status = 'only_after') n_after from (select status, unnest(coalesce(before, after)) path from items where status in ('only_before', 'only_after')) u group by 1")
 def unpaired_by_crate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.unpaired_by_crate(Q._items(spark, sf_dir))
+    return compare.unpaired_by_crate(*Q._items(spark, sf_dir))
 
 
 # --- measurements --------------------------------------------------------------------------------

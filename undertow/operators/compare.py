@@ -57,7 +57,7 @@ def top_weight_deltas(deltas: DataFrame, top: int = 10) -> DataFrame:
 
 
 def item_keys(graph: Graph, ghosts: DataFrame | None = None, key: str = "trait_owner_name") -> DataFrame:
-    """(kind, trait, name, paths): items by kind, trait and name, qualified by the owner if that is a type.
+    """(kind, trait, name, path): each item with its kind, trait and name, qualified by the owner if that is a type.
 
     key: one of ITEM_KEYS; the coarser ones leave the trait empty, or the owner out as well.
     """
@@ -71,31 +71,41 @@ def item_keys(graph: Graph, ghosts: DataFrame | None = None, key: str = "trait_o
     if ghosts is not None:
         items = items.join(ghosts.select("path"), "path", "left_anti")
     if not key.endswith("owner_name"):
-        return items.groupBy("kind", "trait", "name").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        return items.select("kind", "trait", "name", "path")
     owner = graph.nodes.select(F.col("id").alias("parent"), F.col("name").alias("owner"), F.col("kind").alias("owner_kind"))
     items = items.join(owns_parents(graph).join(owner, "parent"), "id", "left")
     full = F.when(F.col("owner_kind").isin(*TYPE_KINDS), F.concat("owner", F.lit("::"), "name")).otherwise(F.col("name"))
-    return items.groupBy("kind", "trait", full.alias("name")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return items.select("kind", "trait", full.alias("name"), "path")
+
+
+_KEY = ["kind", "trait", "name"]
 
 
 def item_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(kind, trait, name, before, after, status) over two item_keys frames.
+    """(kind, trait, name, n_before, n_after, before, after, status) over two item_keys frames, one row for each key.
 
     status: paired (one path on each side), ambiguous (on both sides, but more than one on either),
-    only_before or only_after.
+    only_before or only_after. before and after are the paths of a pair, else null: paths of a
+    crowded key stay rows of the item_keys frames, where items_with finds them.
     """
-    keys = ["kind", "trait", "name"]
-    both = before.withColumnRenamed("paths", "before").join(after.withColumnRenamed("paths", "after"), keys, "full")
-    one = (F.size("before") == 1) & (F.size("after") == 1)
-    status = F.when(F.col("after").isNull(), "only_before").when(F.col("before").isNull(), "only_after").when(one, "paired").otherwise("ambiguous")
-    return both.withColumn("status", status)
+    side = lambda df, name: df.groupBy(*_KEY).agg(F.count("*").alias(f"n_{name}"), F.min("path").alias(name))
+    both = side(before, "before").join(side(after, "after"), _KEY, "full").fillna(0, ["n_before", "n_after"])
+    one = (F.col("n_before") == 1) & (F.col("n_after") == 1)
+    status = F.when(F.col("n_after") == 0, "only_before").when(F.col("n_before") == 0, "only_after").when(one, "paired").otherwise("ambiguous")
+    both = both.withColumn("status", status)
+    return both.withColumns({c: F.when(F.col("status") == "paired", F.col(c)) for c in ("before", "after")})
+
+
+def items_with(pairs: DataFrame, before: DataFrame, after: DataFrame, *status: str) -> DataFrame:
+    """(side, kind, trait, name, path): the items of both sides whose keys have one of the statuses."""
+    wanted = pairs.filter(F.col("status").isin(*status)).select(*_KEY)
+    side = lambda df, name: df.join(wanted, _KEY, "left_semi").select(F.lit(name).alias("side"), *_KEY, "path")
+    return side(before, "before").unionByName(side(after, "after"))
 
 
-def unpaired_items(pairs: DataFrame) -> DataFrame:
-    """(side, kind, trait, name, path): one row for each path of a key that one side lacks."""
-    alone = pairs.filter("status in ('only_before', 'only_after')")
-    side = F.when(F.col("status") == "only_before", "before").otherwise("after")
-    return alone.select(side.alias("side"), "kind", "trait", "name", F.explode(F.coalesce("before", "after")).alias("path"))
+def unpaired_items(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(side, kind, trait, name, path): the items whose key the other side lacks."""
+    return items_with(pairs, before, after, "only_before", "only_after")
 
 
 def key_census(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -104,10 +114,10 @@ def key_census(before: DataFrame, after: DataFrame) -> DataFrame:
     return item_pairs(before, after).agg(count("paired"), count("ambiguous"), count("only_before"), count("only_after"))
 
 
-def unpaired_by_crate(pairs: DataFrame) -> DataFrame:
-    """(crate, n_before, n_after): paths of keys that one side lacks, by the crate they are in."""
+def unpaired_by_crate(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(crate, n_before, n_after): items whose key one side lacks, by the crate they are in."""
     side = lambda s: F.count_if(F.col("side") == s).alias(f"n_{s}")
-    return unpaired_items(pairs).groupBy(crate_of(F.col("path")).alias("crate")).agg(side("before"), side("after"))
+    return unpaired_items(pairs, before, after).groupBy(crate_of(F.col("path")).alias("crate")).agg(side("before"), side("after"))
 
 
 def key_measures(pairs: DataFrame) -> DataFrame:
@@ -115,22 +125,19 @@ def key_measures(pairs: DataFrame) -> DataFrame:
 
     n_ambiguous_items counts both sides' items of ambiguous keys.
     """
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    sized = pairs.select("status", F.when(F.col("before").isNotNull(), n("before")).otherwise(0).alias("b"), F.when(F.col("after").isNotNull(), n("after")).otherwise(0).alias("a"))
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
     fate = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
-    return sized.agg(
-        total("b", "items_before"),
-        total("a", "items_after"),
-        F.count_if(F.col("b") > 0).alias("keys_before"),
-        F.count_if(F.col("a") > 0).alias("keys_after"),
+    return pairs.agg(
+        total("n_before", "items_before"),
+        total("n_after", "items_after"),
+        F.count_if(F.col("n_before") > 0).alias("keys_before"),
+        F.count_if(F.col("n_after") > 0).alias("keys_after"),
         *map(fate, ("paired", "ambiguous", "only_before", "only_after")),
-        total(F.when(F.col("status") == "ambiguous", F.col("a") + F.col("b")), "n_ambiguous_items"),
+        total(F.when(F.col("status") == "ambiguous", F.col("n_before") + F.col("n_after")), "n_ambiguous_items"),
     )
 
 
 def largest_common_keys(pairs: DataFrame, top: int = 10) -> DataFrame:
     """(kind, trait, name, n_before, n_after): the keys of both sides with most items, ties by key."""
-    common = pairs.filter("before is not null and after is not null")
-    sized = common.select("kind", "trait", "name", F.size("before").alias("n_before"), F.size("after").alias("n_after"))
-    return sized.orderBy(F.desc(F.col("n_before") + F.col("n_after")), "kind", "trait", "name").limit(top)
+    common = pairs.filter("n_before > 0 and n_after > 0").select(*_KEY, "n_before", "n_after")
+    return common.orderBy(F.desc(F.col("n_before") + F.col("n_after")), *_KEY).limit(top)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from undertow.graph import Graph
 from undertow.operators.degrees import owns_parents
-from undertow.operators.reach import reach
+from undertow.operators.numbering import numbered
+from undertow.operators.ranking import part_edges, reaching
+from undertow.operators.scc import components
 from undertow.runtime import materialize
 from undertow.schema import MODULE_KINDS
 
@@ -60,13 +62,20 @@ def module_radii(graph: Graph, contained: DataFrame) -> DataFrame:
     """(module, direction, other): modules reached from a module's items, by paths of items.
 
     Exact: the search runs on items and is projected, since a path in the quotient graph need not
-    be one of items. The module itself is never listed.
+    be one of items. The module itself is never listed. Modules are numbered and 64 of them share a
+    mask, which travels along the condensation of the items; masks are united by the module of
+    the items that they reach before anything is listed. A module reaches another upstream if
+    that one reaches it downstream, so there is one search.
     """
-    starts = contained.select(F.col("module").alias("target"), F.col("id").alias("node"))
-    place = contained.select(F.col("id").alias("node"), F.col("module").alias("other"))
-    out = None
-    for direction in ("upstream", "downstream"):
-        found = reach(graph.uses(), starts, direction).join(place, "node").filter("target != other")
-        found = found.select(F.col("target").alias("module"), F.lit(direction).alias("direction"), "other").distinct()
-        out = found if out is None else out.unionByName(found)
-    return out
+    parts = materialize(components(graph).select("id", F.col("scc").alias("part")), "parts")
+    numbers = materialize(numbered(contained.select("module").distinct(), ["module"], "number"), "modules")
+    placed = contained.join(parts, "id").join(numbers, "module").select("module", "number", "part").distinct()
+    placed = materialize(placed, "placed")
+    masks = reaching(part_edges(graph, parts), placed.select(F.col("number").alias("id"), "part"))
+    seen = masks.join(placed.select("module", "part"), "part").groupBy("module", "block").agg(F.bit_or("mask").alias("mask"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("mask", k) == 1)
+    pairs = seen.select(F.col("module").alias("low"), "block", F.explode(bits).alias("bit")).withColumn("number", F.col("block") * 64 + F.col("bit"))
+    pairs = materialize(pairs.join(numbers.select("number", F.col("module").alias("high")), "number").filter("low != high").select("low", "high"), "radii")
+    # "high" reaches "low" along the edges: low is downstream of it.
+    down = pairs.select(F.col("high").alias("module"), F.lit("downstream").alias("direction"), F.col("low").alias("other"))
+    return down.unionByName(pairs.select(F.col("low").alias("module"), F.lit("upstream").alias("direction"), F.col("high").alias("other")))

@@ -37,16 +37,21 @@ def reaching(edges: DataFrame, members: DataFrame) -> DataFrame:
     return known
 
 
+def part_edges(graph: Graph, parts: DataFrame) -> DataFrame:
+    """(src, dst): distinct uses edges between different parts. parts: (id, part)."""
+    side = lambda end: parts.select(F.col("id").alias(end), F.col("part").alias(f"{end}_part"))
+    edges = graph.uses().select("src", "dst").join(side("src"), "src").join(side("dst"), "dst").filter("src_part != dst_part")
+    return materialize(edges.select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).distinct(), "between")
+
+
 def impacts(graph: Graph, parts: DataFrame | None = None) -> DataFrame:
     """(id, path, impact): number of nodes that depend on each node, directly or not, without itself.
 
     Members of a component are reached by the same nodes, so the search runs on components.
     """
     parts = materialize(components(graph) if parts is None else parts, "parts")
-    side = lambda end: parts.select(F.col("id").alias(end), F.col("scc").alias(f"{end}_scc"))
-    edges = graph.uses().select("src", "dst").join(side("src"), "src").join(side("dst"), "dst").filter("src_scc != dst_scc")
-    edges = materialize(edges.select(F.col("src_scc").alias("src"), F.col("dst_scc").alias("dst")).distinct(), "between")
-    masks = reaching(edges, parts.select("id", F.col("scc").alias("part")))
+    placed = parts.select("id", F.col("scc").alias("part"))
+    masks = reaching(part_edges(graph, placed), placed)
     total = masks.groupBy(F.col("part").alias("scc")).agg((F.sum(F.bit_count("mask")) - 1).alias("impact"))
     return parts.join(total, "scc").select("id", "path", "impact")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undertow.graph import Graph
@@ -75,5 +76,44 @@ def max_depths(found: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def combined(found: DataFrame) -> DataFrame:
-    """(direction, node, depth): smallest depth over all targets."""
+    """(direction, node, depth): smallest depth over all targets of a reach that is there already."""
     return found.groupBy("direction", "node").agg(F.min("depth").alias("depth"))
+
+
+def combined_reach(edges: DataFrame, starts: DataFrame, direction: str) -> DataFrame:
+    """(node, depth): distance of each node from the nearest other one of starts(id), in one search for all of them.
+
+    Each node keeps its two nearest starts only: a start has itself at distance 0 and needs the next
+    one. Two are enough for everything behind a node, too. So there are at most two rows for a
+    node, where a search by target has one for each pair.
+    """
+    if direction not in ("upstream", "downstream"):
+        raise ValueError(f"unknown direction: {direction}")
+    near, far = ("dst", "src") if direction == "upstream" else ("src", "dst")
+    steps = materialize(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct(), "steps")
+    frontier = materialize(starts.select(F.col("id").alias("node"), F.col("id").alias("start")).distinct().withColumn("depth", F.lit(0).cast("long")), "frontier")
+    parts, deep = [frontier], 0
+    two = lambda: F.array_distinct(F.array(F.min("start"), F.max("start")))
+    while not frontier.isEmpty():
+        hops, hop = [], frontier.select("node", "start")
+        for k in range(1, _HOPS + 1):
+            # Of more than two starts that come from the same distance, any two will do.
+            met = hop.join(steps, "node").groupBy(F.col("next").alias("node")).agg(two().alias("two"))
+            hop = met.select("node", F.explode("two").alias("start"))
+            hops.append(hop.withColumn("depth", F.lit(deep + k).cast("long")))
+        known = reduce(DataFrame.unionByName, parts)
+        grown = reduce(DataFrame.unionByName, hops).groupBy("node", "start").agg(F.min("depth").alias("depth"))
+        order = W.partitionBy("node").orderBy("depth", "start")
+        every = known.withColumn("new", F.lit(False)).unionByName(grown.join(known, ["node", "start"], "left_anti").withColumn("new", F.lit(True)))
+        kept = every.withColumn("place", F.row_number().over(order)).filter("place <= 2 and new")
+        fresh = materialize(kept.select("node", "start", "depth"), "reached")
+        deep += _HOPS
+        frontier = fresh.filter(F.col("depth") == deep)
+        parts = [materialize(reduce(DataFrame.unionByName, [*parts, fresh]), "reached")] if len(parts) > _PARTS else [*parts, fresh]
+    return reduce(DataFrame.unionByName, parts).filter("node != start").groupBy("node").agg(F.min("depth").alias("depth"))
+
+
+def combined_radius(graph: Graph, targets: DataFrame) -> DataFrame:
+    """(direction, node, depth) from the nearest other of targets(id), in both directions."""
+    ways = [combined_reach(graph.uses(), targets, d).select(F.lit(d).alias("direction"), "node", "depth") for d in ("upstream", "downstream")]
+    return ways[0].unionByName(ways[1])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions import crate_of
 from undertow.graph import Graph
-from undertow.runtime import materialize
+from undertow.operators.numbering import numbered
 
 
 @dataclass(frozen=True)
@@ -41,17 +41,8 @@ def ghosts(graph: Graph) -> DataFrame:
 
 
 def numbered_by_path(nodes: DataFrame) -> DataFrame:
-    """Replace id by the place of the path in byte order, from 0, without one task that sees all rows.
-
-    Rows are dealt by ranges of paths and counted in their partition; partitions add the sizes of
-    those before them.
-    """
-    ordered = nodes.repartitionByRange("path").sortWithinPartitions("path")
-    ordered = materialize(ordered.withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", before.alias("start"))
-    return ordered.join(starts, "part").withColumn("id", F.col("start") + F.col("within")).select(*nodes.columns)
+    """Replace id by the place of the path in byte order, from 0."""
+    return numbered(nodes.drop("id"), ["path"], "id").select(*nodes.columns)
 
 
 def unite(graph: Graph) -> Union:

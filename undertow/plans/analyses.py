@@ -92,10 +92,11 @@ def analyse_diff(graph: Graph, ranges: DataFrame, files: DataFrame, member_dirs:
 class Comparison:
     pairs: DataFrame
     deltas: DataFrame
-    items: DataFrame
+    items: DataFrame  # one row for each key
     removed_third_party: tuple[int, int]
     mode: str = "normalized"
     natures: tuple[str, str] = ("package", "package")
+    item_rows: tuple[DataFrame, DataFrame] | None = None  # each item of both sides with its key
 
 
 def pairing_mode(before: str, after: str) -> str:
@@ -128,4 +129,5 @@ def analyse_comparison(
         sides.append(graph.stored())
     a, b = (structure_of(g, uses_mode=uses_mode) for g in sides)
     pairs = compare.module_pairs(a.modules, b.modules, mode)
-    return Comparison(pairs, compare.edge_deltas(a.dependencies, b.dependencies, pairs, mode), compare.item_pairs(*(compare.item_keys(g, missing) for g, missing in zip(sides, ghosts or (None, None)))), (removed[0], removed[1]), mode, natures)
+    items = [materialize(compare.item_keys(g, missing), "items") for g, missing in zip(sides, ghosts or (None, None))]
+    return Comparison(pairs, compare.edge_deltas(a.dependencies, b.dependencies, pairs, mode), compare.item_pairs(*items), (removed[0], removed[1]), mode, natures, (items[0], items[1]))

@@ -397,15 +397,15 @@ def touched_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_DIFF + _ALL_REACH + " select direction, node, min(depth) depth from every group by direction, node")
 def combined_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach.combined(_touched_reach(spark, sf_dir)[1])
+    graph = _placed(spark, sf_dir)
+    return reach.combined_radius(graph, diffing.touched_nodes(graph, P.select(spark, sf_dir, P.HUNKS)))
 
 
 @_query(_DIFF + _ALL_REACH + " select split_part(path, '::', 1) crate, count(*) n from (select distinct node from every where direction = 'upstream') e join nodes on id = node group by 1")
 def impact_by_crate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph, found = _touched_reach(spark, sf_dir)
-    nodes = found.filter("direction = 'upstream'").select(F.col("node").alias("id")).distinct()
-    return diffing.by_crate(graph.nodes.join(nodes, "id"))
-
+    graph = _placed(spark, sf_dir)
+    touched = diffing.touched_nodes(graph, P.select(spark, sf_dir, P.HUNKS))
+    return diffing.by_crate(graph.nodes.join(reach.combined_reach(graph.uses(), touched, "upstream").withColumnRenamed("node", "id"), "id"))
 
 
 @_query("""select event_id diff_id, concat('f', cast(user_id as string), '.rs') file, cast(event_id % 50 as int) "start", cast(event_id % 50 + event_id % 4 - 1 as int) "end"
@@ -496,28 +496,37 @@ _ITEMS = _SIDES + "".join(f""", {side}_items as (
   from before_items b full join after_items a on a.kind = b.kind and a."trait" = b."trait" and a.name = b.name)"""
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.item_pairs(*(compare.item_keys(g) for g in _sides(spark, sf_dir)))
+def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs of keys, items before, items after)."""
+    before, after = (compare.item_keys(g) for g in _sides(spark, sf_dir))
+    return compare.item_pairs(before, after), before, after
 
 
 @_query(_ITEMS + " select kind, name, before[1] path_before, after[1] path_after from items where status = 'paired'")
 def item_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).filter("status = 'paired'").select("kind", "name", F.get("before", F.lit(0)).alias("path_before"), F.get("after", F.lit(0)).alias("path_after"))
+    return _items(spark, sf_dir)[0].filter("status = 'paired'").select("kind", "name", F.col("before").alias("path_before"), F.col("after").alias("path_after"))
 
 
 @_query(_ITEMS + " select kind, name, array_to_string(before, ',') before, array_to_string(after, ',') after from items where status = 'ambiguous'")
 def item_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).filter("status = 'ambiguous'").select("kind", "name", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
+    """For readers: the paths of a key in one text. ambiguous_items has them as rows."""
+    paths = lambda s: F.array_join(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("path")))), ",").alias(s)
+    return compare.items_with(*_items(spark, sf_dir), "ambiguous").groupBy("kind", "trait", "name").agg(paths("before"), paths("after")).drop("trait")
+
+
+@_query(_ITEMS + " select kind, name, 'before' side, unnest(before) path from items where status = 'ambiguous' union all select kind, name, 'after', unnest(after) from items where status = 'ambiguous'")
+def ambiguous_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.items_with(*_items(spark, sf_dir), "ambiguous").select("kind", "name", "side", "path")
 
 
 @_query(_ITEMS + """ select case when status = 'only_before' then 'before' else 'after' end side, kind, "trait", name, unnest(coalesce(before, after)) path from items where status in ('only_before', 'only_after')""")
 def item_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.unpaired_items(_items(spark, sf_dir))
+    return compare.unpaired_items(*_items(spark, sf_dir))
 
 
 @_query(_ITEMS + " select kind, count(*) n from items where status = 'paired' group by kind")
 def paired_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).filter("status = 'paired'").groupBy("kind").agg(F.count("*").alias("n"))
+    return _items(spark, sf_dir)[0].filter("status = 'paired'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @_query(_ITEMS + " select count(*) filter (where status = 'paired') n_paired, count(*) filter (where status = 'ambiguous') n_ambiguous, count(*) filter (where status = 'only_before') n_only_before, count(*) filter (where status = 'only_after') n_only_after from items")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.functions import basename
-from undertow.operators.compare import top_weight_deltas, unpaired_by_crate
+from undertow.operators.compare import items_with, top_weight_deltas, unpaired_by_crate
 from undertow.operators.diffing import by_crate, touched_by_crate
+from undertow.operators.numbering import numbered
 from undertow.operators.reach import combined
 
 
@@ -92,9 +93,58 @@ def matrix_cells(structure) -> DataFrame:
     return cells.join(place.select(F.col("ordinal").alias("j"), F.col("path").alias("dst")), "dst").select("i", "j", "weight")
 
 
+def folded(dependencies: DataFrame, depth: int) -> DataFrame:
+    """(src, dst, weight) with modules of more than `depth` segments folded into the one above them of that depth.
+
+    Weights add up; what a folded module uses within itself is no dependency any more. A module is
+    contained in those whose path begins its own.
+    """
+    up = lambda c: F.substring_index(c, "::", depth).alias(c)
+    rows = dependencies.select(up("src"), up("dst"), "weight").filter("src != dst")
+    return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def folded_matrix(structure, closed: DataFrame) -> DataFrame:
+    """(i, j, weight) of the matrix in which the modules of closed(path) show as one row, with all that they contain.
+
+    A module goes to the outermost closed one above it or itself, and rows stand in the order of the
+    first of their members. Weights within a row are left out.
+    """
+    order = structure.order.select("ordinal", "path")
+    parts = F.split("path", "::")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "::"))
+    into = order.select("ordinal", "path", F.posexplode(above).alias("k", "shown")).join(closed.select(F.col("path").alias("shown")).distinct(), "shown", "left_semi")
+    into = into.groupBy("ordinal", "path").agg(F.min_by("shown", "k").alias("shown"))
+    rows = order.join(into.select("path", "shown"), "path", "left").withColumn("shown", F.coalesce("shown", "path"))
+    first = rows.groupBy("shown").agg(F.min("ordinal").alias("first"))
+    places = numbered(first, ["first"], "row").select("shown", "row")
+    rows = rows.select("path", "shown").join(places, "shown").select("path", "row")
+    cells = structure.dependencies.join(rows.withColumnsRenamed({"path": "src", "row": "i"}), "src").join(rows.withColumnsRenamed({"path": "dst", "row": "j"}), "dst")
+    return cells.filter("i != j").groupBy("i", "j").agg(F.sum("weight").alias("weight"))
+
+
+def comparison_lines(comparison) -> DataFrame:
+    """(part, value): each module pair, dependency and item of a Comparison as one JSON object on a line of its own.
+
+    What a comparison as one document would gather in lists stays rows here, for Spark to write.
+    """
+    part = lambda name, df, *columns: df.select(F.lit(name).alias("part"), F.to_json(F.struct(*columns)).alias("value"))
+    out = part("module", comparison.pairs, "key", "path_before", "path_after")
+    out = out.unionByName(part("dependency", comparison.deltas, "src_key", "dst_key", "weight_before", "weight_after"))
+    out = out.unionByName(part("item", comparison.items.filter("status = 'paired'"), "kind", "trait", "name", "before", "after"))
+    for status in ("ambiguous", "only_before", "only_after"):
+        out = out.unionByName(part(status, items_with(comparison.items, *comparison.item_rows, status), "side", "kind", "trait", "name", "path"))
+    return out
+
+
 def comparison_json(comparison, name_before: str, name_after: str) -> str:
-    pairs, deltas, items = comparison.pairs.collect(), comparison.deltas.collect(), comparison.items.collect()
-    rows = lambda status: [r.asDict() for r in items if r["status"] == status]
+    """One document, for comparisons that somebody reads as a whole; comparison_lines has the rows."""
+    pairs, deltas = comparison.pairs.collect(), comparison.deltas.collect()
+    items: dict[str, dict[tuple, dict]] = {s: {} for s in ("paired", "ambiguous", "only_before", "only_after")}
+    for status, found in items.items():
+        for r in items_with(comparison.items, *comparison.item_rows, status).orderBy("kind", "trait", "name", "path").toLocalIterator():
+            entry = found.setdefault((r["kind"], r["trait"], r["name"]), {"kind": r["kind"], "trait": r["trait"], "name": r["name"], "before": [], "after": []})
+            entry[r["side"]].append(r["path"])
     return _dump(
         {
             "before": name_before,
@@ -103,7 +153,7 @@ def comparison_json(comparison, name_before: str, name_after: str) -> str:
             "unpaired_before": sorted(r["path_before"] for r in pairs if not r["path_after"]),
             "unpaired_after": sorted(r["path_after"] for r in pairs if not r["path_before"]),
             "dependencies": [r.asDict() for r in sorted(deltas, key=lambda r: (r["src_key"], r["dst_key"]))],
-            "items": {s: rows(s) for s in ("paired", "ambiguous", "only_before", "only_after")},
+            "items": {s: list(found.values()) for s, found in items.items()},
         }
     )
 
@@ -133,7 +183,7 @@ def comparison_text(comparison, name_before: str, name_after: str) -> str:
     out += _titled("new dependencies:", [f"{r['src_key']} -> {r['dst_key']} ({r['weight_after']})" for r in new])
     out += _titled("largest changes of weight:", [f"{r['src_key']} -> {r['dst_key']}: {r['weight_before']} -> {r['weight_after']}" for r in top_weight_deltas(comparison.deltas).collect()])
     out += _titled("paired items by kind:", [f"{r['kind']} {r['count']}" for r in kinds])
-    out += _titled("items of one side by crate:", [f"{r['crate']}: {r['n_before']} before, {r['n_after']} after" for r in unpaired_by_crate(comparison.items).orderBy("crate").collect()])
+    out += _titled("items of one side by crate:", [f"{r['crate']}: {r['n_before']} before, {r['n_after']} after" for r in unpaired_by_crate(comparison.items, *comparison.item_rows).orderBy("crate").collect()])
     return "\n".join(out)
 
 
