@@ -10,7 +10,7 @@ from undertow.operators.degrees import owns_parents
 from undertow.operators.numbering import numbered
 from undertow.operators.ranking import part_edges, reaching
 from undertow.operators.scc import components
-from undertow.runtime import materialize
+from undertow.runtime import materialize, materialize_counted
 from undertow.schema import MODULE_KINDS
 
 
@@ -25,13 +25,14 @@ def containing_modules(graph: Graph) -> DataFrame:
     items = graph.nodes.filter(~is_module).select("id")
     parents = owns_parents(graph).join(items, "id", "left_semi")
     flagged = parents.join(modules.select(F.col("id").alias("parent"), F.lit(True).alias("done")), "parent", "left")
-    climb = materialize(flagged.select("id", F.col("parent").alias("above"), F.coalesce("done", F.lit(False)).alias("done")), "climb")
+    flagged = flagged.select("id", F.col("parent").alias("above"), F.coalesce("done", F.lit(False)).alias("done"))
+    climb, now = materialize_counted(flagged, "climb", open=F.count_if(~F.col("done")))
     left = -1
-    while (now := climb.filter("not done").count()) not in (0, left):
-        left = now
+    while now["open"] not in (0, left):
+        left = now["open"]
         up = climb.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("done").alias("next_done"))
         moved = climb.filter("not done").join(up, "above").select("id", F.col("next").alias("above"), F.col("next_done").alias("done"))
-        climb = materialize(climb.filter("done").unionByName(moved), "climb")
+        climb, now = materialize_counted(climb.filter("done").unionByName(moved), "climb", open=F.count_if(~F.col("done")))
     inside = climb.filter("done").select("id", F.col("above").alias("module"))
     return inside.unionByName(modules.select("id", F.col("id").alias("module")))
 

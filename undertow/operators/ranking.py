@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from undertow.graph import Graph
 from undertow.operators.degrees import classification
 from undertow.operators.scc import components
-from undertow.runtime import materialize
+from undertow.runtime import materialize, materialize_counted
 
 _HOPS = 3
 
@@ -23,8 +23,9 @@ def reaching(edges: DataFrame, members: DataFrame) -> DataFrame:
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(64)).cast("int"))
     own = members.select("part", F.floor(F.col("id") / 64).alias("block"), bit.alias("mask"))
-    known = fresh = materialize(own.groupBy("part", "block").agg(F.bit_or("mask").alias("mask")), "masks")
-    while not fresh.isEmpty():
+    known, n = materialize_counted(own.groupBy("part", "block").agg(F.bit_or("mask").alias("mask")), "masks", new=F.count("*"))
+    fresh = known
+    while n["new"]:
         sent, hop = None, fresh
         for _ in range(_HOPS):
             hop = hop.join(edges, hop["part"] == edges["src"]).groupBy(F.col("dst").alias("part"), "block").agg(F.bit_or("mask").alias("mask"))
@@ -32,7 +33,7 @@ def reaching(edges: DataFrame, members: DataFrame) -> DataFrame:
         sent = sent.groupBy("part", "block").agg(F.bit_or("mask").alias("mask"))
         new = sent.join(known.withColumnRenamed("mask", "had"), ["part", "block"], "left")
         new = new.select("part", "block", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("mask"))
-        fresh = materialize(new.filter("mask != 0"), "fresh")
+        fresh, n = materialize_counted(new.filter("mask != 0"), "fresh", new=F.count("*"))
         known = materialize(known.unionByName(fresh).groupBy("part", "block").agg(F.bit_or("mask").alias("mask")), "masks")
     return known
 

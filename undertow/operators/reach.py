@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from undertow.graph import Graph
 from undertow.operators.degrees import classification, owns_children, owns_parents
-from undertow.runtime import materialize
+from undertow.runtime import materialize, materialize_counted
 from undertow.schema import TargetNotFound
 
 _HOPS, _PARTS = 3, 6
@@ -29,16 +29,17 @@ def reach(edges: DataFrame, targets: DataFrame, direction: str) -> DataFrame:
     near, far = ("dst", "src") if direction == "upstream" else ("src", "dst")
     steps = materialize(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct(), "steps")
     key = ["target", "node"]
-    frontier = materialize(targets.select(*key).distinct().withColumn("depth", F.lit(0).cast("long")), "frontier")
+    frontier, n = materialize_counted(targets.select(*key).distinct().withColumn("depth", F.lit(0).cast("long")), "frontier", left=F.count("*"))
     parts, deep = [frontier], 0
-    while not frontier.isEmpty():
+    while n["left"]:
         hops, hop = [], frontier.select(*key)
         for k in range(1, _HOPS + 1):
             hop = hop.join(steps, "node").select("target", F.col("next").alias("node")).distinct()
             hops.append(hop.withColumn("depth", F.lit(deep + k).cast("long")))
         # A node at distance deep + k is k hops from some node of the frontier, and nearer to none.
         grown = reduce(DataFrame.unionByName, hops).groupBy(*key).agg(F.min("depth").alias("depth"))
-        fresh = materialize(grown.join(reduce(DataFrame.unionByName, parts), key, "left_anti"), "reached")
+        fresh = grown.join(reduce(DataFrame.unionByName, parts), key, "left_anti")
+        fresh, n = materialize_counted(fresh, "reached", left=F.count_if(F.col("depth") == deep + _HOPS))
         deep += _HOPS
         frontier = fresh.filter(F.col("depth") == deep)
         parts.append(fresh)
@@ -91,10 +92,11 @@ def combined_reach(edges: DataFrame, starts: DataFrame, direction: str) -> DataF
         raise ValueError(f"unknown direction: {direction}")
     near, far = ("dst", "src") if direction == "upstream" else ("src", "dst")
     steps = materialize(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct(), "steps")
-    frontier = materialize(starts.select(F.col("id").alias("node"), F.col("id").alias("start")).distinct().withColumn("depth", F.lit(0).cast("long")), "frontier")
+    frontier = starts.select(F.col("id").alias("node"), F.col("id").alias("start")).distinct().withColumn("depth", F.lit(0).cast("long"))
+    frontier, n = materialize_counted(frontier, "frontier", left=F.count("*"))
     parts, deep = [frontier], 0
     two = lambda: F.array_distinct(F.array(F.min("start"), F.max("start")))
-    while not frontier.isEmpty():
+    while n["left"]:
         hops, hop = [], frontier.select("node", "start")
         for k in range(1, _HOPS + 1):
             # Of more than two starts that come from the same distance, any two will do.
@@ -106,7 +108,7 @@ def combined_reach(edges: DataFrame, starts: DataFrame, direction: str) -> DataF
         order = W.partitionBy("node").orderBy("depth", "start")
         every = known.withColumn("new", F.lit(False)).unionByName(grown.join(known, ["node", "start"], "left_anti").withColumn("new", F.lit(True)))
         kept = every.withColumn("place", F.row_number().over(order)).filter("place <= 2 and new")
-        fresh = materialize(kept.select("node", "start", "depth"), "reached")
+        fresh, n = materialize_counted(kept.select("node", "start", "depth"), "reached", left=F.count_if(F.col("depth") == deep + _HOPS))
         deep += _HOPS
         frontier = fresh.filter(F.col("depth") == deep)
         parts = [materialize(reduce(DataFrame.unionByName, [*parts, fresh]), "reached")] if len(parts) > _PARTS else [*parts, fresh]

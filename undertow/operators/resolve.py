@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions import insert_trait
 from undertow.graph import Graph
+from undertow.runtime import materialize
 from undertow.schema import Undecided
 
 
@@ -84,7 +85,7 @@ def resolve(graph: Graph, *, skip_undecided: bool = False) -> Graph:
     Renaming touches only paths and verdicts use ids, and merging changes no other verdict, so all
     collisions are settled in one step.
     """
-    judged = verdicts(graph)
+    judged = materialize(verdicts(graph), "verdicts")
     if not skip_undecided:
         open_ones = [r["path"] for r in judged.filter("verdict = 'undecided'").select("path").orderBy("path").limit(5).collect()]
         if open_ones:

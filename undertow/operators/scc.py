@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from undertow.graph import Graph
 from undertow.operators.reach import reach
-from undertow.runtime import materialize
+from undertow.runtime import materialize, materialize_counted
 
 _HOPS = 3
 
@@ -21,13 +21,13 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges.join(both.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Rounds of trimming while they take a tenth of the edges; what is left, coloring settles."""
-    before, now = 0, edges.count()
+def _trim(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Rounds of trimming while they take a tenth of the n edges; what is left, and how many, coloring settles."""
+    before, now = 0, n
     while now and (not before or now < 0.9 * before):
-        edges = materialize(_trimmed(edges), "trimmed")
-        before, now = now, edges.count()
-    return edges
+        edges, left = materialize_counted(_trimmed(edges), "trimmed", n=F.count("*"))
+        before, now = now, left["n"]
+    return edges, now
 
 
 def _lowest_reaching(edges: DataFrame, turn: int) -> DataFrame:
@@ -38,22 +38,27 @@ def _lowest_reaching(edges: DataFrame, turn: int) -> DataFrame:
     """
     rank = lambda c: F.struct((F.lit(0).cast("long") if turn == 0 else F.xxhash64(F.col(c), F.lit(turn))).alias("r"), F.col(c).alias("id"))
     nodes = edges.select(F.col("src").alias("v")).union(edges.select(F.col("dst").alias("v"))).distinct()
-    colors = materialize(nodes.select("v", rank("v").alias("color"), F.lit(True).alias("moved")), "colors")
-    while not colors.filter("moved").isEmpty():
+    colors, n = materialize_counted(nodes.select("v", rank("v").alias("color"), F.lit(True).alias("moved")), "colors", moved=F.count("*"))
+    while n["moved"]:
         new, sent = colors.select("v", F.col("color").alias("was")), colors.filter("moved").select("v", "color")
         arrived = None
         for _ in range(_HOPS):
             sent = edges.join(sent.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("color").alias("color"))
             arrived = sent if arrived is None else arrived.unionByName(sent)
         new = new.join(arrived.groupBy("v").agg(F.min("color").alias("low")), "v", "left")
-        colors = materialize(new.select("v", F.least("was", "low").alias("color"), F.coalesce(F.col("low") < F.col("was"), F.lit(False)).alias("moved")), "colors")
+        new = new.select("v", F.least("was", "low").alias("color"), F.coalesce(F.col("low") < F.col("was"), F.lit(False)).alias("moved"))
+        colors, n = materialize_counted(new, "colors", moved=F.count_if("moved"))
     return colors.select("v", "color.id").withColumnRenamed("id", "color")
 
 
-def _back_to_root(edges: DataFrame, colors: DataFrame) -> DataFrame:
-    """(v, color) of the nodes that reach their color's root through nodes of that color."""
+def _within_colors(edges: DataFrame, colors: DataFrame) -> DataFrame:
+    """Edges between nodes of one color: the nodes of a component are reached by the same nodes, so no other edge lies within one."""
     inner = edges.join(colors.select(F.col("v").alias("src"), F.col("color")), "src").join(colors.select(F.col("v").alias("dst"), F.col("color").alias("c2")), "dst")
-    inner = inner.filter("color = c2").select("src", "dst")
+    return inner.filter("color = c2").select("src", "dst")
+
+
+def _back_to_root(inner: DataFrame, colors: DataFrame) -> DataFrame:
+    """(v, color) of the nodes that reach their color's root through nodes of that color."""
     roots = colors.filter("v = color")
     back = reach(inner, roots.select(F.col("color").alias("target"), F.col("v").alias("node")), "upstream")
     return roots.unionByName(back.select(F.col("node").alias("v"), F.col("target").alias("color")))
@@ -64,17 +69,22 @@ def components(graph: Graph) -> DataFrame:
 
     Nodes without edges in and out are trimmed away while that pays. Then each node takes the first node that
     reaches it as its color; the nodes of a color that reach the color's own node are one
-    component. They leave, and what is left is colored again. The smallest id names a component.
+    component. They leave, and so do the edges between colors, which lie within no component: what is
+    left falls apart into ever smaller pieces that are colored again all at once. The smallest id
+    names a component.
     """
-    rest = _trim(materialize(graph.uses().filter("src != dst").select("src", "dst").distinct(), "uses"))
+    first, n = materialize_counted(graph.uses().filter("src != dst").select("src", "dst").distinct(), "uses", n=F.count("*"))
+    rest, left = _trim(first, n["n"])
     found: list[DataFrame] = []
-    while not rest.isEmpty():
-        colors = materialize(_lowest_reaching(rest, len(found)), "colored")
+    while left:
+        colors = _lowest_reaching(rest, len(found))
+        rest = materialize(_within_colors(rest, colors), "inner")
         members = materialize(_back_to_root(rest, colors), "members")
         found.append(members)
         for end in ("src", "dst"):
             rest = rest.join(members.select(F.col("v").alias(end)), end, "left_anti")
-        rest = _trim(materialize(rest.select("src", "dst"), "rest"))
+        rest, n = materialize_counted(rest.select("src", "dst"), "rest", n=F.count("*"))
+        rest, left = _trim(rest, n["n"])
     nodes = graph.nodes.select("id", "path")
     if found:
         every = reduce(DataFrame.unionByName, found)

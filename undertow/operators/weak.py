@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.runtime import materialize
+from undertow.runtime import materialize, materialize_counted
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def weak_components(edges: DataFrame) -> DataFrame:
         new = near.join(handed, "node", "left").select("node", F.col("weak").alias("was"), F.least("low", "handed").alias("weak"))
         new = materialize(new, "labels")
         jump = new.select(F.col("node").alias("weak"), F.col("weak").alias("above"))
-        labels = materialize(new.join(jump, "weak").select("node", F.least("weak", "above").alias("weak"), (F.least("weak", "above") < F.col("was")).alias("moved")), "labels")
-        done = labels.filter("moved").isEmpty()
+        moved = new.join(jump, "weak").select("node", F.least("weak", "above").alias("weak"), (F.least("weak", "above") < F.col("was")).alias("moved"))
+        labels, n = materialize_counted(moved, "labels", moved=F.count_if("moved"))
         labels = labels.select("node", "weak")
-        if done:
+        if not n["moved"]:
             return labels

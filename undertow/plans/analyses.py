@@ -14,7 +14,7 @@ from undertow.operators import compare, diffing, modules, ranking, reach, resolv
 from undertow.operators.dsm import dsm_order
 from undertow.operators.filters import apply_scope, apply_uses_mode, keep_members
 from undertow.runtime import materialize
-from undertow.schema import GraphError, Undecided
+from undertow.schema import MODULE_KINDS, GraphError, Undecided
 
 
 def prepare(graph: Graph, scope: str = "full") -> Graph:
@@ -39,18 +39,25 @@ class Structure:
     radii: DataFrame  # (module, direction, other) by path
 
 
+def _dependencies(graph: Graph, contained: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(modules by id and path, dependencies with weight by path)."""
+    names = graph.nodes.filter(F.col("kind").isin(*MODULE_KINDS)).select("id", "path")
+    named = lambda df, c, to: df.join(names.select(F.col("id").alias(c), F.col("path").alias(to)), c)
+    weights = named(named(modules.coupling_weights(graph, contained), "src_module", "src"), "dst_module", "dst")
+    return names, weights.select("src", "dst", "weight")
+
+
 def structure_of(graph: Graph, *, uses_mode: str = "all") -> Structure:
     """The module view of a resolved graph. Containment and components are found once and shared."""
     graph = apply_uses_mode(graph, uses_mode).stored()
     contained = materialize(modules.containing_modules(graph), "contained")
     quotient = modules.module_graph(graph, contained).stored()
     parts = materialize(scc.components(quotient), "parts")
-    names = quotient.nodes.select("id", "path")
+    names, weights = _dependencies(graph, contained)
     named = lambda df, c, to: df.join(names.select(F.col("id").alias(c), F.col("path").alias(to)), c)
-    weights = named(named(modules.coupling_weights(graph, contained), "src_module", "src"), "dst_module", "dst")
     radii = modules.module_radii(graph, contained).withColumnsRenamed({"module": "m", "other": "o"})
     radii = named(named(radii, "m", "module"), "o", "other")
-    return Structure(names, weights.select("src", "dst", "weight"), scc.cycles(parts), dsm_order(quotient, parts), radii.select("module", "direction", "other"))
+    return Structure(names, weights, scc.cycles(parts), dsm_order(quotient, parts), radii.select("module", "direction", "other"))
 
 
 def analyse_structure(graph: Graph, *, scope: str = "full", uses_mode: str = "all") -> Structure:
@@ -127,7 +134,9 @@ def analyse_comparison(
         else:
             removed.append(0)
         sides.append(graph.stored())
-    a, b = (structure_of(g, uses_mode=uses_mode) for g in sides)
-    pairs = compare.module_pairs(a.modules, b.modules, mode)
+    # A comparison needs the modules and their dependencies only, not their cycles, order and radii.
+    used = [apply_uses_mode(g, uses_mode) for g in sides]
+    (modules_before, deps_before), (modules_after, deps_after) = (_dependencies(g, materialize(modules.containing_modules(g), "contained")) for g in used)
+    pairs = compare.module_pairs(modules_before, modules_after, mode)
     items = [materialize(compare.item_keys(g, missing), "items") for g, missing in zip(sides, ghosts or (None, None))]
-    return Comparison(pairs, compare.edge_deltas(a.dependencies, b.dependencies, pairs, mode), compare.item_pairs(*items), (removed[0], removed[1]), mode, natures, (items[0], items[1]))
+    return Comparison(pairs, compare.edge_deltas(deps_before, deps_after, pairs, mode), compare.item_pairs(*items), (removed[0], removed[1]), mode, natures, (items[0], items[1]))

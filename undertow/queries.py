@@ -532,3 +532,13 @@ def paired_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_ITEMS + " select count(*) filter (where status = 'paired') n_paired, count(*) filter (where status = 'ambiguous') n_ambiguous, count(*) filter (where status = 'only_before') n_only_before, count(*) filter (where status = 'only_after') n_only_after from items")
 def key_discriminance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.key_census(*(compare.item_keys(g) for g in _sides(spark, sf_dir)))
+
+
+def _depth_sql_each(name: str) -> str:
+    """(path, direction, n): how far each path of target reaches over {name}_nodes and {name}_edges."""
+    near = {"upstream": ("dst", "src"), "downstream": ("src", "dst")}
+    walks = "".join(f""", {name}_{d} as (
+  select n.path target, n.id node from {name}_nodes n join target on target.path = n.path union
+  select w.target, e.{far} from {name}_{d} w join {name}_edges e on e.{a} = w.node)""" for d, (a, far) in near.items())
+    counts = " union all ".join(f"select target path, '{d}' direction, count(*) - 1 n from {name}_{d} group by target" for d in near)
+    return walks + f", {name}_sizes as ({counts})"

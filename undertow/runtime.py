@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +29,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
+def materialize_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """materialize, and aggregates over its rows that the writing job finds on its way; null for none is 0."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    return stored, {k: v or 0 for k, v in seen.get.items()}
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize that nothing will read again."""
     for df in tables:

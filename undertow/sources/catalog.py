@@ -17,9 +17,9 @@ LIBRARY_KINDS = ("lib", "rlib", "dylib", "cdylib", "staticlib", "proc-macro")
 _METADATA = "packages array<struct<name string, manifest_path string, targets array<struct<name string, kind array<string>>>>>"
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(name, manifest_path, targets) of each package in captured package metadata (JSON)."""
-    documents = spark.read.schema(_METADATA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_metadata(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """(name, manifest_path, targets) of each package in captured package metadata (JSON; with `lines` one document on each line)."""
+    documents = spark.read.schema(_METADATA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     return documents.select(F.explode("packages").alias("p")).select("p.*")
 
 
@@ -46,6 +46,15 @@ def root_nature(manifest: dict) -> str:
     raise GraphError("the manifest declares neither a package nor a workspace")
 
 
+def root_natures(manifests: DataFrame) -> DataFrame:
+    """(root, text) of many manifests to (root, nature): "package", "workspace", or null with neither; a package wins.
+
+    A table counts by its header or by a dotted key at the top of the file.
+    """
+    declares = lambda t: F.col("text").rlike(rf"(?m)^[ \t]*\[[ \t]*{t}[ \t]*[.\]]") | F.regexp_extract("text", r"\A([^\[]*)", 1).rlike(rf"(?m)^[ \t]*{t}[ \t]*[.=]")
+    return manifests.select("root", F.when(declares("package"), "package").when(declares("workspace"), "workspace").alias("nature"))
+
+
 def _under(dirs: DataFrame, pattern: str) -> DataFrame:
     wanted = [p for p in pattern.split("/") if p not in ("", ".")]
     parts = F.split("dir", "/")
