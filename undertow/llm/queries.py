@@ -52,7 +52,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under two tokenizer versions; one batch is replayed, and one is revised and taken back."""
+    """All documents under two tokenizer versions; one batch is replayed, and one is revised, folded and taken back."""
     docs = _table(spark, sf_dir, "documents")
     rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("pieces", inserts=token_rollup.count_tokens(docs, "byte_bpe_50k"))
@@ -61,6 +61,7 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.commit("words", inserts=words)
     doubled = words.withColumn("n_tokens", F.col("n_tokens") * 2)
     rollup.commit("recount", revised=(words, doubled))
+    rollup.fold()
     rollup.commit("undo", revised=(doubled, words))
     return rollup.totals()
 

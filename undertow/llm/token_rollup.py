@@ -5,8 +5,12 @@ the old count - and the new one +), summed by source, language and tokenizer ver
 stored under its own name. Each commit of a name writes a version of its own, which counts from
 the moment its job has ended (Spark's `_SUCCESS` file) and then stands in place of the earlier
 versions of that name: a batch that is retried, or replayed after a lost driver, counts once, and
-a commit that breaks off changes nothing. Totals are the sums over the last versions of all names.
-One writer at a time may commit a name.
+a commit that breaks off changes nothing. One writer at a time may commit a name.
+
+Totals are maintained: a fold stores the sums so far together with the version of each batch that
+they cover, and counts from the moment its last job has ended. After it, only batches that it
+does not cover are added, and where a batch has been replaced since, the version that it covers is
+taken off. Commits fold by themselves when enough batches are not covered.
 """
 
 from __future__ import annotations
@@ -67,19 +71,25 @@ class TokenRollup:
 
     spark: SparkSession
     path: str
+    #: Batches beyond the last fold that a commit leaves as they are.
+    fold_after: int = 32
 
     def _batch(self, name: str) -> str:
         if not name or "/" in name or "=" in name:
             raise ValueError("a batch name is a plain file name")
         return f"{self.path}/batches/batch={name}"
 
+    def _finished(self, pattern: str) -> list[str]:
+        """The folders of a pattern whose writing job has ended."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}/_SUCCESS")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return [f.getPath().getParent().toString() for f in files or ()]
+
     def _versions(self) -> dict[str, list[int]]:
         """The committed versions of each batch."""
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches/batch=*/v=*/_SUCCESS")
-        files = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
         found: dict[str, list[int]] = {}
-        for f in files or ():
-            batch, version = f.getPath().getParent().toString().split("/")[-2:]
+        for folder in self._finished("batches/batch=*/v=*"):
+            batch, version = folder.split("/")[-2:]
             found.setdefault(batch.removeprefix("batch="), []).append(int(version.removeprefix("v=")))
         return found
 
@@ -100,11 +110,51 @@ class TokenRollup:
         sums = changes.groupBy(*_KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         # What a broken commit left in the next version's folder goes; a committed version is never touched.
         version = max(self._versions().get(name, []), default=0) + 1
-        sums.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self._batch(name)}/v={version}")
+        self._write(sums, f"{self._batch(name)}/v={version}")
+        if len(self._uncovered()[1]) > self.fold_after:
+            self.fold()
+
+    @staticmethod
+    def _write(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(path)
+
+    def _last_fold(self) -> tuple[int, dict[str, int]]:
+        """(number, {batch: version} that it covers) of the last finished fold; 0 without any."""
+        numbers = [int(folder.split("/")[-2].removeprefix("f=")) for folder in self._finished("folds/f=*/covers")]
+        if not numbers:
+            return 0, {}
+        covers = self.spark.read.schema("batch string, version int").parquet(f"{self.path}/folds/f={max(numbers)}/covers")
+        return max(numbers), {r["batch"]: r["version"] for r in covers.collect()}  # a short row for each batch
+
+    def _uncovered(self) -> tuple[int, list[str], list[str]]:
+        """(number of the last fold, batches to add to it, batches to take off it), as folders."""
+        number, covered = self._last_fold()
+        last = {name: max(versions) for name, versions in self._versions().items()}
+        folder = lambda name, version: f"{self._batch(name)}/v={version}"
+        new = [folder(n, v) for n, v in last.items() if covered.get(n) != v]
+        return number, new, [folder(n, v) for n, v in covered.items() if last.get(n, v) != v]
+
+    def fold(self) -> None:
+        """Store the totals of what is committed now, for later totals to start from."""
+        number, new, _ = self._uncovered()
+        if not new:
+            return
+        last = [(name, max(versions)) for name, versions in self._versions().items()]
+        folder = f"{self.path}/folds/f={number + 1}"
+        self._write(self.totals(), f"{folder}/totals")
+        # From here on the fold counts: it is written last, and what broke off before is written again.
+        self._write(self.spark.createDataFrame(last, "batch string, version int"), f"{folder}/covers")
 
     def totals(self) -> DataFrame:
         """Groups with a document or token left: source, lang, tokenizer, n_docs, n_tokens; no rows before any commit."""
-        last = [f"{self._batch(name)}/v={max(versions)}" for name, versions in self._versions().items()]
-        stored = self.spark.read.schema(_TOTAL).parquet(*last) if last else self.spark.createDataFrame([], _TOTAL)
+        number, new, replaced = self._uncovered()
+        read = lambda *paths: self.spark.read.schema(_TOTAL).parquet(*paths)
+        stored = self.spark.createDataFrame([], _TOTAL)
+        if number:
+            stored = stored.unionByName(read(f"{self.path}/folds/f={number}/totals"))
+        if new:
+            stored = stored.unionByName(read(*new))
+        if replaced:
+            stored = stored.unionByName(read(*replaced).withColumns({c: -F.col(c) for c in ("n_docs", "n_tokens")}))
         sums = stored.groupBy(*_KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs != 0 or n_tokens != 0")
