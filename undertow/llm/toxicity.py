@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,7 +29,6 @@ _PREFIXES = (4, 5, 6)
 _LEAST_TOXIC = 3
 _LEAST_PRECISION = 0.9
 _LEAST_NEW = 2
-_CANDIDATES = 4000
 _CODES = 27
 #: What a symbol can stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz"}
@@ -259,14 +259,13 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 20_0
     """Learn the lexicon from labelled documents that are not held out.
 
     Of more than `labelled_rows` labelled ids, those with the smallest hashes are used; that bound
-    also bounds what reaches the driver.
+    also bounds what reaches the driver: the features of toxic ones among them that are precise enough, all of them.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
     features = sample.mapInArrow(_document_features, "doc_id long, toxic int, feature long")
     counts = features.groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).filter((F.col("bad") >= _LEAST_TOXIC) & (F.col("bad") >= _LEAST_PRECISION * F.col("n")))
-    counts = counts.orderBy(F.desc("bad"), "feature").limit(_CANDIDATES)
     table = {r["feature"]: (r["bad"], r["n"]) for r in counts.collect()}
     toxic = sample.filter("toxic = 1").mapInArrow(_document_features, "doc_id long, toxic int, feature long")
     lists = toxic.join(F.broadcast(counts.select("feature")), "feature").groupBy("doc_id").agg(F.collect_set("feature").alias("features")).collect()
@@ -274,14 +273,24 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 20_0
     for k, r in enumerate(lists):
         for f in r["features"]:
             holders.setdefault(f, set()).add(k)
+    # Greedy: the feature that covers most documents not covered yet. What one would cover only
+    # shrinks, so a feature that still leads after it was counted again is the next.
+    order_of = lambda f, n: (-n, table[f][1], -f)
+    queue = [(order_of(f, len(d)), f) for f, d in holders.items()]
+    heapq.heapify(queue)
     chosen: list[int] = []
-    while holders:
-        best = max(holders, key=lambda f: (len(holders[f]), -table[f][1], f))
-        if len(holders[best]) < _LEAST_NEW:
+    done: set[int] = set()
+    while queue:
+        place, f = heapq.heappop(queue)
+        n = len(holders[f] - done)
+        if order_of(f, n) != place:
+            if n:
+                heapq.heappush(queue, (order_of(f, n), f))
+            continue
+        if n < _LEAST_NEW:
             break
-        done = holders.pop(best)
-        chosen.append(best)
-        holders = {f: left for f, d in holders.items() if (left := d - done)}
+        chosen.append(f)
+        done |= holders[f]
     size = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     covered = sum(any(f in set(chosen) for f in r["features"]) for r in lists)
     prior = (max(0, (size["bad"] or 0) - covered) + 0.1) / (size["n"] + 10.0)
