@@ -1,7 +1,9 @@
 """A corpus pipeline: toxic texts, near duplicates, benchmark leaks, personal data, then the mix.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the
-last return the columns of documents.
+last return the columns of documents. In every stage a null text counts as empty, a null doc_id
+is kept as it is, and an empty table gives an empty one. Repeated rows are judged alike; near
+duplicates leave one of them. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Learned scores and the latent search have no SQL; the tests compare each stage with brute force.
+#: Learned scores and the latent search have no SQL; the tests plant cases for each stage.
 ORACLE_SQL = None
 
 
