@@ -30,6 +30,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TOKENIZERS = "/opt/tokenizers"
 _KEYS = ("source", "lang", "tokenizer")
 _TOTAL = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+#: Files of a batch or a fold: a row for each group, of which there are few, needs no file for each shuffle partition.
+_FILES = 16
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -116,7 +118,7 @@ class TokenRollup:
 
     @staticmethod
     def _write(df: DataFrame, path: str) -> None:
-        df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(path)
+        df.coalesce(_FILES).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(path)
 
     def _last_fold(self) -> tuple[int, dict[str, int]]:
         """(number, {batch: version} that it covers) of the last finished fold; 0 without any."""
