@@ -18,6 +18,7 @@ from undertow.runtime import shared_dir
 from undertow.sources import catalog
 from undertow.sources import projections as P
 from undertow.sources.diff_text import parse_diff_lines, untracked_ranges
+from undertow.sources.long_json import read_long_graph
 from undertow.sources.store import GraphStore, crate_keys
 
 QUERIES: dict[str, Q.Query] = {}
@@ -38,6 +39,43 @@ def _lines(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(text.split("\n"), 1)), "n int, line string")
 
 
+# --- one long document ---------------------------------------------------------------------------
+
+
+def _orders_as_one_document(spark: SparkSession, sf_dir: str) -> Graph:
+    """All orders, each owning its lines, written as one JSON file, and read back in blocks of 1 MB."""
+    order = F.col("l_orderkey") * 100
+    line = order + F.col("l_linenumber")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct()
+    path = F.concat(F.lit("o::O"), F.col("l_orderkey").cast("string"))
+    node = lambda i, p, kind: F.to_json(F.struct(i.alias("id"), p.alias("path"), F.lit('},{"id":').alias("name"), F.lit(kind).alias("kind"), F.lit("pub").alias("visibility")))
+    edge = F.to_json(F.struct(order.alias("id_from"), line.alias("id_to"), F.lit("owns").alias("relation")))
+    comma = lambda text: F.concat(F.lit(","), text)
+    row = lambda part, at, text: (F.lit(part).alias("part"), at.alias("at"), text.alias("text"))
+    root = '{"id":-1,"path":"o","name":"o","kind":"crate","visibility":"pub"}'
+    frame = spark.createDataFrame([(0, 0, f'{{"crate":"o","nodes":[{root}'), (2, 0, '],"edges":[{"id_from":-1,"id_to":-1,"relation":"uses"}'), (4, 0, "]}")], "part int, at long, text string")
+    rows = frame.union(lines.select("l_orderkey").distinct().select(*row(1, order, comma(node(order, path, "mod")))))
+    rows = rows.union(lines.select(*row(1, line, comma(node(line, F.concat(path, F.lit("::L"), F.col("l_linenumber").cast("string")), "fn")))))
+    rows = rows.union(lines.select(*row(3, line, comma(edge))))
+    folder = f"{shared_dir(spark)}/long-document-{uuid4().hex}"
+    rows.repartition(1).sortWithinPartitions("part", "at").select("text").write.text(folder)
+    return read_long_graph(spark, folder, block=1 << 20)
+
+
+@_query("""select cast(-1 as bigint) id, 'o' path, 'crate' kind union all
+select distinct l_orderkey * 100, concat('o::O', cast(l_orderkey as varchar)), 'mod' from {lineitem} union all
+select distinct l_orderkey * 100 + l_linenumber, concat('o::O', cast(l_orderkey as varchar), '::L', cast(l_linenumber as varchar)), 'fn' from {lineitem}""")
+def long_document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_as_one_document(spark, sf_dir).nodes.select("id", "path", "kind")
+
+
+@_query("""select cast(0 as bigint) edge_seq, cast(-1 as bigint) src, cast(-1 as bigint) dst, 'uses' relation union all
+select row_number() over (order by l_orderkey, l_linenumber), l_orderkey * 100, l_orderkey * 100 + l_linenumber, 'owns' from (select distinct l_orderkey, l_linenumber from {lineitem}) d""")
+def long_document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges with their places in the document."""
+    return _orders_as_one_document(spark, sf_dir).edges.select("edge_seq", "src", "dst", "relation")
+
+
 # --- catalogues, diffs and stores ----------------------------------------------------------------
 
 

@@ -21,14 +21,23 @@ def visibility_is_valid(text: Column) -> Column:
     return text.isin(*VISIBILITIES) | (F.trim(F.regexp_extract(text, r"^pub\(in (.+)\)$", 1)) != "")
 
 
+def graph_nodes(nodes: DataFrame) -> DataFrame:
+    """The nodes of documents as columns of the model."""
+    nodes = nodes.withColumn("cfg", F.to_json("cfg")).withColumns({c: F.coalesce(c, F.lit(False)) for c in _FLAGS})
+    return nodes.withColumn("kind", base_kind(F.col("kind")))
+
+
+def graph_edges(edges: DataFrame) -> DataFrame:
+    """The edges `e` of documents, with their place edge_seq, as columns of the model."""
+    label = ["label"] if "label" in edges.columns else []
+    return edges.select(F.col("edge_seq").cast("long").alias("edge_seq"), F.col("e.id_from").alias("src"), F.col("e.id_to").alias("dst"), F.col("e.relation").alias("relation"), parse_uses_kind(F.col("e.relation"), F.col("e.uses_kind")).alias("uses_kind"), *label)
+
+
 def documents_to_graph(documents: DataFrame, name: str = "") -> Graph:
     """Rows of DOCUMENT_SCHEMA, optionally with a label, to one graph; edge_seq is the place in the document."""
     label = ["label"] if "label" in documents.columns else []
-    n = documents.select(*label, F.explode("nodes").alias("n")).select(*label, "n.*")
-    n = n.withColumn("cfg", F.to_json("cfg")).withColumns({c: F.coalesce(c, F.lit(False)) for c in _FLAGS})
-    e = documents.select(*label, F.posexplode("edges").alias("edge_seq", "e"))
-    edges = e.select(F.col("edge_seq").cast("long").alias("edge_seq"), F.col("e.id_from").alias("src"), F.col("e.id_to").alias("dst"), F.col("e.relation").alias("relation"), parse_uses_kind(F.col("e.relation"), F.col("e.uses_kind")).alias("uses_kind"), *label)
-    return Graph.of(n.withColumn("kind", base_kind(F.col("kind"))), edges, name)
+    nodes = documents.select(*label, F.explode("nodes").alias("n")).select(*label, "n.*")
+    return Graph.of(graph_nodes(nodes), graph_edges(documents.select(*label, F.posexplode("edges").alias("edge_seq", "e"))), name)
 
 
 def violations(graph: Graph) -> DataFrame:
