@@ -64,6 +64,28 @@ def _running(sizes: Column, block: int = 256) -> Column:
     return let(sums, lambda s: let(before(s), lambda p: F.transform(sizes, lambda x, i: F.get(p, F.floor(i / block).cast("int")) + F.aggregate(F.slice(sizes, F.floor(i / block).cast("int") * block + 1, i % block), F.lit(0), add))))
 
 
+def _highest_before(values: Column, block: int = 256) -> Column:
+    """The largest of the values before each one, in blocks; null for the first."""
+    part = lambda i: F.floor(i / block).cast("int")
+    tops = F.transform(F.sequence(F.lit(0), part(F.size(values))), lambda b: F.array_max(F.slice(values, b * block + 1, F.lit(block))))
+    before = lambda t: F.transform(t, lambda _, b: F.array_max(F.slice(t, F.lit(1), b)))
+    return let(tops, lambda t: let(before(t), lambda p: F.transform(values, lambda _, i: F.greatest(F.get(p, part(i)), F.array_max(F.slice(values, part(i) * block + 1, i % block))))))
+
+
+def _outermost(added: Column, base: Column) -> Column:
+    """The added spans that lie in no base span and in no longer added one, each once.
+
+    Ends are doubled and base spans made wider by one on each side, so that an equal base span is
+    wider too. By start, and the longest first, a span lies in another if one before it ends no
+    earlier. Equal added spans are of the same text, thus of the same kind.
+    """
+    place = lambda x, wider, kind: F.struct((x["start"] * 2 - wider).alias("low"), (-x["end"] * 2 - wider).alias("back"), kind.alias("kind"))
+    every = F.array_sort(F.concat(F.transform(base, lambda x: place(x, 1, F.lit(None).cast("string"))), F.transform(added, lambda x: place(x, 0, x["kind"]))))
+    free = lambda a: let(_highest_before(F.transform(a, lambda x: -x["back"])), lambda high: F.filter(a, lambda x, i: x["kind"].isNotNull() & (F.coalesce(F.get(high, i), F.lit(-1)) < -x["back"])))
+    whole = lambda x: F.struct(x["kind"].alias("kind"), (x["low"] / 2).cast("int").alias("start"), (-x["back"] / 2).cast("int").alias("end"))
+    return F.array_sort(F.transform(let(every, free), whole))
+
+
 def _found(text: Column, pattern: str, possible: Column) -> Column:
     """The matches of a pattern and the pieces around them; null where there are none."""
     return F.when(possible, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")))
@@ -117,20 +139,29 @@ def _valid(kind: str, x: Column) -> Column:
 def _numbers(run: Column) -> Column:
     """The numbers of a run: for each group of digits, those that start there and end with one of the next groups."""
     pieces = F.split(run["text"], "(?<=[^0-9])(?=[0-9])", -1)
+    # Every piece but the first and the last has two characters or more, so that a few of them hold what is asked for.
+    ahead, back = _REACH // 2 + 3, _CONTEXT // 2 + 2
+
+    def from_start(p: Column, s: Column, i: Column) -> Column:
+        earlier = F.greatest(i - back, F.lit(0))
+        prior = F.array_join(F.transform(F.slice(p, earlier + 1, i - earlier), lambda x: F.right(x, F.lit(_CONTEXT + 1))), "")
+        window = F.array_join(F.transform(F.slice(p, i + 1, F.lit(ahead)), lambda x: F.left(x, F.lit(_REACH + 1))), "")
+        return let(F.struct(s.alias("s"), prior.alias("prior"), window.alias("w")), with_lead)
 
-    def from_start(s: Column) -> Column:
-        lead = F.when((s > 0) & F.substring(run["text"], s, F.lit(1)).isin("(", "+"), 1).otherwise(0)
-        return let(F.struct((s - lead).alias("s"), F.substr(run["text"], s - lead + 1, F.lit(_REACH + 1)).alias("w")), spans)
+    def with_lead(x: Column) -> Column:
+        lead = F.when(F.right(x["prior"], F.lit(1)).isin("(", "+"), F.right(x["prior"], F.lit(1))).otherwise("")
+        return let(lead, lambda c: let(F.struct((x["s"] - F.length(c)).alias("s"), F.left(x["prior"], F.length(x["prior"]) - F.length(c)).alias("prior"), F.left(F.concat(c, x["w"]), F.lit(_REACH + 1)).alias("w")), spans))
 
     def spans(x: Column) -> Column:
         good = F.filter(
             F.sequence(F.lit(_FEWEST), F.lit(_REACH)),
             lambda k: (k <= F.length(x["w"])) & F.substr(x["w"], k, F.lit(1)).rlike("[0-9]") & ~F.substr(x["w"], k + 1, F.lit(1)).rlike("[0-9]") & F.length(_digits(F.left(x["w"], k))).between(_FEWEST, _MOST),
         )
-        before = F.right(F.concat(run["before"], F.substr(run["text"], F.greatest(F.lit(1), x["s"] - _CONTEXT + 1), F.least(x["s"], F.lit(_CONTEXT)))), F.lit(_CONTEXT))
+        before = F.right(F.concat(run["before"], x["prior"]), F.lit(_CONTEXT))
         return F.transform(good, lambda k: F.struct(F.left(x["w"], k).alias("text"), (run["start"] + x["s"]).alias("start"), (run["start"] + x["s"] + k).alias("end"), before.alias("before"), F.lit("").alias("after")))
 
-    return let(F.transform(pieces, lambda p: F.length(p)), lambda g: F.transform(_running(g), from_start))
+    starts = lambda p: let(_running(F.transform(p, lambda x: F.length(x))), lambda at: F.transform(p, lambda _, i: from_start(p, F.get(at, i), i)))
+    return let(pieces, starts)
 
 
 # --- the trees ---------------------------------------------------------------------------------
@@ -323,11 +354,8 @@ def find_personal_data(docs: DataFrame, *, threshold: float | None = None) -> Da
     # Whatever its own scan proposed, in any other span or over its edge; phones and addresses that the checks refused too.
     wide = F.concat(*[kept(_placed(F.col(_FOUND)[k])) for k in ("ip", "phone", "secret", "contact", "key", "number")], parts)
     rows = rows.withColumn("base", F.concat(*base))
-    rows = held(rows, "added", F.array_distinct(F.array_sort(wide)))
-    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])
-    more = lambda x, y: inside(x, y) & ((y["end"] - y["start"]) > (x["end"] - x["start"]))
-    added = F.filter("added", lambda x: ~F.exists("base", lambda y: inside(x, y)) & ~F.exists("added", lambda y: more(x, y)))
-    return rows.withColumn("added", added).drop(_FOUND)
+    rows = held(rows, "added", wide)
+    return rows.withColumn("added", _outermost(F.col("added"), F.col("base"))).drop(_FOUND)
 
 
 def span_digest(docs: DataFrame) -> DataFrame:
