@@ -4,7 +4,8 @@ A file is dealt out in blocks of bytes. Whether a block starts inside a string,
 from sums over the blocks before it: the first scan counts quotes and steps of depth for either case.
 The second finds the keys of the document in each block, the third gives the objects that start in
 it, and reads on over its end for the last one. Only these sums, one row for a block and one for a
-key, meet in windows; the objects themselves are parsed where they are read.
+key, meet in windows; the objects themselves are parsed where they are read. Spark lists the files;
+tasks open them through pyarrow's file systems, so that every executor must reach them by these.
 """
 
 from __future__ import annotations
