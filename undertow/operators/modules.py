@@ -10,7 +10,7 @@ from undertow.operators.degrees import owns_parents
 from undertow.operators.numbering import numbered
 from undertow.operators.ranking import part_edges, reaching
 from undertow.operators.scc import components
-from undertow.runtime import materialize, materialize_counted
+from undertow.runtime import materialize, materialize_counted, shuffled
 from undertow.schema import MODULE_KINDS
 
 
@@ -23,15 +23,15 @@ def containing_modules(graph: Graph) -> DataFrame:
     is_module = F.col("kind").isin(*MODULE_KINDS)
     modules = graph.nodes.filter(is_module).select("id")
     items = graph.nodes.filter(~is_module).select("id")
-    parents = owns_parents(graph).join(items, "id", "left_semi")
-    flagged = parents.join(modules.select(F.col("id").alias("parent"), F.lit(True).alias("done")), "parent", "left")
+    parents = owns_parents(graph).join(shuffled(items), "id", "left_semi")
+    flagged = parents.join(shuffled(modules.select(F.col("id").alias("parent"), F.lit(True).alias("done"))), "parent", "left")
     flagged = flagged.select("id", F.col("parent").alias("above"), F.coalesce("done", F.lit(False)).alias("done"))
     climb, now = materialize_counted(flagged, "climb", open=F.count_if(~F.col("done")))
     left = -1
     while now["open"] not in (0, left):
         left = now["open"]
         up = climb.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("done").alias("next_done"))
-        moved = climb.filter("not done").join(up, "above").select("id", F.col("next").alias("above"), F.col("next_done").alias("done"))
+        moved = climb.filter("not done").join(shuffled(up), "above").select("id", F.col("next").alias("above"), F.col("next_done").alias("done"))
         climb, now = materialize_counted(climb.filter("done").unionByName(moved), "climb", open=F.count_if(~F.col("done")))
     inside = climb.filter("done").select("id", F.col("above").alias("module"))
     return inside.unionByName(modules.select("id", F.col("id").alias("module")))
@@ -39,7 +39,7 @@ def containing_modules(graph: Graph) -> DataFrame:
 
 def _between_modules(graph: Graph, contained: DataFrame) -> DataFrame:
     """(src_module, dst_module) of each uses edge that leaves its module."""
-    side = lambda end: contained.select(F.col("id").alias(end), F.col("module").alias(f"{end}_module"))
+    side = lambda end: shuffled(contained.select(F.col("id").alias(end), F.col("module").alias(f"{end}_module")))
     joined = graph.uses().select("src", "dst").join(side("src"), "src").join(side("dst"), "dst")
     return joined.filter("src_module != dst_module").select("src_module", "dst_module")
 

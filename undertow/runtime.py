@@ -36,6 +36,16 @@ def materialize_counted(df: DataFrame, name: str, **counts: Column) -> tuple[Dat
     return stored, {k: v or 0 for k, v in seen.get.items()}
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as one side of a join for which both sides are shuffled, however small it looks.
+
+    Spark takes the size of a stored table from its compressed files, and that of some of its columns from
+    their share of the widths of all, null ones included. By that, millions of ids look like a few
+    MB, and would pass through the driver to be broadcast. For tables with a row for a node, an edge or a pair.
+    """
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize that nothing will read again."""
     for df in tables:
