@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
 from undertow.graph import Graph
-from undertow.operators import modules
+from undertow.operators import modules, ranking, reach
 
 
 @pytest.fixture
@@ -47,3 +47,22 @@ def test_weights_are_not_broadcast(spark, plans):
     weights = modules.coupling_weights(graph, modules.containing_modules(graph))
     assert {tuple(r) for r in weights.collect()} == {(1, 4, 2), (4, 1, 1)}
     _none_broadcast([*plans, plan(weights)])
+
+
+def test_sizes_of_reach_without_pairs(spark, plans):
+    graph, targets = _graph(spark), spark.createDataFrame([(2,), (3,), (0,)], "id long")
+    sizes = ranking.reach_sizes(graph, targets)
+    assert {tuple(r) for r in sizes.collect()} == {(2, "downstream", 1), (2, "upstream", 2), (3, "downstream", 2), (3, "upstream", 0), (0, "downstream", 0), (0, "upstream", 0)}
+    _none_broadcast([p for p in plans if "part__" not in p])  # numbering joins one row for each partition
+
+
+def test_reach_is_not_broadcast(spark, plans):
+    starts = spark.createDataFrame([(3, 3)], "target long, node long")
+    found = reach.reach(_graph(spark).uses(), starts, "downstream")
+    assert {tuple(r) for r in found.collect()} == {(3, 5, 1), (3, 2, 2)}
+    _none_broadcast(plans)
+
+
+def test_ranking_is_not_broadcast(spark, plans):
+    assert {r["path"]: r["impact"] for r in ranking.impacts(_graph(spark)).collect()}["a::n::y"] == 2
+    _none_broadcast(plans)
