@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undertow.graph import Graph
+from undertow.runtime import shuffled
 
 
 def degrees(graph: Graph) -> DataFrame:
     """(id, path, uses_in, uses_out): uses edges at each node, parallel edges counted each."""
     ends = graph.uses().select(F.explode(F.array(F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e"))
     counts = ends.groupBy("e.id").agg(F.sum("e.i").alias("uses_in"), F.sum("e.o").alias("uses_out"))
-    return graph.nodes.select("id", "path").join(counts, "id", "left").fillna(0, ["uses_in", "uses_out"])
+    return graph.nodes.select("id", "path").join(shuffled(counts), "id", "left").fillna(0, ["uses_in", "uses_out"])
 
 
 def class_of(uses_in: Column, uses_out: Column) -> Column:
