@@ -70,13 +70,13 @@ def module_radii(graph: Graph, contained: DataFrame) -> DataFrame:
     """
     parts = materialize(components(graph).select("id", F.col("scc").alias("part")), "parts")
     numbers = materialize(numbered(contained.select("module").distinct(), ["module"], "number"), "modules")
-    placed = contained.join(parts, "id").join(numbers, "module").select("module", "number", "part").distinct()
+    placed = contained.join(shuffled(parts), "id").join(shuffled(numbers), "module").select("module", "number", "part").distinct()
     placed = materialize(placed, "placed")
     masks = reaching(part_edges(graph, parts), placed.select(F.col("number").alias("id"), "part"))
-    seen = masks.join(placed.select("module", "part"), "part").groupBy("module", "block").agg(F.bit_or("mask").alias("mask"))
+    seen = masks.join(shuffled(placed.select("module", "part")), "part").groupBy("module", "block").agg(F.bit_or("mask").alias("mask"))
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("mask", k) == 1)
     pairs = seen.select(F.col("module").alias("low"), "block", F.explode(bits).alias("bit")).withColumn("number", F.col("block") * 64 + F.col("bit"))
-    pairs = materialize(pairs.join(numbers.select("number", F.col("module").alias("high")), "number").filter("low != high").select("low", "high"), "radii")
+    pairs = materialize(pairs.join(shuffled(numbers.select("number", F.col("module").alias("high"))), "number").filter("low != high").select("low", "high"), "radii")
     # "high" reaches "low" along the edges: low is downstream of it.
     down = pairs.select(F.col("high").alias("module"), F.lit("downstream").alias("direction"), F.col("low").alias("other"))
     return down.unionByName(pairs.select(F.col("low").alias("module"), F.lit("upstream").alias("direction"), F.col("high").alias("other")))
