@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from undertow.functions import crate_of, path_ends, ranges_overlap, short_name
 from undertow.graph import Graph
 from undertow.operators.reach import impact_reach
+from undertow.runtime import shuffled
 
 
 #: Levels of bins, each 16 times as wide as the one below: the widest hold 2^32 lines.
@@ -21,7 +22,7 @@ def _files_meeting(own: DataFrame, changed: DataFrame) -> DataFrame:
     is shared by files that only have a base name in common.
     """
     ends = own.select("own").distinct().select("own", F.explode(path_ends(F.col("own"))).alias("file"))
-    return ends.join(changed.select("file").distinct(), "file")
+    return ends.join(shuffled(changed.select("file").distinct()), "file")
 
 
 def _own_bin(a: Column, b: Column) -> Column:
@@ -49,13 +50,13 @@ def touched_nodes(graph: Graph, ranges: DataFrame) -> DataFrame:
     placed = placed.withColumn("narrow", _own_bin(F.col("a"), F.col("b")))
     changed = ranges.select("file", long("start").alias("start"), long("end").alias("end")).distinct()
     files = _files_meeting(placed, changed)
-    changed = files.join(changed, "file").select("own", "start", "end").distinct().withColumn("narrow", _own_bin(F.col("start"), F.col("end")))
+    changed = files.join(shuffled(changed), "file").select("own", "start", "end").distinct().withColumn("narrow", _own_bin(F.col("start"), F.col("end")))
     lines = ranges_overlap(F.col("a"), F.col("b"), F.col("start"), F.col("end"))
 
     def met(nodes: Column, others: Column) -> DataFrame:
         left = placed.select("id", "path", "own", "a", "b", F.explode(nodes).alias("at")).alias("l")
         right = changed.select("own", "start", "end", F.explode(others).alias("at")).alias("r")
-        return left.join(right, (F.col("l.own") == F.col("r.own")) & (F.col("l.at.level") == F.col("r.at.level")) & (F.col("l.at.bin") == F.col("r.at.bin")) & lines, "left_semi").select("id", "path")
+        return left.join(shuffled(right), (F.col("l.own") == F.col("r.own")) & (F.col("l.at.level") == F.col("r.at.level")) & (F.col("l.at.bin") == F.col("r.at.bin")) & lines, "left_semi").select("id", "path")
 
     narrow = F.col("narrow")
     below = met(_wider_bins(narrow, 0), F.array(narrow))

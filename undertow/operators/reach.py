@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from undertow.graph import Graph
 from undertow.operators.degrees import classification, owns_children, owns_parents
-from undertow.runtime import materialize, materialize_counted
+from undertow.runtime import materialize, materialize_counted, shuffled
 from undertow.schema import TargetNotFound
 
 _HOPS, _PARTS = 3, 6
@@ -34,11 +34,11 @@ def reach(edges: DataFrame, targets: DataFrame, direction: str) -> DataFrame:
     while n["left"]:
         hops, hop = [], frontier.select(*key)
         for k in range(1, _HOPS + 1):
-            hop = hop.join(steps, "node").select("target", F.col("next").alias("node")).distinct()
+            hop = hop.join(shuffled(steps), "node").select("target", F.col("next").alias("node")).distinct()
             hops.append(hop.withColumn("depth", F.lit(deep + k).cast("long")))
         # A node at distance deep + k is k hops from some node of the frontier, and nearer to none.
         grown = reduce(DataFrame.unionByName, hops).groupBy(*key).agg(F.min("depth").alias("depth"))
-        fresh = grown.join(reduce(DataFrame.unionByName, parts), key, "left_anti")
+        fresh = grown.join(shuffled(reduce(DataFrame.unionByName, parts)), key, "left_anti")
         fresh, n = materialize_counted(fresh, "reached", left=F.count_if(F.col("depth") == deep + _HOPS))
         deep += _HOPS
         frontier = fresh.filter(F.col("depth") == deep)
@@ -100,13 +100,13 @@ def combined_reach(edges: DataFrame, starts: DataFrame, direction: str) -> DataF
         hops, hop = [], frontier.select("node", "start")
         for k in range(1, _HOPS + 1):
             # Of more than two starts that come from the same distance, any two will do.
-            met = hop.join(steps, "node").groupBy(F.col("next").alias("node")).agg(two().alias("two"))
+            met = hop.join(shuffled(steps), "node").groupBy(F.col("next").alias("node")).agg(two().alias("two"))
             hop = met.select("node", F.explode("two").alias("start"))
             hops.append(hop.withColumn("depth", F.lit(deep + k).cast("long")))
         known = reduce(DataFrame.unionByName, parts)
         grown = reduce(DataFrame.unionByName, hops).groupBy("node", "start").agg(F.min("depth").alias("depth"))
         order = W.partitionBy("node").orderBy("depth", "start")
-        every = known.withColumn("new", F.lit(False)).unionByName(grown.join(known, ["node", "start"], "left_anti").withColumn("new", F.lit(True)))
+        every = known.withColumn("new", F.lit(False)).unionByName(grown.join(shuffled(known), ["node", "start"], "left_anti").withColumn("new", F.lit(True)))
         kept = every.withColumn("place", F.row_number().over(order)).filter("place <= 2 and new")
         fresh, n = materialize_counted(kept.select("node", "start", "depth"), "reached", left=F.count_if(F.col("depth") == deep + _HOPS))
         deep += _HOPS
