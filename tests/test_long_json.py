@@ -67,3 +67,28 @@ def test_escapes_over_the_start_of_a_block():
         before = data[:cut]
         escaped = (len(before) - len(before.rstrip(b"\\"))) % 2 == 1
         assert (_inside(data[cut:], escaped, False)[0] == quote[cut:]).all()
+
+
+@pytest.mark.parametrize(("size", "block"), [(7, 61), (997, 509), (5000, 100)])
+def test_a_document_in_pieces(spark, tmp_path, size, block):
+    data = json.dumps(document(n=8), ensure_ascii=False).encode()
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "g.json").write_bytes(data)
+    (tmp_path / "cut").mkdir()
+    for k in range(0, len(data), size):
+        (tmp_path / "cut" / f"part-{k:05d}").write_bytes(data[k : k + size])
+    (tmp_path / "cut" / "part-00000-empty").write_bytes(b"")
+    whole, cut = read_graph(spark, str(tmp_path / "whole")), read_long_graph(spark, str(tmp_path / "cut"), block=block, in_pieces=True)
+    assert cut.name == whole.name
+    for a, b in ((whole.nodes, cut.nodes), (whole.edges, cut.edges)):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_blocks_share_tasks(spark, tmp_path):
+    path = tmp_path / "g.json"
+    path.write_text(json.dumps(document(n=200)))
+    parts = document_parts(spark, str(path), 64)
+    assert parts.select("start").distinct().count() > 512
+    found = document_objects(parts, "edges")
+    assert found.rdd.getNumPartitions() <= 256
+    assert [json.loads(r["text"]) for r in found.orderBy("seq").collect()] == document(n=200)["edges"]
