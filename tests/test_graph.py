@@ -250,3 +250,11 @@ def test_edge_feed_counts_a_batch_once(spark, tmp_path):
     for _ in range(2):
         feed.start(spark.readStream.schema(CHANGE_SCHEMA).parquet(str(source)), str(tmp_path / "cp")).awaitTermination()
     assert {tuple(r) for r in feed.degrees().collect()} == {(1, 0, 1), (2, 0, 0), (3, 1, 0)}
+
+
+def test_documents_are_parsed_once(spark, tmp_path):
+    file = tmp_path / "g.json"
+    file.write_text('{"crate":"c","nodes":[{"id":1,"path":"c","name":"c","kind":"crate","visibility":"pub"}],"edges":[{"id_from":1,"id_to":1,"relation":"uses"}]}')
+    g = read_graph(spark, str(file))
+    file.unlink()
+    assert [r["path"] for r in g.nodes.collect()] == ["c"] and g.edges.count() == 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions import base_kind
 from undertow.graph import Graph
+from undertow.runtime import shuffled
 from undertow.schema import DOCUMENT_SCHEMA, KINDS, RELATIONS, VISIBILITIES, InvalidGraph
 
 _FLAGS = ("is_const", "is_async", "is_unsafe", "is_non_exhaustive")
@@ -43,17 +44,18 @@ def documents_to_graph(documents: DataFrame, name: str = "") -> Graph:
 def violations(graph: Graph) -> DataFrame:
     """(rule, value) of whatever breaks the model: closed values, duplicate ids, dangling edges."""
     label = ["label"] if "label" in graph.nodes.columns else []
-    row = lambda df, rule, value: df.select(F.lit(rule).alias("rule"), value.cast("string").alias("value"))
-    unknown = lambda df, c, bad: row(df.filter(F.coalesce(bad, F.lit(True))), f"unknown {c}", F.col(c))
-    found = unknown(graph.nodes, "kind", ~F.col("kind").isin(*KINDS))
-    found = found.union(unknown(graph.nodes, "visibility", ~visibility_is_valid(F.col("visibility"))))
-    found = found.union(unknown(graph.edges, "relation", ~F.col("relation").isin(*RELATIONS)))
-    for c in ("id", "path", "name"):
-        found = found.union(row(graph.nodes.filter(F.col(c).isNull()), f"missing {c}", F.lit("")))
-    found = found.union(row(graph.nodes.groupBy(*label, "id").count().filter("count > 1"), "duplicate id", F.col("id")))
+    row = lambda rule, value: F.struct(F.lit(rule).alias("rule"), value.cast("string").alias("value"))
+    unknown = lambda c, bad: F.when(F.coalesce(bad, F.lit(True)), row(f"unknown {c}", F.col(c)))
+    # One pass over the nodes and one over the edges, however many rules there are.
+    of_rows = lambda df, *rules: df.select(F.explode(F.array_compact(F.array(*rules))).alias("v")).select("v.*")
+    missing = [F.when(F.col(c).isNull(), row(f"missing {c}", F.lit(""))) for c in ("id", "path", "name")]
+    found = of_rows(graph.nodes, unknown("kind", ~F.col("kind").isin(*KINDS)), unknown("visibility", ~visibility_is_valid(F.col("visibility"))), *missing)
+    found = found.union(of_rows(graph.edges, unknown("relation", ~F.col("relation").isin(*RELATIONS))))
+    found = found.union(graph.nodes.groupBy(*label, "id").count().filter("count > 1").select(F.lit("duplicate id"), F.col("id").cast("string")))
     for end in ("src", "dst"):
         ids = graph.nodes.select(*label, F.col("id").alias(end))
-        found = found.union(row(graph.edges.join(ids, [*label, end], "left_anti"), f"dangling {end}", F.col(end)))
+        dangling = graph.edges.select(*label, end).join(shuffled(ids), [*label, end], "left_anti")
+        found = found.union(dangling.select(F.lit(f"dangling {end}"), F.col(end).cast("string")))
     return found
 
 
@@ -66,9 +68,12 @@ def checked(graph: Graph) -> Graph:
 
 
 def read_graph(spark: SparkSession, path: str, *, label: str | None = None, lines: bool = False) -> Graph:
-    """One JSON document (or several: one for each file, or with `lines` one on each line) as a checked graph."""
+    """One JSON document (or several: one for each file, or with `lines` one on each line) as a checked graph.
+
+    The result is stored, so that documents are parsed twice, once for nodes and once for edges, whatever is checked.
+    """
     documents = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     name = documents.select("crate").first()
     if label is not None:
         documents = documents.withColumn("label", F.lit(label))
-    return checked(documents_to_graph(documents, name["crate"] if name and name["crate"] else ""))
+    return checked(documents_to_graph(documents, name["crate"] if name and name["crate"] else "").stored())
