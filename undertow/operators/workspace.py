@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from undertow.functions import crate_of
 from undertow.graph import Graph
 from undertow.operators.numbering import numbered
+from undertow.runtime import materialize, shuffled, stored_once
 
 
 @dataclass(frozen=True)
@@ -47,12 +48,13 @@ def numbered_by_path(nodes: DataFrame) -> DataFrame:
 
 def unite(graph: Graph) -> Union:
     """graph: nodes and edges with a label each. Edges are linked again by path, and equal ones become one."""
+    graph = graph.with_nodes(stored_once(graph.nodes, "labelled"))
     nodes = numbered_by_path(chosen_nodes(graph))
     ids = nodes.select("path", F.col("id").alias("new_id"))
-    where = graph.nodes.select("label", F.col("id").alias("old_id"), "path").join(ids, "path").select("label", "old_id", "new_id")
+    where = materialize(graph.nodes.select("label", F.col("id").alias("old_id"), "path").join(shuffled(ids), "path").select("label", "old_id", "new_id"), "numbers")
     edges = graph.edges
     for end in ("src", "dst"):
         to = where.select("label", F.col("old_id").alias(end), F.col("new_id").alias(f"new_{end}"))
-        edges = edges.join(to, ["label", end])
+        edges = edges.join(shuffled(to), ["label", end])
     edges = edges.groupBy(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "relation", "uses_kind").agg(F.min("edge_seq").alias("edge_seq"))
     return Union(Graph.of(nodes.drop("label"), edges, "workspace"), ghosts(graph))

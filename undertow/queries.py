@@ -334,9 +334,9 @@ numbered as (select path, kind, row_number() over (order by path) - 1 new_id, la
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> Graph:
-    nodes = P.select(spark, sf_dir, P.CRATE_NODES)
+    nodes, edges = P.crates(spark, sf_dir)
     nodes = nodes.withColumn("position", F.when(F.col("file").isNotNull(), F.struct("file", F.lit(1).alias("start_line"), F.lit(9).alias("end_line")))).drop("file")
-    return Graph.of(nodes, P.select(spark, sf_dir, P.CRATE_EDGES))
+    return Graph.of(nodes, edges)
 
 
 @_query(_CRATES + _CHOSEN + " select new_id id, path, kind, file from numbered")

@@ -29,6 +29,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
+def stored_once(df: DataFrame, name: str) -> DataFrame:
+    """df as a stored table: itself if it is one, for tables that a plan reads more than once."""
+    return df if hasattr(df, "_undertow_path") else materialize(df, name)
+
+
 def materialize_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """materialize, and aggregates over its rows that the writing job finds on its way; null for none is 0."""
     seen = Observation()

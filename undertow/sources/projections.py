@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from undertow.graph import Graph
+from undertow.runtime import materialize
 
 #: Trade: regions, nations, traders and orders, owned by each other; orders use suppliers and parts.
 TRADE_NODES = """
@@ -88,11 +89,20 @@ _CRATE_END = """
   select t.region label, n.id, n.path, n.kind, case when n.region = t.region and n.id % 3 = 0 then concat(n.region, '.rs') end file
   from ({pairs}) e join ({traders}) t on t.id = e.src join ({traders}) n on n.id = e.{end}
   where not (n.region = t.region and n.id % 11 = 0)"""
-CRATE_NODES = " union ".join(_CRATE_END.replace("{end}", end).replace("{pairs}", _PAIRS).replace("{traders}", _TRADERS) for end in ("src", "dst"))
-CRATE_EDGES = f"""
+
+
+def _crate_nodes(pairs: str, traders: str) -> str:
+    return " union ".join(_CRATE_END.replace("{end}", end).replace("{pairs}", pairs).replace("{traders}", traders) for end in ("src", "dst"))
+
+
+def _crate_edges(pairs: str, traders: str) -> str:
+    return f"""
   select t.region label, e.src, e.dst, e.relation, e.uses_kind
-  from ({_PAIRS}) e join ({_TRADERS}) t on t.id = e.src where e.src % 11 != 0 and (e.dst % 11 != 0 or exists (
-    select 1 from ({_TRADERS}) d where d.id = e.dst and d.region != t.region))"""
+  from ({pairs}) e join ({traders}) t on t.id = e.src where e.src % 11 != 0 and (e.dst % 11 != 0 or exists (
+    select 1 from ({traders}) d where d.id = e.dst and d.region != t.region))"""
+
+
+CRATE_NODES, CRATE_EDGES = _crate_nodes(_PAIRS, _TRADERS), _crate_edges(_PAIRS, _TRADERS)
 
 #: Positions: a file for each user, ten lines for each kind of event; and hunks where something failed.
 PLACED_NODES = f"""
@@ -134,5 +144,11 @@ def flow_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(select(spark, sf_dir, FLOW_NODES), select(spark, sf_dir, FLOW_EDGES), "flow")
 
 
+def crates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of CRATE_NODES and CRATE_EDGES, over pairs and traders that are found once and stored."""
+    stored = [f"select * from parquet.`{materialize(select(spark, sf_dir, sql), name)._undertow_path}`" for sql, name in ((_PAIRS, "pairs"), (_TRADERS, "traders"))]
+    return select(spark, sf_dir, _crate_nodes(*stored)), select(spark, sf_dir, _crate_edges(*stored))
+
+
 def chat_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(select(spark, sf_dir, CHAT_NODES), select(spark, sf_dir, CHAT_EDGES), "conv")
