@@ -258,3 +258,16 @@ def test_documents_are_parsed_once(spark, tmp_path):
     g = read_graph(spark, str(file))
     file.unlink()
     assert [r["path"] for r in g.nodes.collect()] == ["c"] and g.edges.count() == 1
+
+
+def test_structure_searches_radii_only_when_read(spark, monkeypatch):
+    from undertow.operators import modules
+
+    def refused(*_):
+        raise AssertionError("nobody read the radii")
+
+    monkeypatch.setattr(modules, "module_radii", refused)
+    found = structure_of(graph(spark, K2[:-1], [*K2_OWNS, (11, U, 21, "reference"), (20, U, 11, "import")]))
+    assert {(r["src"], r["dst"], r["weight"]) for r in found.dependencies.collect()} == {("k::a", "k::b", 1), ("k::b", "k::a", 1)}
+    with pytest.raises(AssertionError):
+        found.radii

@@ -49,12 +49,16 @@ def coupling_weights(graph: Graph, contained: DataFrame) -> DataFrame:
     return _between_modules(graph, contained).groupBy("src_module", "dst_module").agg(F.count("*").alias("weight"))
 
 
-def module_graph(graph: Graph, contained: DataFrame) -> Graph:
-    """The quotient graph: modules, distinct uses between them (without a kind) and distinct owns."""
+def module_graph(graph: Graph, contained: DataFrame, weights: DataFrame | None = None) -> Graph:
+    """The quotient graph: modules, distinct uses between them (without a kind) and distinct owns.
+
+    weights: what coupling_weights gave, if it is there already; it names each pair once.
+    """
     nodes = graph.nodes.filter(F.col("kind").isin(*MODULE_KINDS))
-    uses = _between_modules(graph, contained).distinct().select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"), F.lit("uses").alias("relation"))
+    pairs = weights if weights is not None else _between_modules(graph, contained).distinct()
+    uses = pairs.select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"), F.lit("uses").alias("relation"))
     ids = nodes.select("id")
-    owns = graph.owns().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    owns = graph.owns().join(shuffled(ids.withColumnRenamed("id", "src")), "src", "left_semi").join(shuffled(ids.withColumnRenamed("id", "dst")), "dst", "left_semi")
     owns = owns.groupBy("src", "dst", "relation").agg(F.min("edge_seq").alias("edge_seq"))
     return Graph.of(nodes, owns.unionByName(uses, allowMissingColumns=True).fillna(0, ["edge_seq"]), graph.name)
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from undertow.graph import Graph
 from undertow.operators import compare, diffing, modules, ranking, reach, resolve, scc, workspace
 from undertow.operators.dsm import dsm_order
 from undertow.operators.filters import apply_scope, apply_uses_mode, keep_members
-from undertow.runtime import materialize
+from undertow.runtime import materialize, shuffled
 from undertow.schema import MODULE_KINDS, GraphError, Undecided
 
 
@@ -36,28 +37,37 @@ class Structure:
     dependencies: DataFrame  # (src, dst, weight) by path
     cycles: DataFrame
     order: DataFrame
-    radii: DataFrame  # (module, direction, other) by path
+    find_radii: Callable[[], DataFrame]
 
+    @cached_property
+    def radii(self) -> DataFrame:
+        """(module, direction, other) by path. A search over all items, made only if somebody reads it."""
+        return self.find_radii()
 
-def _dependencies(graph: Graph, contained: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def _dependencies(graph: Graph, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(modules by id and path, dependencies with weight by path)."""
     names = graph.nodes.filter(F.col("kind").isin(*MODULE_KINDS)).select("id", "path")
-    named = lambda df, c, to: df.join(names.select(F.col("id").alias(c), F.col("path").alias(to)), c)
-    weights = named(named(modules.coupling_weights(graph, contained), "src_module", "src"), "dst_module", "dst")
+    named = lambda df, c, to: df.join(shuffled(names.select(F.col("id").alias(c), F.col("path").alias(to))), c)
+    weights = named(named(weights, "src_module", "src"), "dst_module", "dst")
     return names, weights.select("src", "dst", "weight")
 
 
 def structure_of(graph: Graph, *, uses_mode: str = "all") -> Structure:
-    """The module view of a resolved graph. Containment and components are found once and shared."""
+    """The module view of a resolved graph. Containment, weights and components are found once and shared."""
     graph = apply_uses_mode(graph, uses_mode).stored()
     contained = materialize(modules.containing_modules(graph), "contained")
-    quotient = modules.module_graph(graph, contained).stored()
+    weights = materialize(modules.coupling_weights(graph, contained), "weights")
+    quotient = modules.module_graph(graph, contained, weights).stored()
     parts = materialize(scc.components(quotient), "parts")
-    names, weights = _dependencies(graph, contained)
-    named = lambda df, c, to: df.join(names.select(F.col("id").alias(c), F.col("path").alias(to)), c)
-    radii = modules.module_radii(graph, contained).withColumnsRenamed({"module": "m", "other": "o"})
-    radii = named(named(radii, "m", "module"), "o", "other")
-    return Structure(names, weights, scc.cycles(parts), dsm_order(quotient, parts), radii.select("module", "direction", "other"))
+    names, dependencies = _dependencies(graph, weights)
+
+    def radii() -> DataFrame:
+        named = lambda df, c, to: df.join(shuffled(names.select(F.col("id").alias(c), F.col("path").alias(to))), c)
+        found = modules.module_radii(graph, contained).withColumnsRenamed({"module": "m", "other": "o"})
+        return named(named(found, "m", "module"), "o", "other").select("module", "direction", "other")
+
+    return Structure(names, dependencies, scc.cycles(parts), dsm_order(quotient, parts), radii)
 
 
 def analyse_structure(graph: Graph, *, scope: str = "full", uses_mode: str = "all") -> Structure:
@@ -136,7 +146,7 @@ def analyse_comparison(
         sides.append(graph.stored())
     # A comparison needs the modules and their dependencies only, not their cycles, order and radii.
     used = [apply_uses_mode(g, uses_mode) for g in sides]
-    (modules_before, deps_before), (modules_after, deps_after) = (_dependencies(g, materialize(modules.containing_modules(g), "contained")) for g in used)
+    (modules_before, deps_before), (modules_after, deps_after) = (_dependencies(g, modules.coupling_weights(g, materialize(modules.containing_modules(g), "contained"))) for g in used)
     pairs = compare.module_pairs(modules_before, modules_after, mode)
     items = [materialize(compare.item_keys(g, missing), "items") for g, missing in zip(sides, ghosts or (None, None))]
     return Comparison(pairs, compare.edge_deltas(deps_before, deps_after, pairs, mode), compare.item_pairs(*items), (removed[0], removed[1]), mode, natures, (items[0], items[1]))
