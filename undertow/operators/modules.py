@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from undertow.graph import Graph
 from undertow.operators.degrees import owns_parents
 from undertow.operators.numbering import numbered
-from undertow.operators.ranking import part_edges, reaching
+from undertow.operators.ranking import ONE_MASK, node_edges, part_edges, reaching
 from undertow.operators.scc import components
 from undertow.runtime import materialize, materialize_counted, shuffled
 from undertow.schema import MODULE_KINDS
@@ -70,13 +70,15 @@ def module_radii(graph: Graph, contained: DataFrame) -> DataFrame:
     be one of items. The module itself is never listed. Modules are numbered and 64 of them share a
     mask, which travels along the condensation of the items; masks are united by the module of
     the items that they reach before anything is listed. A module reaches another upstream if
-    that one reaches it downstream, so there is one search.
+    that one reaches it downstream, so there is one search. If all modules share one mask, it
+    travels along the items themselves, and their components are not asked for.
     """
-    parts = materialize(components(graph).select("id", F.col("scc").alias("part")), "parts")
-    numbers = materialize(numbered(contained.select("module").distinct(), ["module"], "number"), "modules")
+    numbers, n = materialize_counted(numbered(contained.select("module").distinct(), ["module"], "number"), "modules", n=F.count("*"))
+    one = n["n"] <= ONE_MASK
+    parts = graph.nodes.select("id", F.col("id").alias("part")) if one else materialize(components(graph).select("id", F.col("scc").alias("part")), "parts")
     placed = contained.join(shuffled(parts), "id").join(shuffled(numbers), "module").select("module", "number", "part").distinct()
     placed = materialize(placed, "placed")
-    masks = reaching(part_edges(graph, parts), placed.select(F.col("number").alias("id"), "part"))
+    masks = reaching(node_edges(graph) if one else part_edges(graph, parts), placed.select(F.col("number").alias("id"), "part"))
     seen = masks.join(shuffled(placed.select("module", "part")), "part").groupBy("module", "block").agg(F.bit_or("mask").alias("mask"))
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("mask", k) == 1)
     pairs = seen.select(F.col("module").alias("low"), "block", F.explode(bits).alias("bit")).withColumn("number", F.col("block") * 64 + F.col("bit"))

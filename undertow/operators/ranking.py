@@ -13,14 +13,16 @@ from undertow.operators.numbering import numbered
 from undertow.runtime import materialize, materialize_counted, shuffled
 
 _HOPS = 3
+#: Up to so many starts take one mask at each node, so a search needs no condensation to keep its rows few.
+ONE_MASK = 64
 
 
 def reaching(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(part, block, mask): which nodes reach each part of an acyclic graph, or belong to it; 64 node ids to a mask.
+    """(part, block, mask): which nodes reach each part of a graph, or belong to it; 64 node ids to a mask.
 
     edges: (src, dst) between parts; members: (id, part). Node id is bit id % 64 of block id / 64,
     so up to 64 pairs take one row. Each round sends the bits that were new in the last one along
-    the edges for _HOPS hops.
+    the edges for _HOPS hops. Cycles end the search like any other way that brings nothing new.
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(64)).cast("int"))
     own = members.select("part", F.floor(F.col("id") / 64).alias("block"), bit.alias("mask"))
@@ -46,6 +48,11 @@ def part_edges(graph: Graph, parts: DataFrame) -> DataFrame:
     return materialize(edges.select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).distinct(), "between")
 
 
+def node_edges(graph: Graph) -> DataFrame:
+    """(src, dst): distinct uses edges between different nodes, for a search in which each node is a part."""
+    return materialize(graph.uses().filter("src != dst").select("src", "dst").distinct(), "between")
+
+
 def impacts(graph: Graph, parts: DataFrame | None = None) -> DataFrame:
     """(id, path, impact): number of nodes that depend on each node, directly or not, without itself.
 
@@ -63,12 +70,14 @@ def reach_sizes(graph: Graph, targets: DataFrame) -> DataFrame:
 
     Targets are numbered and 64 of them share a mask that travels along the condensation, forth and
     back. Each part then adds its number of nodes to the bits of its masks, so no pair is ever listed.
+    If all targets share one mask, it travels along the graph itself, and each node is a part.
     """
-    placed = materialize(components(graph).select("id", F.col("scc").alias("part")), "parts")
+    numbers, n = materialize_counted(numbered(targets.select("id").distinct(), ["id"], "number"), "targets", n=F.count("*"))
+    one = n["n"] <= ONE_MASK
+    placed = graph.nodes.select("id", F.col("id").alias("part")) if one else materialize(components(graph).select("id", F.col("scc").alias("part")), "parts")
     nodes = placed.groupBy("part").agg(F.count("*").alias("nodes"))
-    numbers = materialize(numbered(targets.select("id").distinct(), ["id"], "number"), "targets")
     starts = placed.join(shuffled(numbers), "id").select("part", F.col("number").alias("id"))
-    edges = part_edges(graph, placed)
+    edges = node_edges(graph) if one else part_edges(graph, placed)
     sizes = []
     for direction, ways in (("downstream", edges), ("upstream", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))):
         masks = reaching(ways, starts).join(shuffled(nodes), "part")
