@@ -16,8 +16,12 @@ def is_sysroot(path: Column) -> Column:
 
 
 def without(graph: Graph, removed: DataFrame) -> Graph:
-    """Drop nodes and the edges that touch them."""
-    gone = removed.select("id")
+    """Drop nodes and the edges that touch them.
+
+    Both sides are shuffled, and a task keeps the removed ids of its share in a hash table: ids are
+    not broadcast, and edges are not sorted, which would take the memory of a task.
+    """
+    gone = removed.select("id").hint("shuffle_hash")
     nodes = graph.nodes.join(gone, "id", "left_anti")
     edges = graph.edges
     for end in ("src", "dst"):
