@@ -31,3 +31,14 @@ def test_radii_of_few_modules_need_no_components(spark, monkeypatch, seed):
         want = rows()
     monkeypatch.setattr(modules, "components", _refuse)
     assert want and rows() == want
+
+
+def test_sizes_of_few_targets_need_no_components(spark, monkeypatch):
+    graph = random_graph(spark, 5)
+    targets = graph.nodes.filter("id % 9 = 0").select("id")
+    rows = lambda: sorted(map(tuple, ranking.reach_sizes(graph, targets).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(ranking, "ONE_MASK", 0)
+        want = rows()
+    monkeypatch.setattr(ranking, "components", _refuse)
+    assert len(want) == 10 and rows() == want
