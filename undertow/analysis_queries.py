@@ -142,7 +142,7 @@ def keys_of_crates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"with nodes as ({P.CRATE_NODES}) select label, id, path from nodes where label != 'R2' or id % 5 != 0")
 def stored_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crates stored one by one; one of them changes, and a change of another breaks off before it is published."""
-    every = Q._labelled(spark, sf_dir).stored()
+    every = Q._labelled(spark, sf_dir)
     labels = sorted(r["label"] for r in every.nodes.select("label").distinct().collect())  # one for each region
     of = lambda label: Graph(every.nodes.filter(F.col("label") == label).drop("label"), every.edges.filter(F.col("label") == label).drop("label"), label)
     store = GraphStore(spark, f"{shared_dir(spark)}/store-{uuid4().hex}")
@@ -170,7 +170,7 @@ def loose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(Q._CRATES + Q._CHOSEN + " select 'node' part, path \"value\" from numbered union all select 'failure', 'twins' union all select 'ghost', path from nodes where split_part(path, '::', 1) in (select label from nodes) group by path having count(*) filter (where label = split_part(path, '::', 1)) = 0")
 def built_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each crate resolved and all united; one whose copies nothing tells apart is reported and left out."""
-    every = Q._labelled(spark, sf_dir).stored()
+    every = Q._labelled(spark, sf_dir)
     labels = sorted(r["label"] for r in every.nodes.select("label").distinct().collect())
     graphs = {k: Graph(every.nodes.filter(F.col("label") == k).drop("label"), every.edges.filter(F.col("label") == k).drop("label"), k) for k in labels}
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -341,7 +341,7 @@ whole_nodes as (select new_id id, path from numbered)""" + Q._depth_sql_each("lo
 select l.path, l.direction, l.n n_local, w.n n_whole, w.n - l.n change from local_sizes l join whole_sizes w on w.direction = l.direction and w.path = l.path""")
 def radii_in_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much further every touched node of one crate reaches in the whole workspace."""
-    every = Q._labelled(spark, sf_dir).stored()
+    every = Q._labelled(spark, sf_dir)
     local = Graph(every.nodes.filter("label = 'R2'"), every.edges.filter("label = 'R2'"), "R2")
     touched = diffing.touched_nodes(local, spark.createDataFrame([("R2.rs", 3, 4)], "file string, start int, end int"))
     return measures.radius_deltas(local, workspace.unite(every).graph.stored(), touched)

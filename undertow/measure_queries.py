@@ -295,7 +295,7 @@ whole_edges as (select distinct s.new_id src, d.new_id dst from edges e join nod
 whole_nodes as (select new_id id, path from numbered)""" + _depth_sql("local", "local_nodes", "local_edges") + _depth_sql("whole", "whole_nodes", "whole_edges") + """
 select (select path from target) path, l.direction, l.n n_local, w.n n_whole, w.n - l.n change from local_sizes l join whole_sizes w on w.direction = l.direction""")
 def radius_in_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = Q._labelled(spark, sf_dir).stored()
+    every = Q._labelled(spark, sf_dir)
     local = Graph(every.nodes.filter("label = 'R2'"), every.edges.filter("label = 'R2'"), "R2")
     first = local.nodes.filter("path like 'R2::%'").agg(F.min("path").alias("path"))
     return measures.radius_deltas(local, workspace.unite(every).graph.stored(), first)

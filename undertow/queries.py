@@ -11,6 +11,7 @@ from undertow.functions import line_count
 from undertow.graph import Graph
 from undertow.operators import compare, degrees, diffing, filters, modules, ranking, reach, resolve, scc, workspace
 from undertow.operators.dsm import dsm_order
+from undertow.runtime import materialize
 from undertow.sources import projections as P
 from undertow.sources.diff_text import parse_diff
 
@@ -336,7 +337,9 @@ numbered as (select path, kind, row_number() over (order by path) - 1 new_id, la
 def _labelled(spark: SparkSession, sf_dir: str) -> Graph:
     nodes, edges = P.crates(spark, sf_dir)
     nodes = nodes.withColumn("position", F.when(F.col("file").isNotNull(), F.struct("file", F.lit(1).alias("start_line"), F.lit(9).alias("end_line")))).drop("file")
-    return Graph.of(nodes, edges)
+    graph = Graph.of(nodes, edges)
+    # The edges are a part of what crates stored.
+    return graph.with_nodes(materialize(graph.nodes, "labelled"))
 
 
 @_query(_CRATES + _CHOSEN + " select new_id id, path, kind, file from numbered")

@@ -85,24 +85,37 @@ CHAT_EDGES = """
 #: Crates: the market cut by region, each with the far ends of its edges; some definitions are missing.
 _TRADERS = "select id, kind, split_part(path, '::', 2) region, concat(split_part(path, '::', 2), '::', split_part(path, '::', 4)) path from (" + MARKET_NODES + ") m where id >= 1000000"
 _PAIRS = "select src, dst, relation, uses_kind from (" + MARKET_EDGES + ") m where relation = 'uses'"
-_CRATE_END = """
+_CRATE_END = f"""
   select t.region label, n.id, n.path, n.kind, case when n.region = t.region and n.id % 3 = 0 then concat(n.region, '.rs') end file
-  from ({pairs}) e join ({traders}) t on t.id = e.src join ({traders}) n on n.id = e.{end}
+  from ({_PAIRS}) e join ({_TRADERS}) t on t.id = e.src join ({_TRADERS}) n on n.id = e.{{end}}
   where not (n.region = t.region and n.id % 11 = 0)"""
-
-
-def _crate_nodes(pairs: str, traders: str) -> str:
-    return " union ".join(_CRATE_END.replace("{end}", end).replace("{pairs}", pairs).replace("{traders}", traders) for end in ("src", "dst"))
-
-
-def _crate_edges(pairs: str, traders: str) -> str:
-    return f"""
+CRATE_NODES = " union ".join(_CRATE_END.replace("{end}", end) for end in ("src", "dst"))
+CRATE_EDGES = f"""
   select t.region label, e.src, e.dst, e.relation, e.uses_kind
-  from ({pairs}) e join ({traders}) t on t.id = e.src where e.src % 11 != 0 and (e.dst % 11 != 0 or exists (
-    select 1 from ({traders}) d where d.id = e.dst and d.region != t.region))"""
-
-
-CRATE_NODES, CRATE_EDGES = _crate_nodes(_PAIRS, _TRADERS), _crate_edges(_PAIRS, _TRADERS)
+  from ({_PAIRS}) e join ({_TRADERS}) t on t.id = e.src where e.src % 11 != 0 and (e.dst % 11 != 0 or exists (
+    select 1 from ({_TRADERS}) d where d.id = e.dst and d.region != t.region))"""
+
+#: The same rows for Spark, by fewer joins: traders bring the regions of their id along, and a line is joined once.
+#: An id with several homes gives a row for each, and a line keeps those that differ in the home of its source.
+_HOMES = """(select id, size(array_distinct(homes)) > 1 many, nth, home from (select id, collect_list(region) homes from {traders} group by id) h
+  lateral view posexplode(homes) e as nth, home)"""
+_SELLERS = f"select s_suppkey, s_nationkey, n_regionkey, home, many, coalesce(nth, 0) nth from {{supplier}} join {{nation}} on s_nationkey = n_nationkey left join {_HOMES} on id = 2000000 + s_suppkey"
+_BUYERS = f"select c_custkey, c_nationkey, n_regionkey, home, many, coalesce(nth, 0) nth from {{customer}} join {{nation}} on c_nationkey = n_nationkey left join {_HOMES} on id = 1000000 + c_custkey"
+_OUTWARD = re.search(r"case when h\.n_regionkey.*?end(?= as outward)", _LINES, re.DOTALL)[0].replace("l_returnflag = 'R'", "returned")
+_LABELLED_PAIRS = f"""
+  with bought as (select o_orderkey, c_custkey, c_nationkey, n_regionkey, home, many, nth from {{orders}} join ({_BUYERS}) b on o_custkey = c_custkey),
+  sold as (select l_orderkey, l_suppkey, l_linenumber % 2 = 0 even, l_returnflag = 'R' returned from {{lineitem}}),
+  lines as (select /*+ merge(h) */ 1000000 + c_custkey customer, 2000000 + l_suppkey supplier, h.home c_home, h.many c_many, h.nth c_nth, g.home s_home, g.many s_many, g.nth s_nth,
+    if(even, 'reference', 'import') uses_kind, coalesce({_OUTWARD}, false) as outward
+    from sold join bought h on l_orderkey = o_orderkey join {{sellers}} g on l_suppkey = s_suppkey),
+  pairs as (select if(outward, c_home, s_home) label, if(outward, customer, supplier) src, if(outward, supplier, customer) dst, uses_kind,
+    if(outward, s_home, c_home) far, if(outward, s_many, c_many) far_many, if(outward, s_nth, c_nth) far_nth from lines)
+  select label, src, dst, uses_kind, src % 11 != 0 and (dst % 11 != 0 or coalesce(far_many or far != label, false)) kept
+  from pairs where label is not null and far_nth = 0"""
+_LABELLED_NODES = """
+  select /*+ merge(n) */ label, n.id, n.path, n.kind, case when n.region = label and n.id % 3 = 0 then concat(n.region, '.rs') end file
+  from (select label, src id from {pairs} union select label, dst from {pairs}) e join (select distinct * from {traders}) n on n.id = e.id
+  where not (n.region = label and n.id % 11 = 0)"""
 
 #: Positions: a file for each user, ten lines for each kind of event; and hunks where something failed.
 PLACED_NODES = f"""
@@ -145,9 +158,16 @@ def flow_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def crates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of CRATE_NODES and CRATE_EDGES, over pairs and traders that are found once and stored."""
-    stored = [f"select * from parquet.`{materialize(select(spark, sf_dir, sql), name)._undertow_path}`" for sql, name in ((_PAIRS, "pairs"), (_TRADERS, "traders"))]
-    return select(spark, sf_dir, _crate_nodes(*stored)), select(spark, sf_dir, _crate_edges(*stored))
+    """The rows of CRATE_NODES and CRATE_EDGES, over lines that are joined once and stored.
+
+    An id of a customer may be one of a supplier, too; such ids have a home for each of them.
+    """
+    at = lambda df: f"parquet.`{df._undertow_path}`"
+    traders = at(materialize(select(spark, sf_dir, _TRADERS), "traders"))
+    # Customers pass by shuffle; suppliers are stored, so their size is known when Spark chooses how they pass.
+    sellers = at(materialize(select(spark, sf_dir, _SELLERS.replace("{traders}", traders)), "sellers"))
+    pairs = at(materialize(select(spark, sf_dir, _LABELLED_PAIRS.replace("{traders}", traders).replace("{sellers}", sellers)), "pairs"))
+    return select(spark, sf_dir, _LABELLED_NODES.replace("{traders}", traders).replace("{pairs}", pairs)), select(spark, sf_dir, f"select label, src, dst, 'uses' relation, uses_kind from {pairs} where kept")
 
 
 def chat_graph(spark: SparkSession, sf_dir: str) -> Graph:
