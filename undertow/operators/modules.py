@@ -78,7 +78,7 @@ def module_radii(graph: Graph, contained: DataFrame) -> DataFrame:
     parts = graph.nodes.select("id", F.col("id").alias("part")) if one else materialize(components(graph).select("id", F.col("scc").alias("part")), "parts")
     placed = contained.join(shuffled(parts), "id").join(shuffled(numbers), "module").select("module", "number", "part").distinct()
     placed = materialize(placed, "placed")
-    masks = reaching(node_edges(graph) if one else part_edges(graph, parts), placed.select(F.col("number").alias("id"), "part"))
+    masks = reaching(node_edges(graph) if one else part_edges(graph, parts), placed.select(F.col("number").alias("id"), "part"), dealt=one)
     seen = masks.join(shuffled(placed.select("module", "part")), "part").groupBy("module", "block").agg(F.bit_or("mask").alias("mask"))
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("mask", k) == 1)
     pairs = seen.select(F.col("module").alias("low"), "block", F.explode(bits).alias("bit")).withColumn("number", F.col("block") * 64 + F.col("bit"))
