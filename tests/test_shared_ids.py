@@ -1,11 +1,14 @@
-"""Workspaces in which customers and suppliers share ids: drawn without broadcasts of customers."""
+"""Workspaces in which customers and suppliers share ids: drawn without broadcasts of customers, measured as the SQL does."""
 
 import random
 import re
 
+import duckdb
 import pytest
 
 from test_driver_load import plans  # noqa: F401
+from undertow import analysis_queries, measure_queries
+from undertow.operators import ranking
 from undertow.sources import projections as P
 
 SHARED = 1_000_000
@@ -34,6 +37,17 @@ def keys_sent(plan):
     return re.findall(r"BroadcastHashJoin \[.*?\], \[.*?\]", plan)
 
 
+@pytest.mark.parametrize(("queries", "name", "one_mask"), [(analysis_queries, "radii_in_workspace", 0), (measure_queries, "radius_in_workspace", 64)])
+def test_a_shared_id_is_one_node(spark, tables, monkeypatch, queries, name, one_mask):
+    monkeypatch.setattr(ranking, "ONE_MASK", one_mask)
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        con.sql(f"create view {t} as select * from '{tables}/{t}.parquet/*.parquet'")
+    found = queries.QUERIES[name](spark, tables)
+    want = con.sql(f"select {', '.join(found.columns)} from ({queries.SQL[name]}) q").fetchall()
+    assert want and sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_traders_do_not_pass_through_the_driver(spark, tables, plans):  # noqa: F811
     P.crates(spark, tables)
     assert len(plans) == 3 and "custkey" in plans[2] and not [k for p in plans for k in keys_sent(p) if "custkey" in k or "[id#" in k]
