@@ -13,7 +13,7 @@ from undertow.functions import base_kind, basename, crate_of, short_name
 from undertow.graph import Graph
 from undertow.operators import compare, diffing, filters, measures, modules, scc, workspace
 from undertow.plans import analyses
-from undertow.runtime import shared_dir
+from undertow.runtime import discard_folder, shared_dir
 from undertow.schema import KINDS
 from undertow.sources import catalog
 from undertow.sources import projections as P
@@ -71,21 +71,31 @@ def wire_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wire.select("o_orderkey", base_kind(F.col("kind")).alias("base_kind"), parse_uses_kind(F.col("relation"), F.col("uses_kind")).alias("uses_kind"), visibility_is_valid(F.col("visibility")).alias("is_valid"))
 
 
+#: Documents to a file at most: a compressed file is read by one task.
+_FILE_OF_DOCUMENTS = 100_000
+
+
 def _orders_as_documents(spark: SparkSession, sf_dir: str) -> Graph:
-    """One JSON document for each order: the order owns its lines, and each line uses the one before."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """One JSON document for each order: the order owns its lines, and each line uses the one before.
+
+    Keys travel and become text where they are written; the text is compressed, and goes when the graph is stored."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag").repartition("l_orderkey")
     lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
-    order, item = F.col("l_orderkey") * 100, F.col("l_orderkey") * 100 + F.col("l_linenumber")
-    path = F.concat(F.lit("o::O"), F.col("l_orderkey").cast("string"))
-    node = F.struct(item.alias("id"), F.concat(path, F.lit("::L"), F.col("l_linenumber").cast("string")).alias("path"), F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("name"), F.lit("async fn").alias("kind"), F.lit("priv").alias("visibility"), (F.col("l_returnflag") == "R").alias("is_async"))
-    owned = F.struct(order.alias("id_from"), item.alias("id_to"), F.lit("owns").alias("relation"), F.lit("reference").alias("uses_kind"))
-    used = F.struct(item.alias("id_from"), order.alias("id_to"), F.lit("uses").alias("relation"), F.col("l_returnflag").alias("uses_kind"))
+    orders = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_returnflag")).alias("lines"))  # seven lines at most
+    order, path = F.col("l_orderkey") * 100, F.concat(F.lit("o::O"), F.col("l_orderkey").cast("string"))
+    item = lambda x: order + x["l_linenumber"]
+    text = lambda x: x["l_linenumber"].cast("string")
+    node = lambda x: F.struct(item(x).alias("id"), F.concat(path, F.lit("::L"), text(x)).alias("path"), F.concat(F.lit("L"), text(x)).alias("name"), F.lit("async fn").alias("kind"), F.lit("priv").alias("visibility"), (x["l_returnflag"] == "R").alias("is_async"))
+    owned = lambda x: F.struct(order.alias("id_from"), item(x).alias("id_to"), F.lit("owns").alias("relation"), F.lit("reference").alias("uses_kind"))
+    used = lambda x: F.struct(item(x).alias("id_from"), order.alias("id_to"), F.lit("uses").alias("relation"), x["l_returnflag"].alias("uses_kind"))
     root = F.struct(order.alias("id"), path.alias("path"), path.alias("name"), F.lit("mod").alias("kind"), F.lit("pub").alias("visibility"), F.lit(None).cast("boolean").alias("is_async"))
-    documents = lines.groupBy("l_orderkey").agg(F.collect_list(node).alias("lines"), F.flatten(F.collect_list(F.array(owned, used))).alias("edges"))  # seven lines at most
-    documents = documents.select(F.lit("o").alias("crate"), F.concat(F.array(root), "lines").alias("nodes"), "edges")
+    edges = F.flatten(F.transform("lines", lambda x: F.array(owned(x), used(x))))
+    documents = orders.select(F.lit("o").alias("crate"), F.concat(F.array(root), F.transform("lines", node)).alias("nodes"), edges.alias("edges"))
     folder = f"{shared_dir(spark)}/documents-{uuid4().hex}"
-    documents.write.json(folder)
-    return read_graph(spark, folder, lines=True)
+    documents.write.option("compression", "gzip").option("maxRecordsPerFile", _FILE_OF_DOCUMENTS).json(folder)
+    graph = read_graph(spark, folder, lines=True)
+    discard_folder(spark, folder)
+    return graph
 
 
 @_query("""select distinct l_orderkey * 100 id, concat('o::O', cast(l_orderkey as varchar)) path, 'mod' kind, 'pub' visibility, false is_async from {lineitem} union all

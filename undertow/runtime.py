@@ -69,5 +69,10 @@ def shuffled(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize that nothing will read again."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._undertow_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        discard_folder(df.sparkSession, df._undertow_path)
+
+
+def discard_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of our own below the shared one that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

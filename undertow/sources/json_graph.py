@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.functions import base_kind
 from undertow.graph import Graph
-from undertow.runtime import shuffled
 from undertow.schema import DOCUMENT_SCHEMA, KINDS, RELATIONS, VISIBILITIES, InvalidGraph
 
+#: Edges at one missing id are listed so many at a time.
+_AT_ONCE = 10_000
 _FLAGS = ("is_const", "is_async", "is_unsafe", "is_non_exhaustive")
 
 
@@ -51,11 +54,19 @@ def violations(graph: Graph) -> DataFrame:
     missing = [F.when(F.col(c).isNull(), row(f"missing {c}", F.lit(""))) for c in ("id", "path", "name")]
     found = of_rows(graph.nodes, unknown("kind", ~F.col("kind").isin(*KINDS)), unknown("visibility", ~visibility_is_valid(F.col("visibility"))), *missing)
     found = found.union(of_rows(graph.edges, unknown("relation", ~F.col("relation").isin(*RELATIONS))))
-    found = found.union(graph.nodes.groupBy(*label, "id").count().filter("count > 1").select(F.lit("duplicate id"), F.col("id").cast("string")))
-    for end in ("src", "dst"):
-        ids = graph.nodes.select(*label, F.col("id").alias(end))
-        dangling = graph.edges.select(*label, end).join(shuffled(ids), [*label, end], "left_anti")
-        found = found.union(dangling.select(F.lit(f"dangling {end}"), F.col(end).cast("string")))
+    # Ids of nodes and ends of edges meet by one shuffle, as counts for each id: no edge is joined or sorted.
+    count = lambda n, src, dst: [F.lit(k).cast("long").alias(c) for c, k in (("n", n), ("src", src), ("dst", dst))]
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), *count(0, 1, 0)), F.struct(F.col("dst").alias("id"), *count(0, 0, 1))))
+    ids = graph.nodes.select(*label, "id", *count(1, 0, 0)).unionByName(graph.edges.select(*label, ends.alias("e")).select(*label, "e.*"))
+    ids = ids.groupBy(*label, "id").agg(*[F.sum(c).alias(c) for c in ("n", "src", "dst")])
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*label, "id")], F.col("n") > 0)
+    fault = lambda rule, when, n: F.when(when, F.struct(F.lit(rule).alias("rule"), n.alias("left")))
+    faults = [fault("duplicate id", F.col("n") > 1, F.lit(1).cast("long")), *[fault(f"dangling {end}", ~known & (F.col(end) > 0), F.col(end)) for end in ("src", "dst")]]
+    faults = ids.select(F.col("id").cast("string").alias("value"), F.explode(F.array_compact(F.array(*faults))).alias("f")).select("value", "f.*")
+    # A row for each edge, by two lists of bounded length.
+    some = faults.select("value", "rule", "left", F.explode(F.sequence(F.lit(0), F.col("left") - 1, F.lit(_AT_ONCE))).alias("first"))
+    each = some.select("value", F.explode(F.array_repeat("rule", F.least(F.col("left") - F.col("first"), F.lit(_AT_ONCE)).cast("int"))).alias("rule"))
+    found = found.union(each.select("rule", "value"))
     return found
 
 
